@@ -135,7 +135,7 @@ class ItemBlock:
             at, key = lookup(T.grams(h, size)[starts])
             n = high[key] - low[key]
             position = np.repeat(starts[at], n)
-            entry = np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.repeat(low[key], n)
+            entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[key], n)
             window, offset = best[entry, 0], best[entry, 1]
             begin, length = position - offset, self.lengths[window]
             row = rows[position]

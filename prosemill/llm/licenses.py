@@ -131,7 +131,7 @@ class Scanner:
         if not n.sum():
             return out
         position = np.repeat(hit, n)
-        entry = np.arange(int(n.sum())) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.repeat(self.low[word], n)
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.low[word], n)
         template, offset = self.postings[entry, 1], self.postings[entry, 2]
         row, begin = rows[position], position - offset
         order = np.lexsort((begin, template, row))
