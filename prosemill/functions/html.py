@@ -20,7 +20,12 @@ def unescape_entities(text: Column) -> Column:
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise(hit)
 
-    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(char(h), F.lit("")))), "")
+    return _joined(gaps, hits, char)
+
+
+def _joined(gaps: Column, hits: Column, fill) -> Column:
+    """Pieces between matches with what ``fill`` makes of each match."""
+    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(fill(h), F.lit("")))), "")
 
 
 def convert_headings(html: Column) -> Column:
@@ -33,7 +38,7 @@ def convert_headings(html: Column) -> Column:
             words = F.trim(F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]+>", ""), r"(?U)\s+", " "))
             return F.when(words != "", F.concat(F.lit("\n\n" + "#" * level + " "), words, F.lit("\n\n"))).otherwise("")
 
-        html = F.array_join(F.zip_with(gaps, hits, lambda g, h, heading=heading: F.concat(g, F.coalesce(heading(h), F.lit("")))), "")
+        html = _joined(gaps, hits, heading)
     return html
 
 

@@ -113,7 +113,8 @@ def markdown_masker():
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else mask(t))
 
-    return masked
+    # projections that read the result inside lambdas must not take the call in
+    return masked.asNondeterministic()
 
 
 def lines_of(raw: str, masked: str) -> str:

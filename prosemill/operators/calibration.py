@@ -74,7 +74,7 @@ def exhaustive_sweep(metrics: DataFrame, key: str = "metric", max_fp: float = 0.
 def length_bin(chars: Column) -> Column:
     out = F.lit(len(LENGTH_BINS) - 1)
     for k in range(len(LENGTH_BINS) - 1, 0, -1):
-        out = F.when(chars < LENGTH_BINS[k], k - 1).otherwise(out) if k == len(LENGTH_BINS) - 1 else F.when(chars < LENGTH_BINS[k], k - 1).otherwise(out)
+        out = F.when(chars < LENGTH_BINS[k], k - 1).otherwise(out)
     return out
 
 
@@ -156,7 +156,7 @@ def matched_pairs(docs: DataFrame, value: str = "value", by: str = "genre") -> D
     """
     kind = docs.schema[by].dataType.simpleString()
 
-    def pair(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ai, human = (rows[rows.is_ai == side].assign(x=lambda d: np.log1p(d.n_chars)).sort_values(["x", "doc_id"]) for side in (True, False))
         short, long_, flip = (ai, human, False) if len(ai) <= len(human) else (human, ai, True)
         a, b = short.x.to_numpy(), long_.x.to_numpy()

@@ -32,7 +32,7 @@ def pair_metrics(vectors: DataFrame, doc: str = "doc", ix: str = "ix", vec: str
     """Per document: maximum and 95th percentile of the similarity of sentences that are no neighbours."""
     kind = vectors.schema[doc].dataType.simpleString()
 
-    def measure(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m = np.array([np.array(v, np.float64) for v in rows.sort_values("ix").vec])
         found = [(m[a : a + block] @ m.T)[np.arange(len(m))[None, :] >= np.arange(a, min(a + block, len(m)))[:, None] + 2] for a in range(0, len(m), block)]
         values = np.concatenate(found) if found else np.zeros(0)
