@@ -215,10 +215,16 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     """Train on the rows that are not held out; reads a bounded sample of them."""
     rules = rules or LangRules()
     T.prepare(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & has_letter("text"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rules.docs_per_lang).select("id").distinct()
-    sample = rows.join(F.broadcast(picked), "id")  # docs_per_lang ids of each language
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
+    # a share of each language first, by hash, so that the ranking below sees a few times the sample whatever the input
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, min(1.0, 4 * rules.docs_per_lang / r.n)).otherwise(share)
+    part = rows.select("id", "lang").filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(1)), "id")
+    picked = part.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rules.docs_per_lang).select("id").distinct()
+    sample = rows.join(F.broadcast(picked), "id").filter(has_letter("text"))  # docs_per_lang ids of each language
 
     def cut(batches):
         for b in T.chunks(batches, "text"):
