@@ -18,7 +18,7 @@ def unescape_entities(text: Column) -> Column:
         body = F.substring(hit, F.lit(3), F.length(hit) - 3)
         code = F.when(body.rlike("^[xX]"), F.conv(F.substring(body, F.lit(2), F.length(body)), 16, 10)).otherwise(body).cast("int")
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")).otherwise(hit)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(hit)
 
     return _joined(gaps, hits, char)
 

@@ -65,7 +65,8 @@ def valid_submission(c: str = "") -> Column:
     rating = lambda x: x.isNotNull() & x.between(1, 7)
     fine = lambda a: F.coalesce(a["condition"].isin(*CONDITIONS) & rating(a["monotony"]) & rating(a["naturalness"]) & rating(a["readability"]) & a["comprehension"].between(0, 2) & a["elapsed_ms"].between(1000, 1_800_000), F.lit(False))
     ids = F.transform(answers, lambda a: a["item_id"])
-    even = [F.size(F.filter(answers, lambda a, k=k: a["condition"] == k)) == 4 for k in CONDITIONS]
+    conditions = F.transform(answers, lambda a: a["condition"])
+    even = [F.size(conditions) - F.size(F.array_remove(conditions, k)) == 4 for k in CONDITIONS]
     return F.coalesce(F.length(f"{p}participant_id").between(16, 64) & F.col(f"{p}attention_check").between(1, 7) & (F.size(answers) == 12) & F.forall(answers, fine) & (F.size(F.array_distinct(ids)) == 12) & even[0] & even[1] & even[2], F.lit(False))
 
 
