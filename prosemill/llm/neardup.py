@@ -15,7 +15,7 @@ margin of about four standard errors, then on the full sets. Only verified links
 count. What leaves a node is a spanning forest of its links, never its pairs.
 Links become classes by alternating large-star and small-star steps on tables.
 
-Scale: what is shuffled is a few dozen short rows for each distinct set, 128
+Scale: what is shuffled is about a dozen short rows for each distinct set, 128
 bytes for members of small nodes that are not alone, and the full sets of the
 documents with a likely partner. Nothing of document count goes to the driver;
 the one broadcast is a bitmap of at most ``FILTER_BITS`` bits. Classes of copies
@@ -55,7 +55,7 @@ class JoinRules:
     #: Links have 100 * intersection >= percent * union.
     percent: int = 85
     shingle: int = 5
-    trees: int = 12
+    trees: int = 8
     node_limit: int = 1024
     node_shingles: int = 1_500_000
     max_depth: int = 24
@@ -107,12 +107,18 @@ def _chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.where((x >> np.uint64(40)) % np.uint64(100) < 20, second, -1)
 
 
+def _root_coordinates(trees: int) -> list[tuple[int, int]]:
+    """(tree, coordinate) of every branch at the roots; all sets of a tree branch there alike."""
+    first, second = _chosen(T.mix(np.arange(1, trees + 1, dtype=np.uint64)))
+    return [(k, int(c)) for k in range(trees) for c in dict.fromkeys((first[k], second[k])) if c >= 0]
+
+
 def _children(node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Child nodes of members with the given minwise values: member index and child key."""
+    """Child nodes of members with the given one-byte minwise values: member index and child key."""
     first, second = _chosen(node)
     at = np.arange(len(node))
     own, keys = [], []
-    for c in (first, second):
+    for c in (first, np.where(second == first, -1, second)):
         has = at[c >= 0]
         own.append(has)
         keys.append(T.mix(node[has] * np.uint64(0x9E3779B97F4A7C15) + T.mix(values[has, c[has]].astype(np.uint64) + (c[has].astype(np.uint64) << np.uint64(40)))))
@@ -128,7 +134,8 @@ def _blobs(a: np.ndarray) -> pa.Array:
 
 
 def _digested(docs: DataFrame, rules: JoinRules) -> DataFrame:
-    """id, n (set size), digest of the set, and its one-byte signature."""
+    """id, n (set size), digest of the set, its minwise values at the roots' coordinates, and one byte of all of them."""
+    at_roots = [c for _, c in _root_coordinates(rules.trees)]
 
     def run(batches):
         for b in T.chunks(batches, "text"):
@@ -138,36 +145,37 @@ def _digested(docs: DataFrame, rules: JoinRules) -> DataFrame:
             digests = [hashlib.blake2b(raw[8 * a : 8 * e], digest_size=16).digest() if e > a else None for a, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             minima = minwise(g, bounds)
             short = (minima & np.uint32(0xFF)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(digests, pa.binary()), _blobs(minima.view(np.uint8).reshape(len(n), -1)), _blobs(short)], names=["id", "n", "digest", "minima", "short"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.array(digests, pa.binary()), _blobs(np.ascontiguousarray(minima[:, at_roots]).view(np.uint8).reshape(len(n), -1)), _blobs(short)], names=["id", "n", "digest", "roots", "short"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, digest binary, minima binary, short binary")
+    return docs.mapInArrow(run, "id bigint, n bigint, digest binary, roots binary, short binary")
 
 
-def _minima(column: pa.Array) -> np.ndarray:
-    t = T.texts(column)
-    return t.data.view(np.uint32).reshape(len(t), COORDINATES) if len(t.data) % 4 == 0 and t.data.flags.aligned else np.frombuffer(t.data.tobytes(), np.uint32).reshape(len(t), COORDINATES)
+def _rows(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """The values of a binary column of one width, as an array of rows."""
+    return np.frombuffer(T.texts(column).data.tobytes(), kind).reshape(len(column), width)
 
 
 def _roots(reps: DataFrame, rules: JoinRules) -> DataFrame:
-    """First-level nodes of all trees, for both size classes a set belongs to."""
-    step = -np.log(rules.percent / 100)
+    """First-level nodes of all trees.
+
+    Size classes are octaves; a set close enough to the next one to have partners there belongs to it too.
+    """
+    branches = _root_coordinates(rules.trees)
 
     def run(batches):
         for b in batches:
-            values = _minima(b.column("minima"))
-            n = b.column("n").to_numpy().astype(np.float64)
-            rep = b.column("rep").to_numpy()
-            size = np.floor(np.log(np.maximum(n, 1)) / step).astype(np.int64)
-            for tree in range(rules.trees):
-                for k in (0, 1):
-                    root = T.mix((size + k).astype(np.uint64) + np.uint64(1)) ^ np.uint64(0)
-                    # all sets of one tree choose by the same coordinates, whatever their size class
-                    first, second = _chosen(np.full(1, T.mix(np.array([tree + 1], np.uint64))[0]))
-                    for c in {int(first[0]), int(second[0])} - {-1}:
-                        key = T.mix(root + T.mix(values[:, c].astype(np.uint64) + np.uint64((tree * COORDINATES + c) << 32)))
-                        yield pa.RecordBatch.from_arrays([_signed(key), pa.array(rep), b.column("n")], names=["node", "rep", "n"])
-
-    return reps.select("rep", "n", "minima").mapInArrow(run, "node bigint, rep bigint, n bigint")
+            values = _rows(b.column("roots"), np.uint32, len(branches)).astype(np.uint64)
+            n = b.column("n").to_numpy()
+            octave = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+            near = np.flatnonzero(100 * n >= rules.percent * (np.int64(2) << octave))
+            member = np.concatenate((np.arange(len(n)), near))
+            size = np.concatenate((octave, octave[near] + 1)).astype(np.uint64)
+            rep, count = b.column("rep").take(pa.array(member)), b.column("n").take(pa.array(member))
+            for k, (tree, c) in enumerate(branches):
+                key = T.mix(T.mix(size + np.uint64(tree << 8) + np.uint64(c << 16)) + T.mix(values[member, k]))
+                yield pa.RecordBatch.from_arrays([_signed(key), rep, count], names=["node", "rep", "n"])
+
+    return reps.select("rep", "n", "roots").mapInArrow(run, "node bigint, rep bigint, n bigint")
 
 
 def _grown(big: DataFrame, reps: DataFrame) -> DataFrame:
@@ -175,11 +183,56 @@ def _grown(big: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            node = b.column("node").to_numpy().view(np.uint64)
-            own, keys = _children(node, _minima(b.column("minima")))
+            own, keys = _children(b.column("node").to_numpy().view(np.uint64), _rows(b.column("short"), np.uint8, COORDINATES))
             yield pa.RecordBatch.from_arrays([_signed(keys), b.column("rep").take(pa.array(own)), b.column("n").take(pa.array(own))], names=["node", "rep", "n"])
 
-    return big.join(reps.select("rep", "minima"), "rep").select("node", "rep", "n", "minima").mapInArrow(run, "node bigint, rep bigint, n bigint")
+    return big.join(reps.select("rep", "short"), "rep").select("node", "rep", "n", "short").mapInArrow(run, "node bigint, rep bigint, n bigint")
+
+
+class _Bitmap:
+    """A bitmap of the keys of a table, of bounded size: leaves out most rows of another that have no partner."""
+
+    def __init__(self, keys: DataFrame):
+        name = keys.columns[0]
+        bits = FILTER_BITS
+        n = keys.count()
+        while bits > 1 << 16 and bits > 64 * n:
+            bits >>= 1
+        self.bits = bits
+
+        def mark(batches):
+            held = np.zeros(bits >> 3, np.uint8)
+            for b in batches:
+                p = self._places(b.column(name))
+                np.bitwise_or.at(held, p >> 3, (1 << (p & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["bits"])
+
+        marked = np.zeros(bits >> 3, np.uint8)
+        for r in keys.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+            marked |= np.frombuffer(r[0], np.uint8)
+        self.held = keys.sparkSession.sparkContext.broadcast(marked)
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits} | ({"held": self.held} if hasattr(self, "held") else {})
+
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        return (T.mix(keys.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(self.bits)).astype(np.int64)
+
+    def may_have(self, keys: pa.Array) -> pa.Array:
+        p = self._places(keys)
+        return pa.array((self.held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+
+
+def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` that have a partner in the distinct ``keys``, joined on that column."""
+    name = keys.columns[0]
+    bitmap = _Bitmap(keys)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(bitmap.may_have(b.column(name)))
+
+    return df.mapInArrow(run, df.schema).join(keys, name)
 
 
 def _by_group(f):
@@ -289,30 +342,12 @@ def _verified(rules: JoinRules):
 
 
 def _filtered_sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
-    """Full sets of the documents whose id may be among ``wanted``; a bitmap of bounded size leaves out most others."""
-    bits = FILTER_BITS
-    while bits > 1 << 16 and bits > 64 * wanted.count():
-        bits >>= 1
-
-    def places(ids: np.ndarray) -> np.ndarray:
-        return (T.mix(ids.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
-
-    def mark(batches):
-        held = np.zeros(bits >> 3, np.uint8)
-        for b in batches:
-            p = places(b.column("rep").to_numpy())
-            np.bitwise_or.at(held, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["bits"])
-
-    marked = np.zeros(bits >> 3, np.uint8)
-    for r in wanted.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        marked |= np.frombuffer(r[0], np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(marked)
+    """Full sets of the documents whose id may be among ``wanted``."""
+    bitmap = _Bitmap(wanted)
 
     def run(batches):
         for b in T.chunks(batches, "text"):
-            p = places(b.column("id").fill_null(-1).to_numpy(zero_copy_only=False))
-            b = b.filter(pa.array((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            b = b.filter(bitmap.may_have(b.column("id")))
             if b.num_rows:
                 g, bounds = shingle_sets(T.texts(b.column("text")), rules.shingle)
                 raw = g.tobytes()
@@ -348,20 +383,20 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     T.prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = written(_digested(docs, rules), "sets")
-    reps = base.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("minima").alias("minima"), F.first("short").alias("short"), F.count("*").alias("copies"))
+    reps = base.filter("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("roots").alias("roots"), F.first("short").alias("short"), F.count("*").alias("copies"))
     reps = written(reps, "reps")
 
     level = _roots(reps, rules)
     clusters = None
     for depth in range(rules.max_depth + 1):
         level = written(level.distinct() if depth else level, "nodes")
-        stats = level.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.sum(F.hash("rep").cast("bigint")).alias("h1"), F.bit_xor(F.xxhash64("rep")).alias("h2")).filter("c > 1")
+        stats = level.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("rep")).alias("h")).filter("c > 1")
         stats = written(stats, "stats")
         fits = (F.col("c") <= rules.node_limit) & ((F.col("s") <= rules.node_shingles) | (F.col("c") <= 2))
-        once = stats.filter(fits).groupBy("c", "h1", "h2").agg(F.min("node").alias("node"))  # the same members in several trees are compared once
-        small = level.join(once.select("node"), "node")
-        large = level.join(stats.filter(~fits).select("node"), "node")
+        once = written(stats.filter(fits).groupBy("c", "s", "h").agg(F.min("node").alias("node")), "once")  # the same members in several trees are compared once
+        small = _among(level, once.select("node"))
         more = stats.filter(~fits).limit(1).count()
+        large = _among(level, stats.filter(~fits).select("node")) if more else None
         if more and depth == rules.max_depth:  # blocks that share pivots
             blocks = large.join(stats.select("node", "c"), "node").withColumn("k", F.ceil(F.col("c") * 2 / rules.node_limit).cast("bigint"))
             spread = F.pmod(F.xxhash64("rep", "node"), F.col("k"))
