@@ -81,3 +81,21 @@ def extract_body(url: Column, html: Column, least: int = 200) -> tuple[Column, C
         fits = url.contains(host) & (F.length(own) > least)
         text, method = F.when(fits, own).otherwise(text), F.when(fits, site).otherwise(method)
     return text, method
+
+
+#: Charset names and the decoders that read them here.
+CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
+
+
+def decode_html(content: Column, header: Column, sniffed: int = 2048) -> tuple[Column, Column]:
+    """(text, charset) of page bytes: the charset of the content type header, else one named in the first bytes, else UTF-8.
+
+    A charset without a decoder gives a null text and its name, for an outside decoder.
+    """
+    named = r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9_-]+)"
+    start = F.decode(F.substring(content, 1, sniffed), "ISO-8859-1")
+    found = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(header, F.lit("")), named, 1), F.lit("")), F.nullif(F.regexp_extract(start, named, 1), F.lit("")), F.lit("utf-8")))
+    text = F.lit(None).cast("string")
+    for name, decoder in CHARSETS.items():
+        text = F.when(found == name, F.decode(content, decoder) if decoder != "UTF-8" else F.make_valid_utf8(content.cast("string"))).otherwise(text)
+    return text, found

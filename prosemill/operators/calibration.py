@@ -143,6 +143,18 @@ def describe(values: DataFrame, *by: str) -> DataFrame:
     return values.groupBy(*by).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_pop("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
+def breakdown(values: DataFrame, threshold: float, *by: str, fires: str = "ge") -> DataFrame:
+    """Count, mean and share at a threshold for each column of ``by`` alone and for all rows (nulls mark what is summed over)."""
+    hit = F.col("value") >= threshold if fires == "ge" else F.col("value") <= threshold
+    sets = [[F.col(c)] for c in by] + [[]]
+    return values.filter("value is not null").groupingSets(sets, *by).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.avg("value").alias("mean"), F.avg(hit.cast("double")).alias("rate"))
+
+
+def with_subgroups(docs: DataFrame, group: str = "grp", subgroup: str = "subgroup") -> DataFrame:
+    """A row per group a document belongs to: its group, and its sub-group as a group of its own."""
+    return docs.withColumn(group, F.explode(F.array_compact(F.array(F.col(group), F.col(subgroup)))))
+
+
 def verdict(fp_rate: Column, hit_rate: Column, strong: float = 0.10) -> Column:
     """GO for a low false-positive and a strong detection rate, WEAK for a low one only, else NO-GO."""
     return F.when((fp_rate < 0.05) & (hit_rate >= strong), "GO").when(fp_rate < 0.05, "WEAK").otherwise("NO-GO")

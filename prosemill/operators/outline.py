@@ -53,6 +53,22 @@ def headings(outlined: DataFrame) -> DataFrame:
     return out.select("doc_id", "line", "level", "text", F.length("text").alias("length"), template.alias("template"), pattern.alias("pattern"))
 
 
+def heading_grammar(tokenised: DataFrame) -> DataFrame:
+    """From headings with a ``morphemes`` array: content parts of speech in order, and whether the heading ends in a noun."""
+    content = "filter(morphemes, m -> m.pos0 in ('名詞', '動詞', '形容詞', '副詞'))"
+    last = "element_at(filter(morphemes, m -> m.pos0 not in ('補助記号', '空白')), -1)"
+    return tokenised.select("doc_id", "line", "level", F.expr(f"array_join(transform({content}, m -> m.pos0), '/')").alias("signature"), F.expr(f"coalesce(if(size(morphemes) > 0, {last}.pos0 = '名詞', false), false)").alias("nominal"))
+
+
+def signature_shares(grammar: DataFrame) -> DataFrame:
+    """Per document and level and over all levels: share of the commonest signature and of nominal endings among all headings."""
+    counts = grammar.groupBy("doc_id", "level", "signature").agg(F.count("*").alias("c"), F.count_if("nominal").alias("nominal"))
+    by_level = counts.groupBy("doc_id", "level").agg((F.max("c") / F.sum("c")).alias("dominant_share"), (F.sum("nominal") / F.sum("c")).alias("nominal_ratio"))
+    whole = counts.groupBy("doc_id", "signature").agg(F.sum("c").alias("c"), F.sum("nominal").alias("nominal"))
+    overall = whole.groupBy("doc_id").agg((F.max("c") / F.sum("c")).alias("dominant_share"), (F.sum("nominal") / F.sum("c")).alias("nominal_ratio"))
+    return by_level.unionByName(overall.withColumn("level", F.lit(None).cast("int")))
+
+
 def heading_statistics(found: DataFrame) -> DataFrame:
     """Per document and level, and over all levels (level null): count, mean length, its variation, template hits and structural share."""
     mean = F.avg("length")

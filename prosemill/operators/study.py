@@ -93,6 +93,31 @@ def issue_clusters(issues: DataFrame, total_items: int) -> DataFrame:
     return out.select("file", "section", (F.col("w") * F.col("items") / total_items).alias("score"), "items", "samples").orderBy(F.desc("score"), "file", "section")
 
 
+def manifest_errors(items: DataFrame) -> DataFrame:
+    """From (id, doctype, mode, topic, source): id and error of every item that breaks a rule."""
+    twice = F.count("*").over(Window.partitionBy("id")) > 1
+    errors = F.array(
+        F.when(~F.coalesce(F.col("id").rlike("^[A-Za-z0-9_-]+$"), F.lit(False)), "id"),
+        F.when(F.col("twice"), "duplicate id"),
+        F.when(~F.coalesce(F.col("doctype").isin("minutes", "report", "guide", "memo", "slide"), F.lit(False)), "doctype"),
+        F.when(~F.coalesce(F.col("mode").isin("generate", "rewrite"), F.lit(False)), "mode"),
+        F.when((F.col("mode") == "generate") & F.col("topic").isNull(), "topic missing"),
+        F.when((F.col("mode") == "rewrite") & F.col("source").isNull(), "source missing"),
+    )
+    return items.withColumn("twice", twice).select("id", F.explode(F.array_compact(errors)).alias("error"))
+
+
+def supported(effect: Column, p: Column) -> Column:
+    """The preregistered decision: an effect over zero with p under .05."""
+    return F.coalesce((effect > 0) & (p < 0.05), F.lit(False))
+
+
+def trigger_accuracy(cases: DataFrame) -> DataFrame:
+    """From (set, should_trigger, triggered): cases and accuracy per set and over all (set null)."""
+    right = (F.col("should_trigger") == F.col("triggered")).cast("double")
+    return cases.groupingSets([[F.col("set")], []], "set").agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"), F.count_if("should_trigger").alias("positive"))
+
+
 def truncated(text: Column, size: int = 120) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("…"))).otherwise(text)
 

@@ -42,6 +42,23 @@ def run_lint(prepared: DataFrame, pack: Pack = JA, genre: str | None = None, exp
     return rows.select("doc_id", "ix", "x.finding.*").filter(~F.col("category").isin(*hidden) if hidden else F.lit(True))
 
 
+def run_full_lint(prepared: DataFrame, pack: Pack = JA) -> DataFrame:
+    """The pass that calibration counts: every rule, default thresholds, and structure read with comments in place."""
+    return run_lint(prepared.withColumn("bare", F.col("text")), pack, experimental=True)
+
+
+def find_line(lines: str, needle: str, hint: str = "0") -> str:
+    """SQL: the first line from ``hint`` on that has the needle, else the first of all, else the hint or 1."""
+    at = f"transform(filter({lines}, l -> contains(l.masked, {needle})), l -> l.no)"
+    return f"coalesce(array_min(filter({at}, n -> n >= {hint})), array_min({at}), nullif({hint}, 0), 1)"
+
+
+def clean_text(prepared: DataFrame, longest: int = 2000) -> DataFrame:
+    """Prose lines of a document joined, cut to the length that external language models read."""
+    kept = F.filter(F.transform("lines", lambda x: x["masked"]), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != "")
+    return prepared.select("doc_id", F.substring(F.array_join(kept, "\n"), 1, longest).alias("text"))
+
+
 def count_by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
@@ -90,4 +107,4 @@ def baseline_diff(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return now.join(old, on, "full_outer").select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("a.category", "b.category").alias("category"), F.coalesce("a.excerpt", "b.excerpt").alias("excerpt"), status.alias("status"))
 
 
-__all__ = ["baseline_diff", "count_by_category", "identity_key", "naturalness", "prepare", "run_lint", "ustrip", "valid_baseline"]
+__all__ = ["baseline_diff", "clean_text", "count_by_category", "find_line", "identity_key", "naturalness", "prepare", "run_full_lint", "run_lint", "ustrip", "valid_baseline"]

@@ -426,6 +426,33 @@ def document_vectors(spark, d):
     return out.select("doc", F.size("vec").cast("bigint").alias("dims"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
 
 
+@query("value_breakdown", "SELECT event_type, user_id, count(*) AS n, round(avg(value), 6) AS mean, round(avg(CASE WHEN value >= 50 THEN 1.0 ELSE 0 END), 9) AS rate FROM events WHERE value IS NOT NULL GROUP BY GROUPING SETS ((event_type), (user_id), ())")
+def value_breakdown(spark, d):
+    out = C.breakdown(table(spark, d, "events"), 50.0, "event_type", "user_id")
+    return out.select("event_type", "user_id", "n", F.round("mean", 6).alias("mean"), F.round("rate", 9).alias("rate"))
+
+
+@query("clean_texts", f"WITH {LINES} SELECT doc_id, substr(string_agg(t, chr(10) ORDER BY line), 1, 2000) AS text FROM lines WHERE {STRIP.format('t')} <> '' GROUP BY 1")
+def clean_texts(spark, d):
+    return lint.clean_text(prepared(spark, d)).filter("text <> ''")
+
+
+@query("find_line", f"WITH {LINES} SELECT doc_id, coalesce(min(line) FILTER (WHERE contains(t, ' the ') AND line >= 3), min(line) FILTER (WHERE contains(t, ' the ')), 3) AS line FROM lines GROUP BY 1")
+def find_line(spark, d):
+    return prepared(spark, d).filter("size(lines) > 0").select("doc_id", F.expr(lint.find_line("lines", "' the '", "3")).alias("line"))
+
+
+@query("trigger_accuracy", "WITH c AS (SELECT role AS set, conv_id % 3 > 0 AS a, turn % 2 = 0 AS b FROM conversations) SELECT set, count(*) AS n, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END), 9) AS accuracy, count(*) FILTER (WHERE a) AS positive FROM c GROUP BY GROUPING SETS ((set), ())")
+def trigger_accuracy(spark, d):
+    cases = table(spark, d, "conversations").select(F.col("role").alias("set"), (F.col("conv_id") % 3 > 0).alias("should_trigger"), (F.col("turn") % 2 == 0).alias("triggered"))
+    return study.trigger_accuracy(cases).select("set", "n", F.round("accuracy", 9).alias("accuracy"), "positive")
+
+
+@query("full_lint")
+def full_lint(spark, d):
+    return lint.run_full_lint(prepared(spark, d), LATIN).groupBy("category", "severity").agg(F.count("*").alias("n"))
+
+
 @query("ab_assignment", "SELECT item_id, CASE WHEN ('0x' || sha256(CAST(item_id AS VARCHAR))[1:2])::INTEGER % 2 = 1 THEN 'B' ELSE 'A' END AS side FROM benchmark")
 def ab_assignment(spark, d):
     return table(spark, d, "benchmark").select("item_id", study.ab_side(F.col("item_id").cast("string")).alias("side"))

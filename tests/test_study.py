@@ -120,3 +120,16 @@ def test_json_in_replies(spark):
     rows = [('{"a": 1}',), ("x ```json\n{\"a\": 2}\n``` y",), ('so {"a": 3} it is',), ("none",)]
     got = spark.createDataFrame(rows, "t string").select(study.json_in(F.col("t"), "a int").alias("j")).collect()
     assert [r.j.a if r.j else None for r in got] == [1, 2, 3, None]
+
+
+def test_manifest_and_decision(spark):
+    rows = [("a", "memo", "generate", "t", None), ("a", "memo", "rewrite", None, None), ("b c", "x", "other", None, None)]
+    got = {(r.id, r.error) for r in study.manifest_errors(spark.createDataFrame(rows, "id string, doctype string, mode string, topic string, source string")).collect()}
+    assert got == {("a", "duplicate id"), ("a", "source missing"), ("b c", "id"), ("b c", "doctype"), ("b c", "mode")}
+    row = spark.range(1).select(study.supported(F.lit(0.1), F.lit(0.01)).alias("a"), study.supported(F.lit(0.1), F.lit(None).cast("double")).alias("b")).first()
+    assert (row.a, row.b) == (True, False)
+
+
+def test_subgroups(spark):
+    df = spark.createDataFrame([("h", "b"), ("h", None)], "grp string, subgroup string")
+    assert sorted(r.grp for r in calibration.with_subgroups(df).collect()) == ["b", "h", "h"]

@@ -99,3 +99,19 @@ def test_mtld(spark):
     got = spark.range(1).select(F.expr(metrics.mtld("array(" + ",".join(f"'{w}'" for w in words) + ")"))).first()[0]
     assert got == pytest.approx((factor(words) + factor(words[::-1])) / 2)
     assert spark.range(1).select(F.expr(metrics.mtld("array('a')"))).first()[0] is None
+
+
+def test_decode(spark):
+    rows = [("é".encode("latin-1"), "text/html; charset=ISO-8859-1"), ("<meta charset='utf-8'>é".encode(), None), (b"x", "charset=shift_jis")]
+    text, name = html.decode_html(F.col("b"), F.col("h"))
+    got = spark.createDataFrame(rows, "b binary, h string").select(text.alias("t"), name.alias("n")).collect()
+    assert [tuple(r) for r in got] == [("é", "iso-8859-1"), ("<meta charset='utf-8'>é", "utf-8"), (None, "shift_jis")]
+
+
+def test_heading_grammar(spark):
+    df = spark.sql("select 1 doc_id, 1 line, 1 level, array(named_struct('pos0', '名詞'), named_struct('pos0', '助詞'), named_struct('pos0', '名詞'), named_struct('pos0', '補助記号')) morphemes")
+    from prosemill.operators import outline
+
+    g = outline.heading_grammar(df)
+    assert tuple(g.first())[3:] == ("名詞/名詞", True)
+    assert {(r.level, r.dominant_share, r.nominal_ratio) for r in outline.signature_shares(g).collect()} == {(1, 1.0, 1.0), (None, 1.0, 1.0)}
