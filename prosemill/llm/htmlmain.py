@@ -164,7 +164,7 @@ def _branches(path: str) -> Iterator[str]:
 
 
 def style_rows(html: str) -> set[tuple[str, str, int]]:
-    """(path, kind, hash) of one page: `s` for a node's sequence of child tags, `t` for a text block below the path."""
+    """(path, kind, hash) of one page: `s` for a node's sequence of child tags, `t` for a text block that begins at the path."""
     out: set[tuple[str, str, int]] = set()
     children: dict[int, tuple[str, list[str]]] = {}
     kept: list[Node] = []
@@ -181,8 +181,8 @@ def style_rows(html: str) -> set[tuple[str, str, int]]:
             children.setdefault(id(node), (node.path, []))
     out |= {(path, "s", _hashed(" ".join(tags))) for path, tags in children.values()}
     for node, text in blocks(html):
-        h = _hashed(text)
-        out |= {(path, "t", h) for path in _branches(node.path)} if node.path else set()
+        if node.path:
+            out.add((node.path, "t", _hashed(text)))
     return out
 
 
@@ -207,12 +207,18 @@ def low_importance(pages: DataFrame, rules: TreeRules) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.string()), pa.array(hashes, pa.int64())], names=["host", "path", "kind", "hash"])
 
     seen = pages.mapInArrow(run, "host string, path string, kind string, hash bigint").groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("n"))
-    # per merged node: pages that have it, presentation entropy, mean share of pages (log scale) of its text blocks
-    styles = seen.groupBy("host", "path").agg(
+    # per merged node: pages that have it, presentation entropy, mean share of pages (log scale) of the text blocks below it
+    nodes = seen.groupBy("host", "path").agg(
         F.sum(F.when(F.col("kind") == "s", F.col("n"))).alias("m"),
         F.sum(F.when(F.col("kind") == "s", F.col("n") * F.log("n"))).alias("mlog"),
-        F.avg(F.when(F.col("kind") == "t", F.log("n"))).alias("shared"),
+        F.sum(F.when(F.col("kind") == "t", F.log("n"))).alias("tlog"),
+        F.count_if(F.col("kind") == "t").alias("blocks"),
     )
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    row = F.struct(F.col("branch"), F.when(F.col("branch") == F.col("path"), F.col("m")).alias("m"), F.when(F.col("branch") == F.col("path"), F.col("mlog")).alias("mlog"), "tlog", "blocks")
+    spread = nodes.filter("path <> ''").withColumn("branch", F.explode(above)).select("host", row.alias("x")).select("host", "x.*")
+    styles = spread.groupBy("host", F.col("branch").alias("path")).agg(F.max("m").alias("m"), F.max("mlog").alias("mlog"), F.try_divide(F.sum("tlog"), F.sum("blocks")).alias("shared"))
     m = F.col("m")
     presentation = F.greatest(F.log(m) - F.col("mlog") / m, F.lit(0.0)) / F.log(m)
     content = 1 - F.col("shared") / F.log(m)
