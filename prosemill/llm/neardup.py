@@ -56,8 +56,8 @@ class JoinRules:
     percent: int = 85
     shingle: int = 5
     trees: int = 8
-    node_limit: int = 1024
-    node_shingles: int = 1_500_000
+    node_limit: int = 2048
+    node_shingles: int = 3_000_000
     max_depth: int = 24
 
 
@@ -396,7 +396,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         once = written(stats.filter(fits).groupBy("c", "s", "h").agg(F.min("node").alias("node")), "once")  # the same members in several trees are compared once
         small = _among(level, once.select("node"))
         more = stats.filter(~fits).limit(1).count()
-        large = _among(level, stats.filter(~fits).select("node")) if more else None
+        large = level.join(stats.filter(~fits).select("node"), "node")
         if more and depth == rules.max_depth:  # blocks that share pivots
             blocks = large.join(stats.select("node", "c"), "node").withColumn("k", F.ceil(F.col("c") * 2 / rules.node_limit).cast("bigint"))
             spread = F.pmod(F.xxhash64("rep", "node"), F.col("k"))
