@@ -17,6 +17,11 @@ from pyspark.sql import functions as F
 LENGTH_BINS = (0, 1000, 2000, 4000)
 
 
+def _categories(findings: DataFrame) -> Column:
+    """The categories that occur, as one array: a scalar subquery, bounded by the rules there are."""
+    return findings.agg(F.collect_set("category").alias("c")).scalar()
+
+
 def fire_rates(docs: DataFrame, findings: DataFrame, group: str = "grp") -> DataFrame:
     """Category by group: share of documents with a finding, and findings per 1000 characters.
 
@@ -25,8 +30,7 @@ def fire_rates(docs: DataFrame, findings: DataFrame, group: str = "grp") -> Data
     """
     totals = docs.groupBy(group).agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
     hits = findings.groupBy("doc_id", "category").agg(F.count("*").alias("hits")).join(docs.select("doc_id", group), "doc_id").groupBy("category", group).agg(F.count("*").alias("fired"), F.sum("hits").alias("hits"))
-    # one row per category with its groups, so the grid is small before it is completed
-    grid = findings.select("category").distinct().join(F.broadcast(totals), how="cross")
+    grid = totals.withColumn("category", F.explode(_categories(findings)))
     out = grid.join(hits, ["category", group], "left")
     rate = lambda a, b: F.try_divide(F.coalesce(a, F.lit(0)), b)
     return out.select("category", group, "docs", F.coalesce("fired", F.lit(0)).alias("fired"), rate(F.col("fired"), F.col("docs")).alias("fire_rate"), rate(F.col("hits") * 1000, F.nullif("chars", F.lit(0))).alias("per_1000"))
@@ -83,7 +87,7 @@ def length_analysis(docs: DataFrame, findings: DataFrame) -> DataFrame:
     binned = docs.select("doc_id", "is_ai", length_bin(F.col("n_chars")).alias("bin"))
     totals = binned.groupBy("bin").agg(F.count_if(~F.col("is_ai")).alias("human_docs"), F.count_if("is_ai").alias("ai_docs"))
     fired = findings.select("doc_id", "category").distinct().join(binned, "doc_id").groupBy("category", "bin").agg(F.count_if(~F.col("is_ai")).alias("human_fired"), F.count_if("is_ai").alias("ai_fired"))
-    grid = findings.select("category").distinct().join(F.broadcast(totals), how="cross").join(fired, ["category", "bin"], "left").fillna(0, ["human_fired", "ai_fired"])
+    grid = totals.withColumn("category", F.explode(_categories(findings))).join(fired, ["category", "bin"], "left").fillna(0, ["human_fired", "ai_fired"])
     better = F.try_divide("ai_fired", "ai_docs") > F.try_divide("human_fired", "human_docs")
     return grid.withColumn("effective_from", F.min(F.when(better, F.col("bin"))).over(Window.partitionBy("category")))
 
