@@ -1 +1 @@
-
+"""Operators: DataFrames or columns in, DataFrames out."""

@@ -1 +1 @@
-
+"""Rules and thresholds as data."""

@@ -1 +1 @@
-
+"""Corpus sources and sinks."""

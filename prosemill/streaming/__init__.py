@@ -1 +1 @@
-
+"""Streaming intake."""
