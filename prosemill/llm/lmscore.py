@@ -12,7 +12,8 @@ different four-gram, over all rows of the corpus; smoothing is joins and sums of
 those tables. Scoring reads the model in blocks of at most ``BLOCK_ROWS``
 four-grams, one scan stage for each, so what is broadcast is bounded however
 many four-grams the corpus has; every four-gram counts, none is pruned. Target
-rows are selected by a join on their ids.
+rows are selected by a join on their ids, which are broadcast only up to a counted
+size, so that texts are not shuffled for it.
 
 Defined results: a null or empty text has no token, null losses and a null
 score; repeated rows repeat (and count repeatedly); with no target row the
@@ -32,6 +33,8 @@ from . import textops as T
 from .shared import written
 
 BLOCK_ROWS = 4_000_000
+#: Target ids that are broadcast (16 bytes each); more of them are joined with a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -105,7 +108,8 @@ def score_cross_entropy(df: DataFrame, target_ids: DataFrame, id_col: str = "doc
     spark = df.sparkSession
     T.prepare(spark)
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    chosen = docs.join(target_ids.select(F.col(target_ids.columns[0]).alias("__id")).distinct(), "__id", "left_semi")
+    ids = written(target_ids.select(F.col(target_ids.columns[0]).alias("__id")).distinct(), "targets")
+    chosen = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__id", "left_semi")
     table = written(losses(count_grams(chosen.select("__text"), "t"), count_grams(docs.select("__text"), "b"), rules), "losses")
     blocks = max(1, -(-table.count() // BLOCK_ROWS))
     out = docs.select("__id", "__text", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("b"))
