@@ -21,8 +21,10 @@ documents with a likely partner. Nothing of document count goes to the driver;
 the one broadcast is a bitmap of at most ``FILTER_BITS`` bits. Classes of copies
 do not meet in one task: counts and minima are pre-aggregated and joins on a hot
 set leave its rows free to be split. A node that is still too large after
-``max_depth`` levels is dealt into blocks that share pivots, differently in each
-tree.
+``max_depth`` levels is finished exactly, on the full sets: members that link to
+the node's pivot are one star, and every other member is compared with every
+member, block against block. That work is linear in the star and grows with
+the product of the other members and all members.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
 and is kept; fewer than five words are one shingle; a null id never names a
@@ -341,6 +343,43 @@ def _verified(rules: JoinRules):
     return f
 
 
+def _starred(rules: JoinRules):
+    """Whether members of a node, given with their own set and that of the node's pivot, link to the pivot."""
+
+    def run(batches):
+        for b in T.chunks(batches, "grams"):
+            linked = []
+            for own, center in zip(b.column("grams"), b.column("center"), strict=True):
+                x, y = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(center.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * both >= rules.percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "rep", "n", "pivot")), pa.array(linked, pa.bool_())], names=["node", "rep", "n", "pivot", "linked"])
+
+    return run
+
+
+def _finished(docs: DataFrame, members: DataFrame, rules: JoinRules) -> tuple[DataFrame, DataFrame]:
+    """Links of pivots (a, b) and clusters (cluster, rep) that hold all other pairs of nodes that stay large."""
+    members = written(members.select("node", "rep", "n"), "members")
+    sets = _filtered_sets(docs, members.select("rep").distinct(), rules)
+    pivots = written(members.groupBy("node").agg(F.min("rep").alias("rep")).join(sets, "rep").select("node", F.col("rep").alias("pivot"), F.col("grams").alias("center")).dropDuplicates(["node"]), "pivots")
+    tested = members.join(sets, "rep").join(pivots, "node").select("node", "rep", "n", "pivot", "grams", "center").mapInArrow(_starred(rules), "node bigint, rep bigint, n bigint, pivot bigint, linked boolean")
+    tested = written(tested.distinct(), "stars")
+    rest = tested.filter("not linked").select("node", "rep", "n")
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        count = F.greatest(F.ceil(F.count("*") * 2 / rules.node_limit), F.ceil(F.sum("n") * 2 / rules.node_shingles))
+        return rows.groupBy("node").agg(count.cast("bigint").alias(name))
+
+    counts = written(dealt(rest, "rows").join(dealt(members, "columns"), "node"), "blocks")
+    upto = lambda name: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(name) - 1))
+    spread = lambda name: F.pmod(F.xxhash64("rep", "node"), F.col(name))
+    down = rest.join(counts, "node").select("node", "rep", spread("rows").alias("i"), upto("columns").alias("j"))
+    across = members.join(counts, "node").select("node", "rep", upto("rows").alias("i"), spread("columns").alias("j"))
+    clusters = down.union(across).select(F.xxhash64("node", "i", "j").alias("cluster"), "rep")
+    return tested.filter("linked and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")), clusters
+
+
 def _filtered_sets(docs: DataFrame, wanted: DataFrame, rules: JoinRules) -> DataFrame:
     """Full sets of the documents whose id may be among ``wanted``."""
     bitmap = _Bitmap(wanted)
@@ -387,7 +426,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = written(reps, "reps")
 
     level = _roots(reps, rules)
-    clusters = None
+    clusters = stars = None
     for depth in range(rules.max_depth + 1):
         level = written(level.distinct() if depth else level, "nodes")
         stats = level.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("rep")).alias("h")).filter("c > 1")
@@ -397,15 +436,13 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         small = _among(level, once.select("node"))
         more = stats.filter(~fits).limit(1).count()
         large = level.join(stats.filter(~fits).select("node"), "node")
-        if more and depth == rules.max_depth:  # blocks that share pivots
-            blocks = large.join(stats.select("node", "c"), "node").withColumn("k", F.ceil(F.col("c") * 2 / rules.node_limit).cast("bigint"))
-            spread = F.pmod(F.xxhash64("rep", "node"), F.col("k"))
-            pivot = F.pmod(F.xxhash64("node", "rep"), F.col("c")) < rules.node_limit // 8
-            dealt = blocks.withColumn("block", F.explode(F.when(pivot, F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).otherwise(F.array(spread))))
-            small = small.unionByName(dealt.select(F.xxhash64("node", "block").alias("node"), "rep", "n"))
         near = small.join(reps.select("rep", "short"), "rep").select("node", "rep", "n", "short").repartition("node").sortWithinPartitions("node").mapInArrow(_by_group(_likely(rules)), "cluster bigint, rep bigint")
         near = written(near.distinct(), "near")
         clusters = near if clusters is None else clusters.union(near)
+        if more and depth == rules.max_depth:
+            whole = stats.filter(~fits).groupBy("c", "s", "h").agg(F.min("node").alias("node")).select("node")
+            stars, blocks = _finished(docs, level.join(whole, "node"), rules)
+            clusters = clusters.union(blocks)
         if not more or depth == rules.max_depth:
             break
         grown = _grown(large, reps)
@@ -414,7 +451,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = clusters.select("rep").distinct()
     sets = _filtered_sets(docs, wanted, rules).join(clusters, "rep").select("cluster", "rep", "grams")
     links = sets.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_by_group(_verified(rules)), "a bigint, b bigint")
-    labels = components(links)
+    labels = components(links if stars is None else links.union(stars))
     # classes of one row that are linked with nothing need no label
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").filter("label is not null or copies > 1").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = base.select("id", "n", "digest").join(named, "digest", "left")
