@@ -52,6 +52,10 @@ _XOR = _seeds.randint(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32
 _MUL = _seeds.randint(0, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
+#: The stage's similarity; the 85 of ``JoinRules`` is that of op10.
+STAGE_PERCENT = 80
+
+
 @dataclass(frozen=True)
 class JoinRules:
     #: Links have 100 * intersection >= percent * union.
@@ -101,23 +105,23 @@ def minwise(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chosen(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The coordinates that nodes select: always one, and for about a fifth of the nodes a second."""
+def _chosen(node: np.ndarray, percent: int = 85) -> tuple[np.ndarray, np.ndarray]:
+    """The coordinates that nodes select: always one, and a second for so many nodes that a pair at the threshold shares 1.02 children (a fifth at 85)."""
     x = T.mix(node ^ np.uint64(0xA5A5A5A55A5A5A5A))
     first = (x % np.uint64(COORDINATES)).astype(np.int64)
     second = ((x >> np.uint64(20)) % np.uint64(COORDINATES)).astype(np.int64)
-    return first, np.where((x >> np.uint64(40)) % np.uint64(100) < 20, second, -1)
+    return first, np.where((x >> np.uint64(40)) % np.uint64(100) < np.uint64(min(-(-10200 // percent) - 100, 100)), second, -1)
 
 
-def _root_coordinates(trees: int) -> list[tuple[int, int]]:
+def _root_coordinates(trees: int, percent: int = 85) -> list[tuple[int, int]]:
     """(tree, coordinate) of every branch at the roots; all sets of a tree branch there alike."""
-    first, second = _chosen(T.mix(np.arange(1, trees + 1, dtype=np.uint64)))
+    first, second = _chosen(T.mix(np.arange(1, trees + 1, dtype=np.uint64)), percent)
     return [(k, int(c)) for k in range(trees) for c in dict.fromkeys((first[k], second[k])) if c >= 0]
 
 
-def _children(node: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _children(node: np.ndarray, values: np.ndarray, percent: int = 85) -> tuple[np.ndarray, np.ndarray]:
     """Child nodes of members with the given one-byte minwise values: member index and child key."""
-    first, second = _chosen(node)
+    first, second = _chosen(node, percent)
     at = np.arange(len(node))
     own, keys = [], []
     for c in (first, np.where(second == first, -1, second)):
@@ -137,7 +141,7 @@ def _blobs(a: np.ndarray) -> pa.Array:
 
 def _digested(docs: DataFrame, rules: JoinRules) -> DataFrame:
     """id, n (set size), digest of the set, its minwise values at the roots' coordinates, and one byte of all of them."""
-    at_roots = [c for _, c in _root_coordinates(rules.trees)]
+    at_roots = [c for _, c in _root_coordinates(rules.trees, rules.percent)]
 
     def run(batches):
         for b in T.chunks(batches, "text"):
@@ -162,7 +166,7 @@ def _roots(reps: DataFrame, rules: JoinRules) -> DataFrame:
 
     Size classes are octaves; a set close enough to the next one to have partners there belongs to it too.
     """
-    branches = _root_coordinates(rules.trees)
+    branches = _root_coordinates(rules.trees, rules.percent)
 
     def run(batches):
         for b in batches:
@@ -180,12 +184,12 @@ def _roots(reps: DataFrame, rules: JoinRules) -> DataFrame:
     return reps.select("rep", "n", "roots").mapInArrow(run, "node bigint, rep bigint, n bigint")
 
 
-def _grown(big: DataFrame, reps: DataFrame) -> DataFrame:
+def _grown(big: DataFrame, reps: DataFrame, rules: JoinRules) -> DataFrame:
     """The children of members of large nodes."""
 
     def run(batches):
         for b in batches:
-            own, keys = _children(b.column("node").to_numpy().view(np.uint64), _rows(b.column("short"), np.uint8, COORDINATES))
+            own, keys = _children(b.column("node").to_numpy().view(np.uint64), _rows(b.column("short"), np.uint8, COORDINATES), rules.percent)
             yield pa.RecordBatch.from_arrays([_signed(keys), b.column("rep").take(pa.array(own)), b.column("n").take(pa.array(own))], names=["node", "rep", "n"])
 
     return big.join(reps.select("rep", "short"), "rep").select("node", "rep", "n", "short").mapInArrow(run, "node bigint, rep bigint, n bigint")
@@ -445,7 +449,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             clusters = clusters.union(blocks)
         if not more or depth == rules.max_depth:
             break
-        grown = _grown(large, reps)
+        grown = _grown(large, reps, rules)
         level = grown
     clusters = written(clusters.distinct(), "clusters")
     wanted = clusters.select("rep").distinct()
@@ -461,6 +465,6 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def filter_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: JoinRules | None = None) -> DataFrame:
     """``docs`` with one row of each class, the one with the smallest id; rows without an id stay unless they are equal."""
-    gone = link_classes(docs, id_col, text_col, rules).filter("not kept").select(id_col).distinct()
+    gone = link_classes(docs, id_col, text_col, rules or JoinRules(percent=STAGE_PERCENT)).filter("not kept").select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti")
     return left.withColumn("__text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__text_hash"]).select(*docs.columns)

@@ -47,9 +47,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .neardup import link_classes
+    from .neardup import JoinRules, link_classes
 
-    return link_classes(_table(spark, sf_dir, "documents"))
+    return link_classes(_table(spark, sf_dir, "documents"), rules=JoinRules(percent=85))
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
