@@ -31,8 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the remaining documents."""
-    return spm.encode(docs, spm.codec(docs), ids=False)
+    """Token ids, counts, digests and the decoding check of the remaining documents."""
+    return spm.encode(docs, spm.codec(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -18,7 +18,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spm import codec, encode
 
     docs = _table(spark, sf_dir, "documents")
-    return encode(docs, codec(docs), ids=False)
+    return encode(docs, codec(docs))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
