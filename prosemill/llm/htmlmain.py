@@ -8,7 +8,9 @@ whose presentation never varies and whose text is shared by many pages is of low
 importance; branches of low importance are removed from each page. Elements that
 HTML itself marks as no content (scripts, styles, navigation, forms, page headers
 and footers, asides) or whose class or id says so (adverts, comments, notices)
-are removed whatever the statistics say, as a host of one page has none.
+are removed whatever the statistics say, as a host of one page has none. A class,
+id or role does not remove a branch that holds the page's article, or most of the
+text of a page without one: it is a wrapper named after what stands beside it.
 
 The statistics never judge one paragraph: text blocks directly in an article are
 one merged node, so a passage that many articles share stays.
@@ -27,6 +29,7 @@ paragraphs and list items; repeated rows repeat; a null url is host ''.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -75,6 +78,9 @@ class Node:
     dropped: bool
     content: bool
     block: bool
+    #: Branches around the node that class, id or role mark, and those around the outermost article or main it is in.
+    marks: tuple[int, ...] = ()
+    home: tuple[int, ...] | None = None
 
 
 def parse(html: str) -> Iterator[tuple[str, Node, str]]:
@@ -116,9 +122,11 @@ def parse(html: str) -> Iterator[tuple[str, Node, str]]:
         marks = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in _ATTRIBUTE.findall(m[3])} if m[3] else {}
         words = set(re.split(r"[^a-z0-9]+", " ".join(marks.values()))) if marks else set()
         content = up.content or tag in _CONTENT or marks.get("role") in _CONTENT
-        dropped = up.dropped or tag in DROPPED or (tag == "header" and not up.content) or (bool(words & MARKED) and tag not in ("html", "body") and tag not in _CONTENT)
+        dropped = up.dropped or tag in DROPPED or (tag == "header" and not up.content)
+        marked = bool(words & MARKED) and tag not in ("html", "body") and tag not in _CONTENT
+        around = (*up.marks, m.start()) if marked else up.marks
         name = tag + "".join(f".{w}" for w in sorted(marks.get("class", "").split())[:4])
-        node = Node(tag, f"{up.path}/{name}" if tag not in ("html", "body") else "", dropped, content, tag in BLOCKS)
+        node = Node(tag, f"{up.path}/{name}" if tag not in ("html", "body") else "", dropped, content, tag in BLOCKS, around, up.home if up.content else around if content else None)
         yield "open", node, ""
         if node.block:
             yield "break", node, ""
@@ -132,13 +140,31 @@ def parse(html: str) -> Iterator[tuple[str, Node, str]]:
     yield from close(1)
 
 
+def _wrappers(events: list[tuple[str, Node, str]]) -> set[int]:
+    """Marked branches that hold the page's article, or most of the text of a page without one."""
+    total, homes, inside = 0, Counter(), Counter()
+    for kind, node, raw in events:
+        if kind == "text" and not node.dropped:
+            n = len("".join(raw.split()))
+            total += n
+            if node.home is not None:
+                homes[node.home] += n
+            for k in node.marks:
+                inside[k] += n
+    if +homes:
+        return set() if homes[()] else set(homes.most_common(1)[0][0])
+    return {k for k, n in inside.items() if 2 * n > total}
+
+
 def blocks(html: str) -> Iterator[tuple[Node, str]]:
     """Text blocks of the body in page order, white space collapsed, with the node at which each begins."""
     parts: list[str] = []
     first: Node | None = None
-    for kind, node, raw in parse(html):
+    events = list(parse(html))
+    wrappers = _wrappers(events) if any(node.marks for _, node, _ in events) else set()
+    for kind, node, raw in events:
         if kind == "text":
-            if node.dropped:
+            if node.dropped or not wrappers.issuperset(node.marks):
                 continue
             if first is None and not raw.isspace():
                 first = node
