@@ -41,17 +41,21 @@ f AS (SELECT b.*, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(l.chars, 0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
 NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND line_chars <= 0.20 * greatest(word_chars, 1) AND n_symbols <= 0.05 * greatest(word_chars, 1) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
 
-# Prior strength of a level from its groups (n outcomes, k bad), by beta-binomial moments.
-_STRENGTH = """(SELECT CASE WHEN g < 2 OR kb = 0 OR kb = nb OR rho IS NULL OR rho <= 0 THEN 1000.0 ELSE least(greatest(1 / rho - 1, 2.0), 1000.0) END FROM
-(SELECT g, nb, kb, (kk - kb * kb / nb - pq * (g - 1)) / nullif(greatest(pq * (nb - nn / nb - (g - 1)), 0), 0) AS rho FROM (SELECT count(*) AS g, sum(n)::DOUBLE AS nb, sum(k)::DOUBLE AS kb, sum(n * n)::DOUBLE AS nn, sum(k * k / n::DOUBLE) AS kk, sum(k)::DOUBLE / sum(n) * (1 - sum(k)::DOUBLE / sum(n)) AS pq FROM {} WHERE n > 0)))"""
+_TWO = "('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'or.jp', 'ne.jp', 'ac.jp', 'go.jp', 'com.br', 'com.cn', 'com.mx', 'co.in', 'co.kr', 'co.za')"
+# Outcomes of groups under their parents with the sums for moments; the prior strength of a level about its parents' rates.
+_SUMS = "coalesce(sum(n), 0)::BIGINT AS n, coalesce(sum(k), 0)::BIGINT AS k, count(*) FILTER (WHERE n > 0) AS g, sum(n * n)::DOUBLE AS nn, coalesce(sum(k * k / n::DOUBLE) FILTER (WHERE n > 0), 0) AS kk"
+_STRENGTH = """(SELECT CASE WHEN coalesce(room, 0) <= 0 OR excess <= 0 THEN 1000.0 ELSE least(greatest(room / excess - 1, 2.0), 1000.0) END FROM
+(SELECT sum(kk - k * r - r * (1 - r) * (g - 1)) AS excess, sum(r * (1 - r) * (n - nn / n - (g - 1))) AS room FROM (SELECT *, k / n::DOUBLE AS r FROM {} WHERE n > 0 AND g > 1)))"""
+_PRIOR = "least({0}, {1} - n)"
 OP7 = f"""WITH p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*', 0), '{_UP}', '{_LOW}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages)),
 o AS (SELECT page_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM (SELECT page_id, try_cast(nullif(regexp_extract(path, '/([0-9]{{1,15}})[^0-9/]*/?$', 1), '') AS BIGINT) AS doc_id FROM p) x JOIN labels USING (doc_id) GROUP BY 1),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, count(*) FILTER (WHERE bad) AS k FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
-domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM hosts GROUP BY 1, 2), suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM domains GROUP BY 1),
-c AS (SELECT (sum(k) + 1) / (sum(n) + 2)::DOUBLE AS base, {_STRENGTH.format('suffixes')} AS a, {_STRENGTH.format('domains')} AS b, {_STRENGTH.format('hosts')} AS h FROM suffixes),
-sm AS (SELECT suffix, (k + a * base) / (n + a) AS m FROM suffixes, c), dm AS (SELECT domain, (k + b * m) / (n + b) AS m FROM domains JOIN sm USING (suffix), c),
-hm AS (SELECT host, (k + h * m) / (n + h) AS m, n + h + 1 AS s FROM hosts JOIN dm USING (domain), c),
-v AS (SELECT p.page_id, p.host, p.path, m - 1.645 * sqrt(m * (1 - m) / s) > 0.3 AS blocked,
+hosts AS (SELECT host, array_to_string(w[CASE WHEN array_to_string(w[-2:], '.') IN {_TWO} THEN -3 ELSE -2 END:], '.') AS domain, CASE WHEN array_to_string(w[-2:], '.') IN {_TWO} THEN array_to_string(w[-2:], '.') ELSE w[-1] END AS suffix, n, k FROM (SELECT host, string_split(host, '.') AS w, count(bad) AS n, count(*) FILTER (WHERE bad) AS k FROM p LEFT JOIN o USING (page_id) GROUP BY 1)),
+domains AS (SELECT suffix, domain, {_SUMS} FROM hosts GROUP BY 1, 2), suffixes AS (SELECT suffix, {_SUMS} FROM domains GROUP BY 1), total AS (SELECT {_SUMS} FROM suffixes),
+c AS (SELECT g AS total_g, (k + 1) / (n + 2)::DOUBLE AS base, n + 2.0 AS everything, {_STRENGTH.format('total')} AS a, {_STRENGTH.format('suffixes')} AS b, {_STRENGTH.format('domains')} AS h FROM total),
+sm AS (SELECT suffix, g AS sg, CASE WHEN n > 0 AND total_g = 1 THEN base ELSE (k + {_PRIOR.format('a', 'everything')} * base) / (n + {_PRIOR.format('a', 'everything')}) END AS s, CASE WHEN n > 0 AND total_g = 1 THEN everything ELSE n + {_PRIOR.format('a', 'everything')} END AS sw FROM suffixes, c),
+dm AS (SELECT domain, g AS dg, CASE WHEN n > 0 AND sg = 1 THEN s ELSE (k + {_PRIOR.format('b', 'sw')} * s) / (n + {_PRIOR.format('b', 'sw')}) END AS d, CASE WHEN n > 0 AND sg = 1 THEN sw ELSE n + {_PRIOR.format('b', 'sw')} END AS dw FROM domains JOIN sm USING (suffix), c),
+hm AS (SELECT host, CASE WHEN n > 0 AND dg = 1 THEN d ELSE (k + {_PRIOR.format('h', 'dw')} * d) / (n + {_PRIOR.format('h', 'dw')}) END AS m, CASE WHEN n > 0 AND dg = 1 THEN dw ELSE n + {_PRIOR.format('h', 'dw')} END AS hw FROM hosts JOIN dm USING (domain), c),
+v AS (SELECT p.page_id, p.host, p.path, m - 1.645 * sqrt(m * (1 - m) / (hw + 1)) > 0.3 AS blocked,
 CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM p LEFT JOIN hm USING (host))
 SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL OR blocked THEN 'block' ELSE 'allow' END AS verdict FROM v"""
 
