@@ -336,6 +336,7 @@ def style_tree(pages: DataFrame, rules: TreeRules) -> DataFrame:
     own = F.struct("m", "mlog", "level", "above")
     spread = nodes.select("host", F.explode("above").alias("branch"), "blocks", "blog", "chars", F.when(F.col("branch") == F.col("key"), own).alias("own"))
     tree = spread.groupBy("host", F.col("branch").alias("key")).agg(F.max("own").alias("own"), F.sum("blocks").alias("blocks"), F.sum("blog").alias("blog"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars")).select("host", "key", "own.*", "blocks", "blog", "chars")
+    tree = written(tree, "tree")  # read three times below
     whole = tree.filter("key = 0").select("host", F.col("chars").alias("whole"))
     tree = tree.join(whole, "host").withColumn("mass", F.coalesce(F.try_divide("chars", "whole"), F.lit(0.0)))
     homes = tree.filter("mass > 0.5").groupBy("host").agg(F.max_by("key", F.struct("level", "key")).alias("deepest"))
