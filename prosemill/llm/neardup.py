@@ -7,7 +7,8 @@ itself selects, to child nodes; a node of more than ``node_limit`` members (or
 more than ``node_shingles`` shingles together) branches again by coordinates of
 its own, a small one is compared exhaustively. The expected number of children
 that a pair at the threshold shares stays at or over one on every level, and
-``trees`` repeats the descent to reach the target recall. Nodes also carry a
+``trees`` repeats the descent to reach the target recall (of pairs at the
+threshold over 0.99 in a group of 12,000 near copies, which takes 17 levels). Nodes also carry a
 size class, as sets at the threshold cannot differ more in size.
 
 Small nodes are compared in two steps: by 128 one-byte minwise values with a
@@ -18,8 +19,9 @@ Links become classes by alternating large-star and small-star steps on tables.
 Scale: what is shuffled is about a dozen short rows for each distinct set, 128
 bytes for members of small nodes that are not alone, and the full sets of the
 documents with a likely partner. Nothing of document count goes to the driver;
-the one broadcast is a bitmap of at most ``FILTER_BITS`` bits. Classes of copies
-do not meet in one task: counts and minima are pre-aggregated and joins on a hot
+the one broadcast is a bitmap of at most ``FILTER_BITS`` bits, whose words are
+made by partial aggregation (past about that many keys it only stops saving work). Classes of copies
+do not meet in one task, and a cluster of many near copies is verified as pairs of blocks in as many tasks: counts and minima are pre-aggregated and joins on a hot
 set leave its rows free to be split. A node that is still too large after
 ``max_depth`` levels is finished exactly, on the full sets: members that link to
 the node's pivot are one star, and every other member is compared with every
@@ -27,8 +29,11 @@ member, block against block. That work is linear in the star and grows with
 the product of the other members and all members.
 
 Defined results: a null or empty text has an empty set, is linked with nothing
-and is kept; fewer than five words are one shingle; a null id never names a
-class; repeated rows with one id are one document, each row kept alike.
+and is kept; fewer than five words are one shingle; a row with a null id is in no
+class (null ``component_id``) and is kept; repeated rows with one id are one
+document, each row kept alike; rows with one id and different texts are judged
+each by its own text, and a link to either is one to the id; ids are of an
+integer type, anything else is an error; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +45,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, MapType, VariantType
 
 from . import textops as T
 from .shared import drop, written
@@ -61,7 +67,7 @@ class JoinRules:
     #: Links have 100 * intersection >= percent * union.
     percent: int = 85
     shingle: int = 5
-    trees: int = 8
+    trees: int = 12
     node_limit: int = 2048
     node_shingles: int = 3_000_000
     max_depth: int = 24
@@ -207,15 +213,16 @@ class _Bitmap:
         self.bits = bits
 
         def mark(batches):
-            held = np.zeros(bits >> 3, np.uint8)
             for b in batches:
                 p = self._places(b.column(name))
-                np.bitwise_or.at(held, p >> 3, (1 << (p & 7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary())], names=["bits"])
-
-        marked = np.zeros(bits >> 3, np.uint8)
-        for r in keys.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-            marked |= np.frombuffer(r[0], np.uint8)
+                word, place = np.unique(p >> 6, return_inverse=True)
+                held = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(held, place, np.uint64(1) << (p & 63).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(word), _signed(held)], names=["word", "held"])
+
+        marked = np.zeros(max(bits >> 6, 1), np.uint64)
+        words = keys.mapInArrow(mark, "word bigint, held bigint").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()  # at most FILTER_BITS / 64 rows
+        marked[words.column("word").to_numpy()] = words.column("held").to_numpy().view(np.uint64)
         self.held = keys.sparkSession.sparkContext.broadcast(marked)
 
     def __getstate__(self) -> dict:
@@ -226,7 +233,7 @@ class _Bitmap:
 
     def may_have(self, keys: pa.Array) -> pa.Array:
         p = self._places(keys)
-        return pa.array((self.held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
+        return pa.array((self.held.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
 
 
 def _among(df: DataFrame, keys: DataFrame) -> DataFrame:
@@ -332,21 +339,28 @@ def _verified(rules: JoinRules):
     """From the full sets of one cluster to a spanning forest of its verified links."""
 
     def f(table: pa.Table):
-        rep, first = np.unique(table.column("rep").to_numpy(), return_index=True)
-        blobs = table.column("grams").to_pylist()
-        sets = [np.frombuffer(blobs[i], np.uint64) for i in first.tolist()]
+        found = sorted(set(zip(table.column("rep").to_pylist(), table.column("grams").to_pylist(), strict=True)))
+        rep, sets = np.array([r for r, _ in found], np.int64), [np.frombuffer(g, np.uint64) for _, g in found]
         if len(sets) > 1:
             both = intersections(sets)
             n = np.array([len(s) for s in sets])
             a, b = np.nonzero(np.triu(100 * both >= rules.percent * (n[:, None] + n[None, :] - both), 1))
             label = _roots_of(len(rep), a, b)
-            linked = np.flatnonzero(label != np.arange(len(rep)))
+            linked = np.flatnonzero(rep[label] != rep)
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[label[linked]])], names=["a", "b"])
 
     return f
 
 
+def _dealt(clusters: DataFrame, limit: int = 512) -> DataFrame:
+    """Clusters of more than ``limit`` members as pairs of blocks, so that one cluster is the work of many tasks; all pairs still meet."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") * 2 / limit).alias("blocks")).filter(F.col("blocks") > 2)
+    own, blocks = F.pmod(F.xxhash64("rep", "cluster"), F.col("blocks")), F.coalesce("blocks", F.lit(1))
+    rows = clusters.join(sizes, "cluster", "left").select("cluster", "rep", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("other")).filter("blocks is null or own <> other")
+    return rows.select(F.when(F.col("blocks").isNull(), F.col("cluster")).otherwise(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other"))).alias("cluster"), "rep")
+
+
 def _starred(rules: JoinRules):
     """Whether members of a node, given with their own set and that of the node's pivot, link to the pivot."""
 
@@ -423,6 +437,8 @@ def components(edges: DataFrame) -> DataFrame:
 def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: JoinRules | None = None) -> DataFrame:
     """Per row: the id, ``n_shingles``, ``component_id`` (smallest linked id) and ``kept``."""
     rules = rules or JoinRules()
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be of an integer type: a class is named by its smallest id")
     T.prepare(df.sparkSession)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = written(_digested(docs, rules), "sets")
@@ -453,18 +469,29 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level = grown
     clusters = written(clusters.distinct(), "clusters")
     wanted = clusters.select("rep").distinct()
-    sets = _filtered_sets(docs, wanted, rules).join(clusters, "rep").select("cluster", "rep", "grams")
+    sets = _filtered_sets(docs, wanted, rules).join(_dealt(clusters), "rep").select("cluster", "rep", "grams")
     links = sets.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_by_group(_verified(rules)), "a bigint, b bigint")
     labels = components(links if stars is None else links.union(stars))
     # classes of one row that are linked with nothing need no label
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").filter("label is not null or copies > 1").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = base.select("id", "n", "digest").join(named, "digest", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.col("component_id").isNull()).alias("kept"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def filter_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: JoinRules | None = None) -> DataFrame:
-    """``docs`` with one row of each class, the one with the smallest id; rows without an id stay unless they are equal."""
+    """``docs`` with one row of each class, the one with the smallest id.
+
+    Rows without an id stay. Of rows with one id those with equal texts are one
+    document, and its first row by the text of all its columns stays; only rows
+    whose id occurs again are shuffled for that.
+    """
     gone = link_classes(docs, id_col, text_col, rules or JoinRules(percent=STAGE_PERCENT)).filter("not kept").select(id_col).distinct()
     left = docs.join(gone, id_col, "left_anti")
-    return left.withColumn("__text_hash", F.xxhash64(text_col)).dropDuplicates([id_col, "__text_hash"]).select(*docs.columns)
+    again = written(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__rows")).filter("__rows > 1").select(id_col), "again")
+    if not again.limit(1).count():
+        return left
+    rest = [F.to_json(F.struct(c)) if isinstance(docs.schema[c].dataType, (MapType, VariantType)) else F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    twice = left.join(again, id_col, "left_semi").withColumn("__order", F.struct(*[F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c.cast("string"))) for c in rest]) if rest else F.lit(0))
+    first = twice.groupBy(id_col, text_col).agg(F.min_by(F.struct(*docs.columns), "__order").alias("__row")).select("__row.*")
+    return left.join(again, id_col, "left_anti").unionByName(first)

@@ -52,7 +52,7 @@ def test_nodes_that_stay_large_are_compared_whole(spark):
         assert [got[i] for i in range(len(items))] == want
 
 
-def recall_by_depth(n: int = 12_000, trees: int = 8, seed: int = 3, sample: int = 3000) -> None:
+def recall_by_depth(n: int = 12_000, trees: int = neardup.JoinRules().trees, seed: int = 3, sample: int = 3000) -> float:
     """Share of pairs at 0.85 to 0.88 that have met in a small node, or are together in a large one, after each level."""
     rng, rules = np.random.default_rng(seed), neardup.JoinRules(percent=85, trees=trees)
     items = variants(rng, [f"w{k}" for k in range(150)], n, (1, 2, 3), "v")
@@ -95,6 +95,11 @@ def recall_by_depth(n: int = 12_000, trees: int = 8, seed: int = 3, sample: int
         print(depth, "recall", round(float((met | together(keys, member)).mean()), 4), "large nodes", int((count > rules.node_limit).sum()), "members", len(keys), flush=True)
         if not len(keys):
             break
+    return float((met | together(keys, member)).mean())
+
+
+def test_recall_of_links_at_production_rules():
+    assert recall_by_depth(6000, sample=2000) >= 0.99
 
 
 if __name__ == "__main__":
