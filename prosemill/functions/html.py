@@ -12,7 +12,6 @@ def unescape_entities(text: Column) -> Column:
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
     # a reference is decoded from its code point's UTF-32 bytes
     pattern = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-    gaps, hits = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def char(hit: Column) -> Column:
         body = F.substring(hit, F.lit(3), F.length(hit) - 3)
@@ -20,26 +19,32 @@ def unescape_entities(text: Column) -> Column:
         valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(hit)
 
-    return _joined(gaps, hits, char)
+    return _replaced(text, pattern, 0, char)
 
 
-def _joined(gaps: Column, hits: Column, fill) -> Column:
-    """Pieces between matches with what ``fill`` makes of each match."""
-    return F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(fill(h), F.lit("")))), "")
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _replaced(text: Column, pattern: str, group: int, fill) -> Column:
+    """``text`` with what ``fill`` makes of a group of every match in its place."""
+    return _bound(text, lambda x: F.array_join(F.zip_with(F.split(x, pattern), F.regexp_extract_all(x, F.lit(pattern), F.lit(group)), lambda g, h: F.concat(g, F.coalesce(fill(h), F.lit("")))), ""))
 
 
 def convert_headings(html: Column) -> Column:
     """`<h1>` to `<h6>` as Markdown headings between blank lines; an empty heading as nothing."""
     for level in range(1, 7):
-        pattern = rf"(?is)<h{level}(?:\s[^>]*)?>(.*?)</h{level}>"
-        gaps, hits = F.split(html, pattern), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+        html = _replaced(html, rf"(?is)<h{level}(?:\s[^>]*)?>(.*?)</h{level}>", 1, _heading("\n\n" + "#" * level + " "))
+    return html
 
-        def heading(inner: Column, level=level) -> Column:
-            words = F.trim(F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]+>", ""), r"(?U)\s+", " "))
-            return F.when(words != "", F.concat(F.lit("\n\n" + "#" * level + " "), words, F.lit("\n\n"))).otherwise("")
 
-        html = _joined(gaps, hits, heading)
-    return html
+def _heading(lead: str):
+    def heading(inner: Column) -> Column:
+        words = F.trim(F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]+>", ""), r"(?U)\s+", " "))
+        return _bound(words, lambda w: F.when(w != "", F.concat(F.lit(lead), w, F.lit("\n\n"))).otherwise(""))
+
+    return heading
 
 
 def strip_tags(html: Column) -> Column:
@@ -74,13 +79,15 @@ def extract_generic(html: Column) -> Column:
 
 def extract_body(url: Column, html: Column, least: int = 200) -> tuple[Column, Column]:
     """(text, method): a known site's layout where it gives more than ``least`` characters, else the generic way."""
-    generic = extract_generic(html)
-    text, method = generic, F.lit("generic")
+    made = F.struct(extract_generic(html).alias("text"), F.lit("generic").alias("method"))
     for site, host in (("zenn", "zenn.dev"), ("note", "note.com")):
-        own = strip_tags(F.coalesce(_first(html, SITE_BODY[site], ARTICLE), F.lit("")))
-        fits = url.contains(host) & (F.length(own) > least)
-        text, method = F.when(fits, own).otherwise(text), F.when(fits, site).otherwise(method)
-    return text, method
+        body = F.when(url.contains(host), F.coalesce(_first(html, SITE_BODY[site], ARTICLE), F.lit("")))
+        made = _bound(strip_tags(body), _longer(site, made, least))
+    return made["text"], made["method"]
+
+
+def _longer(site: str, other: Column, least: int):
+    return lambda own: F.when(F.length(own) > least, F.struct(own.alias("text"), F.lit(site).alias("method"))).otherwise(other)
 
 
 #: Charset names and the decoders that read them here.

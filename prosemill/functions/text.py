@@ -38,12 +38,12 @@ def let(value: str, name: str, body: str) -> str:
 def spans(text: str, pattern: str) -> str:
     """SQL: array of (start from 0, hit) for every match of a pattern that matches no empty string.
 
-    Starts are sums over the pieces between matches and the matches before.
+    One fold over the matches carries the place reached by the pieces before.
     """
-    total = "aggregate(slice({}, 1, {}), 0, (a, x) -> a + length(x))"
-    start = f"{total.format('z.g', 'k')} + {total.format('z.h', 'k - 1')}"
-    body = f"if(size(z.h) = 0, cast(array() as array<struct<start:int,hit:string>>), transform(sequence(1, greatest(size(z.h), 1)), k -> struct({start} as start, z.h[k - 1] as hit)))"
-    return let(f"struct(regexp_extract_all({text}, {quoted(pattern)}, 0) as h, split({text}, {quoted(pattern)}) as g)", "z", body)
+    kind = "array<struct<start:int,hit:string>>"
+    fold = f"aggregate(sequence(0, size(h) - 1), struct(0 as at, cast(array() as {kind}) as out), (a, k) -> struct(a.at + length(g[k]) + length(h[k]) as at, array_append(a.out, struct(a.at + length(g[k]) as start, h[k] as hit)) as out)).out"
+    body = let(f"split({text}, {quoted(pattern)})", "g", f"cast({fold} as {kind})")
+    return let(f"regexp_extract_all({text}, {quoted(pattern)}, 0)", "h", f"if(size(h) = 0, cast(array() as {kind}), {body})")
 
 
 def normal_lines(text: Column) -> Column:
@@ -69,6 +69,15 @@ def blank_inline_code(line: Column) -> Column:
     return _refilled(out, r"(?<=\]\()[^)]*(?=\))", lambda h: F.repeat(F.lit(" "), F.length(h)))
 
 
+#: What a text without any Markdown structure or code does not have; such texts need not be masked.
+MARKDOWN = r"`|~{3}|<!--|\]\(|(?m)^\s*(?:#{1,6}(?:\s|$)|[-*+](?:\s|$)|\d+[.)](?:\s|$)|>|\||---|[\s:|-]*\|)"
+
+
+def mask_markdown(text: Column) -> Column:
+    """``text`` with what is no prose in Markdown blanked; only texts with any of it go through the Arrow function."""
+    return F.coalesce(markdown_masker()(F.when(text.rlike(MARKDOWN), text)), text)
+
+
 def markdown_masker():
     """An Arrow function that blanks what is no prose in Markdown, keeping line numbers and offsets."""
 
@@ -127,10 +136,12 @@ def lines_of(raw: str, masked: str) -> str:
 
 def sentences_of(lines: str, delimiters: str = JA_DELIMITERS) -> str:
     """SQL: (line, masked, raw) of every piece between delimiters that is not blank; the raw piece has the masked offsets."""
-    offset = "aggregate(slice(p, 1, i), 0, (a, y) -> a + length(y) + 1)"
-    raw = f"if(length(l.raw) >= {offset} + length(x), substring(l.raw, {offset} + 1, length(x)), x)"
-    piece = f"transform(p, (x, i) -> struct(l.no as line, {ustrip('x')} as masked, {ustrip(raw)} as raw))"
-    own = let(f"split(l.masked, {quoted(delimiters)})", "p", piece)
+    kind = "struct<line:int,masked:string,raw:string>"
+    # where nothing is masked both texts of a piece are one; elsewhere a fold carries the place
+    plain = f"transform(p, x -> cast({let(ustrip('x'), 'y', 'struct(l.no as line, y as masked, y as raw)')} as {kind}))"
+    raw = "if(length(l.raw) >= a.at + length(x), substring(l.raw, a.at + 1, length(x)), x)"
+    fold = f"aggregate(p, struct(0 as at, cast(array() as array<{kind}>) as out), (a, x) -> struct(a.at + length(x) + 1 as at, array_append(a.out, cast(struct(l.no as line, {ustrip('x')} as masked, {ustrip(raw)} as raw) as {kind})) as out)).out"
+    own = let(f"split(l.masked, {quoted(delimiters)})", "p", f"if(l.raw = l.masked, {plain}, {fold})")
     return f"filter(flatten(transform({lines}, l -> {own})), s -> s.masked <> '')"
 
 

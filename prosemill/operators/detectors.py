@@ -195,17 +195,23 @@ def autocorrelation(_: Pack, p: Profile) -> str:
 
 def repeated_leads(_: Pack, p: Profile) -> str:
     leads = "filter(transform(tokens, t -> if(size(t.morphemes) >= 2, struct(t.line as line, t.raw as raw, concat(t.morphemes[0].surface, t.morphemes[1].surface) as lead, (t.morphemes[0].pos1 = '固有名詞' or t.morphemes[0].surface rlike '^[A-Za-z]') as named), null)), x -> x is not null)"
-    one = finding("x.line", "repeated_sentence_lead", "substring(x.raw, 1, 20)", "'info'", "concat(x.lead, if(x.named, ' (a name)', ''), ' starts many sentences')", related("transform(filter(hs, y -> y.lead = x.lead), y -> y.line)"))
-    counts = let("array_distinct(transform(hs, y -> y.lead))", "d", f"filter(d, w -> size(filter(hs, y -> y.lead = w)) >= {p.lead_repeat})")
-    return let(leads, "hs", f"flatten(transform({counts}, w -> transform(filter(hs, y -> y.lead = w), x -> {one})))")
+    one = finding("x.line", "repeated_sentence_lead", "substring(x.raw, 1, 20)", "'info'", "concat(x.lead, if(x.named, ' (a name)', ''), ' starts many sentences')", "lines")
+    # equal leads stand together when sorted, so the frequent ones need no counting by pairs
+    often = let("array_sort(transform(hs, y -> y.lead))", "o", f"array_distinct(filter(o, (w, i) -> get(o, i + {p.lead_repeat - 1}) = w))")
+    counts = let(often, "k", "filter(array_distinct(transform(hs, y -> y.lead)), w -> array_contains(k, w))")
+    group = let("filter(hs, y -> y.lead = w)", "g", let(related("transform(g, y -> y.line)"), "lines", f"transform(g, x -> {one})"))
+    return let(leads, "hs", f"if(size(hs) < {p.lead_repeat}, {NONE}, flatten(transform({counts}, w -> {group})))")
 
 
 def repeated_templates(_: Pack, p: Profile) -> str:
     rows = "filter(transform(tokens, t -> if(size(t.morphemes) >= 4, struct(t.line as line, t.raw as raw, array_join(transform(slice(t.morphemes, 1, 4), m -> m.pos0), '/') as tags), null)), x -> x is not null)"
-    # the most frequent one; of equal counts the first seen
-    top = "aggregate(array_distinct(transform(hs, y -> y.tags)), struct('' as w, 0 as c), (a, w) -> if(size(filter(hs, y -> y.tags = w)) > a.c, struct(w as w, size(filter(hs, y -> y.tags = w)) as c), a))"
-    one = finding("x.line", "repeated_syntax_template", "substring(x.raw, 1, 20)", "'info'", "concat(b.w, ' starts many sentences')", related("transform(filter(hs, y -> y.tags = b.w), y -> y.line)"))
-    return let(rows, "hs", let(top, "b", f"if(size(hs) >= {p.template_min} and b.c >= {p.template_ratio}D * size(hs), transform(filter(hs, y -> y.tags = b.w), x -> {one}), {NONE})"))
+    # the most frequent one; of equal counts the first seen. Runs of the sorted tags give the counts
+    run = "aggregate(array_sort(transform(hs, y -> y.tags)), struct('' as w, 0 as c, 0 as most), (a, x) -> if(x = a.w, struct(x as w, a.c + 1 as c, greatest(a.most, a.c + 1) as most), struct(x as w, 1 as c, greatest(a.most, 1) as most))).most"
+    winners = let("array_sort(transform(hs, y -> y.tags))", "o", "array_distinct(filter(o, (w, i) -> get(o, i + c - 1) = w))")
+    top = let(run, "c", let(winners, "v", "struct(get(filter(transform(hs, y -> y.tags), w -> array_contains(v, w)), 0) as w, c as c)"))
+    one = finding("x.line", "repeated_syntax_template", "substring(x.raw, 1, 20)", "'info'", "concat(b.w, ' starts many sentences')", "lines")
+    group = let("filter(hs, y -> y.tags = b.w)", "g", let(related("transform(g, y -> y.line)"), "lines", f"transform(g, x -> {one})"))
+    return let(rows, "hs", f"if(size(hs) < {p.template_min}, {NONE}, {let(top, 'b', f'if(b.c >= {p.template_ratio}D * size(hs), {group}, {NONE})')})")
 
 
 def type_token_ratio() -> str:

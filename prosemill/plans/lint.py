@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of, markdown_masker, mask_comments, normal_lines, paragraphs_of, sentences_of, ustrip
+from ..functions.text import lines_of, mask_comments, mask_markdown, normal_lines, paragraphs_of, sentences_of, ustrip
 from ..operators.detectors import FINDING, MORPHEMES, SURFACE
 from ..rules.packs import EXPERIMENTAL, JA, PROFILES, Pack, Profile
 
@@ -18,28 +20,33 @@ def prepare(docs: DataFrame, pack: Pack = JA, id_col: str = "doc_id", text_col:
     """``doc_id``, ``text``, ``bare``, ``lines``, ``sentences`` and ``paragraphs`` of every document with a text; one narrow stage."""
     text = normal_lines(F.col(text_col))
     out = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    out = out.withColumn("masked", markdown_masker()(F.col("text")) if markdown else F.col("text")).withColumn("bare", mask_comments(F.col("text")))
+    out = out.withColumn("masked", mask_markdown(F.col("text")) if markdown else F.col("text")).withColumn("bare", mask_comments(F.col("text")))
     out = out.withColumn("lines", F.expr(lines_of("text", "masked"))).drop("masked")
     return out.withColumn("sentences", F.expr(sentences_of("lines", pack.delimiters))).withColumn("paragraphs", F.expr(paragraphs_of("lines")))
 
 
-def run_lint(prepared: DataFrame, pack: Pack = JA, genre: str | None = None, experimental: bool = False, profile: Profile | None = None) -> DataFrame:
+def run_lint(prepared: DataFrame, pack: Pack = JA, genre: str | None = None, experimental: bool = False, profile: Profile | None = None, categories: Collection[str] | None = None) -> DataFrame:
     """One row per finding: ``doc_id``, ``ix`` (its place in the document) and the finding.
 
     Rules over morphemes run when ``prepared`` has a ``tokens`` column (and, for
-    paragraphs, ``paragraph_tokens``).
+    paragraphs, ``paragraph_tokens``). With ``categories`` only their rules are
+    part of the plan, and ``ix`` counts their findings.
     """
     profile = profile or PROFILES[genre]
     rules = dict(SURFACE)
     if "tokens" in prepared.columns:
         rules |= {k: f for k, f in MORPHEMES.items() if k != "low_specificity" or "paragraph_tokens" in prepared.columns}
     hidden = set(profile.disabled) | (set() if experimental else set(EXPERIMENTAL))
-    arrays = [F.expr(f"cast({f(pack, profile)} as array<{FINDING}>)") for k, f in rules.items() if k not in hidden]
+    wanted = [f for k, f in rules.items() if k not in hidden and (categories is None or any(c.startswith(k) for c in categories))]
+    if not wanted:
+        wanted = [lambda *_: f"cast(array() as array<{FINDING}>)"]
+    arrays = [F.expr(f"cast({f(pack, profile)} as array<{FINDING}>)") for f in wanted]
     found = F.flatten(F.array(*arrays))
     # stable by line: rules keep their order within one line
     ordered = F.array_sort(F.transform(found, lambda x, i: F.struct(x["line"].alias("line"), i.alias("ix"), x.alias("finding"))))
     rows = prepared.select("doc_id", F.posexplode(ordered).alias("ix", "x"))
-    return rows.select("doc_id", "ix", "x.finding.*").filter(~F.col("category").isin(*hidden) if hidden else F.lit(True))
+    kept = ~F.col("category").isin(*hidden) if hidden else F.lit(True)
+    return rows.select("doc_id", "ix", "x.finding.*").filter(kept if categories is None else kept & F.col("category").isin(*categories))
 
 
 def run_full_lint(prepared: DataFrame, pack: Pack = JA) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html as H
-from .functions.text import markdown_masker, mask_comments
+from .functions.text import mask_comments, mask_markdown
 from .operators import calibration as C
 from .operators import metrics as M
 from .operators import morphemes, outline, semantic, study
+from .operators.detectors import MORPHEMES
 from .plans import lint
 from .rules.packs import DEFAULT, JA, LATIN
+from .sources.documents import dealt_out
 from .streaming.submissions import latest_by_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,24 +36,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lint.prepare(table(spark, sf_dir, "documents"), LATIN, markdown=False)
+def texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose texts are worked on, in as many partitions as there are cores at least."""
+    return dealt_out(table(spark, sf_dir, name).select(*columns))
 
 
-def literal(rows: list[tuple[int, str]]) -> str:
-    """Rows of an id and a text as SQL that Spark and DuckDB both read."""
-    return "VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in rows)
+def prepared(spark: SparkSession, sf_dir: str, text: str = "text", pack=LATIN) -> DataFrame:
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    return lint.prepare(docs.select("doc_id", F.expr(text).alias("text")), pack)
+
+
+def replaced(pairs: tuple[tuple[str, str], ...], text: str = "text") -> str:
+    """SQL that Spark and DuckDB both read: ``text`` with one string after the other replaced."""
+    for old, new in pairs:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
 
 
 # Shared SQL: lines and sentences of documents.
 STRIP = r"regexp_replace({}, '^[\s\x{{3000}}]+|[\s\x{{3000}}]+$', '', 'g')"
-LINES = """b0 AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
+
+
+def lines_sql(text: str = "text") -> str:
+    return f"""b0 AS (SELECT doc_id, string_split({text}, chr(10)) AS p FROM documents WHERE text IS NOT NULL),
 b1 AS (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS p FROM b0),
 lines AS (SELECT doc_id, CAST(unnest(generate_series(1, len(p))) AS INTEGER) AS line, unnest(p) AS t FROM b1)"""
-SENTENCES = LINES + f""",
-pieces AS (SELECT doc_id, line, unnest(generate_series(1, len(q))) AS k, unnest(q) AS s FROM (SELECT doc_id, line, regexp_split_to_array(t, '[.!?]') AS q FROM lines)),
+
+
+def sentences_sql(text: str = "text", delimiters: str = "[.!?]") -> str:
+    return lines_sql(text) + f""",
+pieces AS (SELECT doc_id, line, unnest(generate_series(1, len(q))) AS k, unnest(q) AS s FROM (SELECT doc_id, line, regexp_split_to_array(t, '{delimiters}') AS q FROM lines)),
 sentences AS (SELECT doc_id, line, k, s, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS ix FROM (SELECT doc_id, line, k, {STRIP.format('s')} AS s FROM pieces) WHERE s <> '')"""
-PHRASES = "phrases AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in LATIN.phrases) + "]) AS phrase)"
+
+
+def strings_sql(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+def findings_sql(pack, text: str = "text", delimiters: str = "[.!?]") -> str:
+    """The findings of the counted rules: phrases, calques, contrasts, variance, abstract subjects."""
+    anti = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in pack.antithesis)
+    return f"""{sentences_sql(text, delimiters)}, phrases AS (SELECT unnest({strings_sql(pack.phrases)}) AS phrase),
+ph AS (SELECT doc_id, CASE WHEN phrase IN ({strings_sql(pack.weak)[1:-1]}) THEN 'info' ELSE 'warn' END AS severity, 'forbidden_phrase' AS category FROM lines, phrases WHERE contains(t, phrase)),
+ca AS (SELECT doc_id, 'info' AS severity, 'translationese' AS category FROM (SELECT doc_id, unnest(regexp_extract_all(t, p)) AS h FROM lines, (SELECT unnest({strings_sql(pack.calques)}) AS p))),
+hh AS (SELECT doc_id, sum({anti}) AS hits FROM lines GROUP BY 1), nn AS (SELECT doc_id, count(*) AS n FROM sentences GROUP BY 1),
+an AS (SELECT doc_id, severity, 'antithesis_repetition' AS category FROM (SELECT hh.doc_id, CASE WHEN coalesce(hits / n, 0) < 0.02 THEN 'info' WHEN coalesce(hits / n, 0) >= 0.03 THEN 'critical' ELSE 'warn' END AS severity, unnest(range(hits::BIGINT)) AS k FROM hh LEFT JOIN nn ON hh.doc_id = nn.doc_id WHERE hits >= 3)),
+va AS (SELECT doc_id, 'warn' AS severity, 'low_sentence_variance' AS category FROM sentences GROUP BY 1 HAVING count(*) >= 5 AND stddev_pop(length(s)) / avg(length(s)) < 0.25),
+ia AS (SELECT doc_id, 'info' AS severity, 'english_syntax_inanimate_subject' AS category FROM (SELECT doc_id, unnest(regexp_extract_all(t, p)) AS h FROM lines, (SELECT unnest({strings_sql(pack.inanimate)}) AS p))),
+findings AS (SELECT * FROM ph UNION ALL SELECT * FROM ca UNION ALL SELECT * FROM an UNION ALL SELECT * FROM va UNION ALL SELECT * FROM ia)"""
+
+
+LINES, SENTENCES, FINDINGS = lines_sql(), sentences_sql(), findings_sql(LATIN)
+PHRASES = f"phrases AS (SELECT unnest({strings_sql(LATIN.phrases)}) AS phrase)"
 ANTI = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in LATIN.antithesis)
 
 
@@ -70,13 +106,13 @@ def sentences_split(spark, d):
     f"WITH {LINES}, {PHRASES} SELECT doc_id, line, {STRIP.format('substr(t, greatest(instr(t, phrase) - 11, 0) + 1, instr(t, phrase) - 1 + length(phrase) + 10 - greatest(instr(t, phrase) - 11, 0))')} AS excerpt, CASE WHEN phrase IN ('of the', 'in the') THEN 'info' ELSE 'warn' END AS severity FROM lines, phrases WHERE contains(t, phrase)",
 )
 def forbidden_hits(spark, d):
-    found = lint.run_lint(prepared(spark, d), LATIN)
-    return found.filter("category = 'forbidden_phrase'").select("doc_id", "line", "excerpt", "severity")
+    found = lint.run_lint(prepared(spark, d), LATIN, categories=["forbidden_phrase"])
+    return found.select("doc_id", "line", "excerpt", "severity")
 
 
 @query("translationese_hits", f"WITH {LINES} SELECT doc_id, sum({' + '.join(f'''len(regexp_extract_all(t, '{p}'))''' for p in LATIN.calques)})::BIGINT AS n FROM lines GROUP BY 1 HAVING n > 0")
 def translationese_hits(spark, d):
-    found = lint.run_lint(prepared(spark, d), LATIN).filter("category = 'translationese'")
+    found = lint.run_lint(prepared(spark, d), LATIN, categories=["translationese"])
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -86,21 +122,21 @@ def translationese_hits(spark, d):
 SELECT h.doc_id, hits::BIGINT AS hits, CASE WHEN coalesce(hits / n, 0) < 0.02 THEN 'info' WHEN coalesce(hits / n, 0) >= 0.03 THEN 'critical' ELSE 'warn' END AS severity FROM h LEFT JOIN n ON h.doc_id = n.doc_id WHERE hits >= 3""",
 )
 def antithesis_severity(spark, d):
-    found = lint.run_lint(prepared(spark, d), LATIN).filter("category = 'antithesis_repetition'")
+    found = lint.run_lint(prepared(spark, d), LATIN, categories=["antithesis_repetition"])
     return found.groupBy("doc_id", "severity").agg(F.count("*").alias("hits"))
 
 
 @query("sentence_variance", f"WITH {SENTENCES} SELECT doc_id, count(*) AS n, round(stddev_pop(length(s)) / avg(length(s)), 9) AS cv, (count(*) >= 5 AND stddev_pop(length(s)) / avg(length(s)) < 0.25) AS fired FROM sentences GROUP BY 1")
 def sentence_variance(spark, d):
     p = prepared(spark, d).filter("size(sentences) > 0")
-    fired = lint.run_lint(p, LATIN).filter("category = 'low_sentence_variance'").select("doc_id", F.lit(True).alias("f"))
+    fired = lint.run_lint(p, LATIN, categories=["low_sentence_variance"]).select("doc_id", F.lit(True).alias("f"))
     rows = M.readability(p, LATIN).select("doc_id", F.col("n_sentences").cast("bigint").alias("n"), F.round("sentence_cv", 9).alias("cv"))
     return rows.join(fired, "doc_id", "left").select("doc_id", "n", "cv", F.coalesce("f", F.lit(False)).alias("fired"))
 
 
 @query("bold_density", r"WITH c AS (SELECT doc_id, text, len(regexp_extract_all(text, '\*\*[^*\n]+\*\*')) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n::BIGINT AS n FROM c WHERE n >= 3 AND n * 1000.0 / greatest(length(text), 1) >= 3")
 def bold_density(spark, d):
-    found = lint.run_lint(prepared(spark, d), LATIN, experimental=True).filter("category = 'high_bold_density'")
+    found = lint.run_lint(prepared(spark, d), LATIN, experimental=True, categories=["high_bold_density"])
     return found.select("doc_id", F.regexp_extract("excerpt", "^[0-9]+", 0).cast("bigint").alias("n"))
 
 
@@ -110,40 +146,34 @@ def bold_density(spark, d):
 )
 def bullet_ratio(spark, d):
     p = prepared(spark, d)
-    fired = lint.run_lint(p, LATIN, experimental=True).filter("category = 'high_bullet_ratio'").select("doc_id", F.lit(True).alias("f"))
+    fired = lint.run_lint(p, LATIN, experimental=True, categories=["high_bullet_ratio"]).select("doc_id", F.lit(True).alias("f"))
     lines = "filter(lines, l -> regexp_replace(l.raw, '(?U)\\\\s+', '') <> '')"
     counts = p.filter("size(lines) > 0").select("doc_id", F.expr(f"cast(size({lines}) as bigint)").alias("n"), F.expr("cast(size(filter(lines, l -> l.raw rlike '^(?U)\\\\s*([-*+]|\\\\d+[.)])(\\\\s|$)')) as bigint)").alias("b"))
     return counts.join(fired, "doc_id", "left").select("doc_id", "n", "b", F.coalesce("f", F.lit(False)).alias("fired"))
 
 
-@query("phase_structure", r"SELECT doc_id, len(regexp_extract_all(text, '(phase|step|stage|src)\s*[0-9]'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(text, '(phase|step|stage|src)\s*[0-9]')) >= 3")
+PHASES = replaced(((" the ", " step 3 "), (" de ", " phase 12 ")))
+
+
+@query("phase_structure", rf"SELECT doc_id, len(regexp_extract_all({PHASES}, '(phase|step|stage|src)\s*[0-9]'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all({PHASES}, '(phase|step|stage|src)\s*[0-9]')) >= 3")
 def phase_structure(spark, d):
-    found = lint.run_lint(prepared(spark, d), LATIN, experimental=True).filter("category = 'numbered_phase_structure'")
+    """Numbered phases of texts in which a common word of two languages is written as one."""
+    found = lint.run_lint(prepared(spark, d, PHASES), LATIN, experimental=True, categories=["numbered_phase_structure"])
     return found.select("doc_id", F.regexp_extract("excerpt", "^[0-9]+", 0).cast("bigint").alias("n"))
 
 
 @query("cleft_pairs", f"WITH {SENTENCES}, p AS (SELECT doc_id, line, s, lead(s) OVER (PARTITION BY doc_id ORDER BY ix) AS s2 FROM sentences) SELECT doc_id, line, s || '。' || s2 AS excerpt FROM p WHERE regexp_matches(s, '{LATIN.cleft}') AND regexp_matches(s2, '{LATIN.because}')")
 def cleft_pairs(spark, d):
-    found = lint.run_lint(prepared(spark, d), LATIN, experimental=True).filter("category = 'english_syntax_cleft_because'")
+    found = lint.run_lint(prepared(spark, d), LATIN, experimental=True, categories=["english_syntax_cleft_because"])
     return found.select("doc_id", "line", "excerpt")
 
 
 @query("inanimate_hits", f"WITH {LINES} SELECT doc_id, line, unnest(regexp_extract_all(t, '{LATIN.inanimate[0]}')) AS excerpt FROM lines")
 def inanimate_hits(spark, d):
-    found = lint.run_lint(prepared(spark, d), LATIN).filter("category = 'english_syntax_inanimate_subject'")
+    found = lint.run_lint(prepared(spark, d), LATIN, categories=["english_syntax_inanimate_subject"])
     return found.select("doc_id", "line", "excerpt")
 
 
-FINDINGS = f"""{SENTENCES}, {PHRASES},
-ph AS (SELECT doc_id, CASE WHEN phrase IN ('of the', 'in the') THEN 'info' ELSE 'warn' END AS severity, 'forbidden_phrase' AS category FROM lines, phrases WHERE contains(t, phrase)),
-ca AS (SELECT doc_id, 'info' AS severity, 'translationese' AS category FROM (SELECT doc_id, unnest(regexp_extract_all(t, p)) AS h FROM lines, (SELECT unnest([{', '.join(f"'{p}'" for p in LATIN.calques)}]) AS p))),
-hh AS (SELECT doc_id, sum({ANTI}) AS hits FROM lines GROUP BY 1), nn AS (SELECT doc_id, count(*) AS n FROM sentences GROUP BY 1),
-an AS (SELECT doc_id, severity, 'antithesis_repetition' AS category FROM (SELECT hh.doc_id, CASE WHEN coalesce(hits / n, 0) < 0.02 THEN 'info' WHEN coalesce(hits / n, 0) >= 0.03 THEN 'critical' ELSE 'warn' END AS severity, unnest(range(hits::BIGINT)) AS k FROM hh LEFT JOIN nn ON hh.doc_id = nn.doc_id WHERE hits >= 3)),
-va AS (SELECT doc_id, 'warn' AS severity, 'low_sentence_variance' AS category FROM sentences GROUP BY 1 HAVING count(*) >= 5 AND stddev_pop(length(s)) / avg(length(s)) < 0.25),
-ia AS (SELECT doc_id, 'info' AS severity, 'english_syntax_inanimate_subject' AS category FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{LATIN.inanimate[0]}')) AS h FROM lines)),
-findings AS (SELECT * FROM ph UNION ALL SELECT * FROM ca UNION ALL SELECT * FROM an UNION ALL SELECT * FROM va UNION ALL SELECT * FROM ia)"""
-
-
 @query("findings_counts", f"WITH {FINDINGS} SELECT category, severity, count(*) AS n, count(DISTINCT doc_id) AS docs FROM findings GROUP BY 1, 2")
 def findings_counts(spark, d):
     found = lint.run_lint(prepared(spark, d), LATIN)
@@ -173,55 +203,106 @@ SELECT doc_id, sum(greatest(a - b, 0))::BIGINT AS new, sum(least(a, b))::BIGINT
 )
 def baseline_diff(spark, d):
     """Stock phrases of two runs over the same texts: lines not divisible by 3 against lines that do not leave 1."""
-    found = lint.run_lint(prepared(spark, d), LATIN).filter("category = 'forbidden_phrase'")
+    found = lint.run_lint(prepared(spark, d), LATIN, categories=["forbidden_phrase"])
     diff = lint.baseline_diff(found.filter("line % 3 <> 0"), found.filter("line % 3 <> 1"))
     return diff.groupBy("doc_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("new", "persisting", "resolved")])
 
 
-JA_DOCS = [
-    (1, "しかし、重要なのは速度ではなく、精度である。\n\nまた、それは品質を示す。これは大事なことである。なぜなら理由があるからだ。\n\nそして安全ではなく、価格だ。短い。"),
-    (2, "一文だけ。\n二行目です！\n\n三行目？"),
-    (3, "さて、始めよう。\nこのように進む。"),
-    (4, "段落が続く。終わる。\n\n次も続く。終わる。\n\nまた続く。終わる。\n\n最後も続く。終わる。"),
-]
-JA_SQL = f"""d(doc_id, text) AS ({literal(JA_DOCS)}),
-l AS (SELECT doc_id, unnest(generate_series(1, len(p))) AS line, unnest(p) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM d)),
-g AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS par FROM l),
-par AS (SELECT doc_id, par, min(line) AS line, arg_min(t, line) AS lead, string_agg(t, chr(10) ORDER BY line) AS body FROM g WHERE t <> '' GROUP BY 1, 2)"""
+# The tables hold no Japanese. These queries write common strings of every document as Japanese words, marks and rules' phrases.
+JA_TEXT = replaced(
+    ((". The ", "。このように"), (". To ", "。なぜなら"), (". And ", "。また、"), (". That ", "。例えば"), (". ", "。"), (".", "。"), ("! ", "！"), (", ", "、"), (" the ", "これは"), (" of ", "することができる"), (" and ", "ではなく、"), (" to ", "重要なのは"), (" in ", "を示す"))
+    + ((" de ", "なくはない"), (" la ", "という形で"), (" que ", "を行います"), (" der ", "それは"), (" und ", "である。なぜなら"), (" for ", "例えば"), (" was ", "たとえば"), ("er", "漢字"), ("ou", "カタカナ"), ("ing", "事"), ("ion", "こと"), ("es", "時"), ("en", "とき"), ("&&&", "１2"), ("###", "。1.x"))
+)
+JA_LINES = f"replace({JA_TEXT}, chr(10), chr(10) || chr(10))"
+for _letter in "TEDLSOAPI":
+    JA_LINES = f"replace({JA_LINES}, chr(10) || '{_letter}', chr(10) || 'しかし{_letter}')"
+JA_SENTENCES = sentences_sql(JA_LINES, "[。！？]")
+JA_PARAGRAPHS = f"""{lines_sql(JA_LINES)},
+g AS (SELECT *, sum(CASE WHEN {STRIP.format('t')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS par FROM lines),
+par AS (SELECT doc_id, par, min(line) AS line, arg_min(t, line) AS lead, string_agg(t, chr(10) ORDER BY line) AS body FROM g WHERE {STRIP.format('t')} <> '' GROUP BY 1, 2)"""
 
 
-def ja_docs(spark: SparkSession) -> DataFrame:
-    return lint.prepare(spark.createDataFrame(JA_DOCS, "doc_id int, text string"), JA)
+def ja_prepared(spark: SparkSession, d: str) -> DataFrame:
+    return prepared(spark, d, JA_LINES, JA)
 
 
-@query("paragraph_leads_ja", f"WITH {JA_SQL}, c AS (SELECT *, regexp_matches(lead, '^({'|'.join(JA.conjunctions)})') AS hit FROM par), r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE hit) AS h FROM c GROUP BY 1) SELECT c.doc_id, CAST(c.line AS INTEGER) AS line, substr(lead, 1, 40) AS excerpt FROM c JOIN r ON c.doc_id = r.doc_id WHERE n >= 3 AND h >= 0.3 * n AND hit")
+@query("paragraph_leads_ja", f"WITH {JA_PARAGRAPHS}, c AS (SELECT *, regexp_matches({STRIP.format('lead')}, '^({'|'.join(JA.conjunctions)})') AS hit FROM par), r AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE hit) AS h FROM c GROUP BY 1) SELECT c.doc_id, c.line, substr(lead, 1, 40) AS excerpt FROM c JOIN r ON c.doc_id = r.doc_id WHERE n >= 3 AND h >= 0.3 * n AND hit")
 def paragraph_leads_ja(spark, d):
-    return lint.run_lint(ja_docs(spark), JA, experimental=True).filter("category = 'paragraph_lead_conjunction'").select("doc_id", "line", "excerpt")
+    return lint.run_lint(ja_prepared(spark, d), JA, experimental=True, categories=["paragraph_lead_conjunction"]).select("doc_id", "line", "excerpt")
 
 
-@query("uniform_paragraphs_ja", f"WITH {JA_SQL}, c AS (SELECT doc_id, len(list_filter(regexp_split_to_array(body, '[。！？\\n]'), lambda x: x <> '')) AS n FROM par) SELECT doc_id, count(*) AS paragraphs, (count(*) >= 4 AND stddev_pop(n) / avg(n) < 0.15) AS fired FROM c GROUP BY 1")
+@query("uniform_paragraphs_ja", f"WITH {JA_PARAGRAPHS}, c AS (SELECT doc_id, len(list_filter(regexp_split_to_array(body, '[。！？\\n]'), lambda x: {STRIP.format('x')} <> '')) AS n FROM par) SELECT doc_id, count(*) AS paragraphs, (count(*) >= 4 AND coalesce(stddev_pop(n) / nullif(avg(n), 0), 0) < 0.15) AS fired FROM c GROUP BY 1")
 def uniform_paragraphs_ja(spark, d):
-    p = ja_docs(spark)
-    fired = lint.run_lint(p, JA).filter("category = 'uniform_paragraph_structure'").select("doc_id", F.lit(True).alias("f"))
+    p = ja_prepared(spark, d).filter("size(paragraphs) > 0")
+    fired = lint.run_lint(p, JA, categories=["uniform_paragraph_structure"]).select("doc_id", F.lit(True).alias("f"))
     return p.select("doc_id", F.size("paragraphs").cast("bigint").alias("paragraphs")).join(fired, "doc_id", "left").select("doc_id", "paragraphs", F.coalesce("f", F.lit(False)).alias("fired"))
 
 
 @query(
     "surface_findings_ja",
-    """SELECT * FROM (VALUES (1, 1, 'forbidden_phrase', 'info'), (1, 3, 'english_syntax_inanimate_subject', 'info'), (3, 1, 'forbidden_phrase', 'info'), (3, 2, 'forbidden_phrase', 'info'), (4, 1, 'uniform_paragraph_structure', 'info'), (1, 3, 'english_syntax_cleft_because', 'warn'), (1, 1, 'paragraph_lead_conjunction', 'info'), (1, 3, 'paragraph_lead_conjunction', 'info'), (1, 5, 'paragraph_lead_conjunction', 'info'), (4, 1, 'low_sentence_variance_absent', 'none')) v(doc_id, line, category, severity) WHERE severity <> 'none'""",
+    f"""WITH {findings_sql(JA, JA_LINES, '[。！？]')}, p AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY ix) AS s2 FROM sentences),
+everything AS (SELECT * FROM findings UNION ALL SELECT doc_id, 'warn', 'english_syntax_cleft_because' FROM p WHERE regexp_matches(s, '{JA.cleft}') AND regexp_matches(s2, '{JA.because}'))
+SELECT doc_id, category, severity, count(*) AS n FROM everything GROUP BY 1, 2, 3""",
 )
 def surface_findings_ja(spark, d):
-    return lint.run_lint(ja_docs(spark), JA, experimental=True).filter("category <> 'low_sentence_variance'").select("doc_id", "line", "category", "severity")
+    """The Japanese surface rules over every document."""
+    kinds = ["forbidden_phrase", "translationese", "antithesis_repetition", "low_sentence_variance", "english_syntax_inanimate_subject", "english_syntax_cleft_because"]
+    found = lint.run_lint(ja_prepared(spark, d), JA, experimental=True, categories=kinds)
+    return found.groupBy("doc_id", "category", "severity").agg(F.count("*").alias("n"))
+
+
+def counts_sql(patterns, text: str) -> str:
+    return " + ".join(f"len(regexp_extract_all({text}, '{p}'))" for p in patterns)
+
+
+@query(
+    "readability_ja",
+    f"""WITH {JA_SENTENCES}, {JA_PARAGRAPHS[len(lines_sql(JA_LINES)) + 2:]},
+x AS (SELECT doc_id, count(*) AS n, avg(length(s)) AS mean, stddev_pop(length(s)) / avg(length(s)) AS cv, avg(CASE WHEN length(s) > 100 THEN 1.0 ELSE 0 END) AS far, sum(length(s) - length(replace(s, '、', ''))) / count(*) AS commas, 1000.0 * sum(len(regexp_extract_all(s, '{M.DEMONSTRATIVES}'))) / sum(length(s)) AS demo, avg(CASE WHEN regexp_matches(s, '^({'|'.join(sorted(M.SENTENCE_CONJUNCTIONS, key=len, reverse=True))})') THEN 1.0 ELSE 0 END) AS leads FROM sentences GROUP BY 1),
+y AS (SELECT doc_id, CASE WHEN count(*) >= 3 THEN coalesce(stddev_pop(k) / nullif(avg(k), 0), 0) END AS cv FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(body, '[。！？\\n]'), lambda x: {STRIP.format('x')} <> '')) AS k FROM par) GROUP BY 1),
+d AS (SELECT doc_id, {JA_LINES} AS text FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, length(regexp_replace(text, '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', '', 'g')) AS chars, {counts_sql(M.DOUBLE_NEGATION, 'text')} AS dn, {counts_sql(M.REDUNDANT, 'text')} AS red, len(regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS kanji, len(regexp_extract_all(text, '[\\x{{30A0}}-\\x{{30FF}}]')) AS kata, {' + '.join(f"(contains(text, '{a}') AND contains(text, '{b}'))::INTEGER" for a, b in M.NOTATION_PAIRS)} AS pairs,
+len(regexp_extract_all(text, '。')) AS fp, len(regexp_extract_all(text, '\\.')) - len(regexp_extract_all(text, '[0-9]\\.')) - len(regexp_extract_all(text, '\\.[0-9]')) + len(regexp_extract_all(text, '[0-9]\\.[0-9]')) AS hp, len(regexp_extract_all(text, '、')) AS fc, len(regexp_extract_all(text, ',')) AS hc, len(regexp_extract_all(text, '[０-９]')) AS fd, len(regexp_extract_all(text, '[0-9]')) AS hd FROM d)
+SELECT m.doc_id, coalesce(n, 0) AS n_sentences, round(mean, 6) AS sentence_mean, round(x.cv, 6) AS sentence_cv, round(far, 6) AS long_share, round(commas, 6) AS comma_density, dn AS double_negation, red AS redundant, round(demo, 6) AS demonstratives_per_1000, round(kanji / nullif(chars, 0), 6) AS kanji_ratio, round(kata / nullif(chars, 0), 6) AS katakana_ratio, round(y.cv, 6) AS paragraph_cv, round(leads, 6) AS conjunction_rate, pairs AS notation_pairs,
+fp AS full_period, hp AS half_period, fc AS full_comma, hc AS half_comma, fd AS full_digit, hd AS half_digit, (fp > 0 AND hp > 0) AS period_mixed, (fc > 0 AND hc > 0) AS comma_mixed, (fd > 0 AND hd > 0) AS digit_mixed, ((fp > 0 AND hp > 0) OR (fc > 0 AND hc > 0) OR (fd > 0 AND hd > 0)) AS any_mixed FROM m LEFT JOIN x ON x.doc_id = m.doc_id LEFT JOIN y ON y.doc_id = m.doc_id""",
+)
+def readability_ja(spark, d):
+    """All readability measures of every document, with Japanese marks and words."""
+    out = M.readability(ja_prepared(spark, d), JA)
+    rounded = {f.name for f in out.schema if f.dataType.simpleString() == "double"}
+    return out.select("doc_id", *[F.round(c, 6).alias(c) if c in rounded else F.col(c) if c.endswith("_mixed") else F.col(c).cast("bigint").alias(c) for c in out.columns if c != "doc_id"])
+
+
+# Markdown made of every document: of six lines a heading, one as it is, two list items, inline code and a quotation.
+MARKED_LINES = "CASE line % 6 WHEN 1 THEN '## ' || t WHEN 3 THEN '- ' || t WHEN 4 THEN '- ' || t WHEN 5 THEN CASE WHEN {} = '' THEN '' ELSE '`' || t || '` x' END WHEN 0 THEN '> ' || t ELSE t END"
 
 
-MASK_DOCS = [(1, "a\n```py\nb\n~~~\nc\n```\nd"), (2, "---\nt: 1\n---\nx"), (3, "a <!-- b\nc --> d"), (4, "# h\ntext `code` [n](http://u)\n- i\n> q\n| a | b |"), (5, "~~~\nopen\nend"), (6, "a <!--> b")]
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    line = MARKED_LINES.format("trim(regexp_replace(t, '(?U)\\s+', ''))").replace("line %", "(i + 1) %")
+    docs = texts(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    return lint.prepare(docs.select("doc_id", F.expr(f"array_join(transform(split(regexp_replace(text, '[`|]', ''), '\\n'), (t, i) -> {line}), '\\n')").alias("text")), LATIN)
 
 
-@query("mask_values", "SELECT * FROM (VALUES (1, 1, 'a'), (1, 7, 'd'), (2, 4, 'x'), (3, 1, 'a       '), (3, 2, '      d'), (4, 2, 'text        [n](        )'), (6, 1, 'a       b')) v(doc_id, line, masked)")
-def mask_values(spark, d):
-    docs = spark.createDataFrame(MASK_DOCS, "doc_id int, text string")
-    lines = docs.select("doc_id", F.posexplode(F.split(markdown_masker()(F.col("text")), "\n")).alias("k", "masked"))
-    return lines.filter("masked <> ''").select("doc_id", (F.col("k") + 1).alias("line"), "masked")
+MARKED = lines_sql("regexp_replace(text, '[`|]', '', 'g')")
+
+
+@query("masked_lines", f"WITH {MARKED} SELECT doc_id, line, CASE line % 6 WHEN 2 THEN t ELSE repeat(' ', length(t) + 2) || ' x' END AS masked FROM lines WHERE line % 6 IN (2, 5) AND {STRIP.format('t')} <> ''")
+def masked_lines(spark, d):
+    """What masking leaves of the Markdown made of every document."""
+    return marked(spark, d).select("doc_id", F.inline("lines")).filter("trim(regexp_replace(masked, '(?U)\\\\s+', '')) <> ''").select("doc_id", F.col("no").alias("line"), "masked")
+
+
+@query(
+    "outline_entries",
+    f"""WITH {MARKED}, n AS (SELECT doc_id, max(line) AS n FROM lines GROUP BY 1)
+SELECT doc_id, line, 'heading' AS kind, 2 AS level, {STRIP.format("regexp_replace(t, '[ ]+#+[ ]*$', '')")} AS text FROM lines WHERE line % 6 = 1
+UNION ALL SELECT doc_id, line, 'lead', NULL, {STRIP.format("regexp_split_to_array(t, '[.!?]')[1]")} FROM lines WHERE line % 6 = 2 AND {STRIP.format("regexp_split_to_array(t, '[.!?]')[1]")} <> ''
+UNION ALL SELECT doc_id, line, 'lead', NULL, 'x' FROM lines WHERE line % 6 = 5 AND {STRIP.format('t')} <> ''
+UNION ALL SELECT l.doc_id, line, 'bullets', NULL, CASE WHEN line < n THEN '(2 items)' ELSE '(1 items)' END FROM lines l JOIN n ON l.doc_id = n.doc_id WHERE line % 6 = 3""",
+)
+def outline_entries(spark, d):
+    """Outline of the Markdown made of every document."""
+    return outline.outline(marked(spark, d), LATIN)
 
 
 @query("mask_comments", r"SELECT page_id, length(html)::BIGINT AS n, length(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<!--.*$', ''))::BIGINT AS left_over FROM pages")
@@ -237,7 +318,7 @@ b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?is)<h1[
 c AS (SELECT page_id, replace(replace(replace(replace(replace(regexp_replace(h, '(?s)<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"') AS h FROM b)
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(h, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS text FROM c""")
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", H.extract_body(F.col("url"), F.col("html"))[0].alias("text"))
+    return texts(spark, d, "pages", "page_id", "url", "html").select("page_id", H.extract_body(F.col("url"), F.col("html"))[0].alias("text"))
 
 
 @query("html_titles", r"SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '""')) AS title FROM pages".replace('""', '"'))
@@ -247,8 +328,8 @@ def html_titles(spark, d):
 
 @query(
     "readability_metrics",
-    f"""WITH {SENTENCES}, s AS (SELECT doc_id, count(*) AS n, avg(length(s)) AS mean, avg(CASE WHEN length(s) > 100 THEN 1.0 ELSE 0 END) AS far, sum(len(regexp_extract_all(s, '[、,]'))) / count(*) AS commas, avg(CASE WHEN regexp_matches(s, '^({'|'.join(LATIN.conjunctions)})') THEN 1.0 ELSE 0 END) AS leads FROM sentences GROUP BY 1)
-SELECT d.doc_id, coalesce(n, 0) AS n_sentences, round(mean, 9) AS sentence_mean, round(coalesce(far, 0), 9) AS long_share, round(coalesce(commas, 0), 9) AS comma_density, round(coalesce(leads, 0), 9) AS conjunction_rate, len(regexp_extract_all(text, '[0-9]')) AS half_digit FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id WHERE text IS NOT NULL""",
+    f"""WITH {SENTENCES}, s AS (SELECT doc_id, count(*) AS n, avg(length(s)) AS mean, avg(CASE WHEN length(s) > 100 THEN 1.0 ELSE 0 END) AS far, sum(length(s) - length(replace(s, '、', ''))) / count(*) AS commas, avg(CASE WHEN regexp_matches(s, '^({'|'.join(M.SENTENCE_CONJUNCTIONS)})') THEN 1.0 ELSE 0 END) AS leads FROM sentences GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_sentences, round(mean, 9) AS sentence_mean, round(far, 9) AS long_share, round(commas, 9) AS comma_density, round(leads, 9) AS conjunction_rate, len(regexp_extract_all(text, '[0-9]')) AS half_digit FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id WHERE text IS NOT NULL""",
 )
 def readability_metrics(spark, d):
     r = lambda c: F.round(c, 9).alias(c)
@@ -268,20 +349,20 @@ def rhythm_metrics(spark, d):
 
 @query("word_diversity", r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_types, round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) END, 9) AS ttr FROM w")
 def word_diversity(spark, d):
-    out = M.word_diversity(table(spark, d, "documents").filter("text is not null"))
+    out = M.word_diversity(texts(spark, d, "documents", "doc_id", "text").filter("text is not null"))
     return out.select("doc_id", F.col("n_words").cast("bigint").alias("n_words"), F.col("n_types").cast("bigint").alias("n_types"), F.round("ttr", 9).alias("ttr"))
 
 
-@query("term_inventory")
+@query(
+    "term_inventory",
+    f"""WITH {LINES}, w AS (SELECT doc_id, line, t, unnest(regexp_extract_all(t, '[A-Za-z0-9]+')) AS term FROM lines), f AS (SELECT doc_id, term, min(line) AS line FROM w WHERE regexp_matches(term, '^[A-Z]') GROUP BY 1, 2),
+o AS (SELECT doc_id, line, t, coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lines),
+c AS (SELECT f.doc_id, term, f.line, (before + instr(t, term) - 1)::BIGINT AS pl, text FROM f JOIN o ON o.doc_id = f.doc_id AND o.line = f.line JOIN documents d ON d.doc_id = f.doc_id)
+SELECT doc_id, term, line AS first_line, ((length(text) - length(replace(text, term, ''))) / length(term))::INTEGER AS count, substr(text, pl + length(term) + 1, 1) IN ('(', '（') AS has_gloss_hint, {STRIP.format('substr(text, greatest(pl - 80, 0) + 1, pl + length(term) + 80 - greatest(pl - 80, 0))')} AS context FROM c""",
+)
 def term_inventory(spark, d):
-    return outline.term_inventory(prepared(spark, d))
-
-
-@query("outline_values", "SELECT * FROM (VALUES (1, 1, 'heading', 1, 'はじめに'), (1, 3, 'lead', NULL, '最初の文'), (1, 5, 'bullets', NULL, '(3 items)'), (1, 9, 'heading', 2, '1. 背景'), (1, 10, 'lead', NULL, '本文')) v(doc_id, line, kind, level, text)")
-def outline_values(spark, d):
-    text = "# はじめに #\n\n最初の文。次の文。\n\n- a\n  続き\n- b\n- c\n## 1. 背景\n本文。\n```\n# x\n```"
-    docs = lint.prepare(spark.createDataFrame([(1, text)], "doc_id int, text string"), JA)
-    return outline.outline(docs, JA)
+    """Terms of every document; without an analyser its capitalised words."""
+    return outline.term_inventory(prepared(spark, d)).drop("place")
 
 
 @query("heading_statistics", r"""WITH h AS (SELECT page_id AS doc_id, 1 AS level, trim(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)) AS t FROM pages)
@@ -487,11 +568,12 @@ def submissions_dedup(spark, d):
 
 @query("morpheme_findings")
 def morpheme_findings(spark, d):
-    """Rules over approximate morphemes of the Japanese samples."""
-    return lint.run_lint(morphemes.attach_approximate(ja_docs(spark)), JA, experimental=True)
+    """Rules over approximate morphemes of every document, with Japanese words: findings of each kind."""
+    found = lint.run_lint(morphemes.attach_approximate(ja_prepared(spark, d)), JA, experimental=True, categories=list(MORPHEMES))
+    return found.groupBy("doc_id", "category", "severity").agg(F.count("*").alias("n"))
 
 
 @query("morpheme_metrics")
 def morpheme_metrics(spark, d):
-    t = morphemes.attach_approximate(ja_docs(spark))
+    t = morphemes.attach_approximate(ja_prepared(spark, d))
     return M.morpheme_metrics(t).join(M.lexical_diversity(t), "doc_id").join(M.mora_rhythm(t, 2).select("doc_id", F.col("cv").alias("mora_cv")), "doc_id")

@@ -140,3 +140,4 @@ PROFILES = {
 }
 #: Categories shown only on request.
 EXPERIMENTAL = frozenset({"paragraph_lead_conjunction", "high_length_autocorrelation", "repeated_syntax_template", "english_syntax_cleft_because", "high_bold_density", "high_bullet_ratio", "boilerplate_heading", "numbered_phase_structure", "high_emoji_symbol_density"})
+

@@ -10,6 +10,16 @@ GENRE_PREFIXES = ("blog", "tech", "business", "essay", "note")
 SOURCES = "id string, type string, url string, title string, author string, genre string, register string, quality string, published string, ai_era_risk boolean, notes string"
 
 
+def dealt_out(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as the session has cores, for expensive work on its rows.
+
+    A file of one row group is one task however many cores there are. Tables of
+    enough splits, as all large ones, are left alone, so nothing large is shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_texts(spark: SparkSession, path: str, glob: str = "*.{md,txt}") -> tuple[DataFrame, DataFrame]:
     """(documents, errors) of text files below ``path``: files that are no UTF-8 or blank go to the errors."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)

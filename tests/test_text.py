@@ -115,3 +115,61 @@ def test_heading_grammar(spark):
     g = outline.heading_grammar(df)
     assert tuple(g.first())[3:] == ("名詞/名詞", True)
     assert {(r.level, r.dominant_share, r.nominal_ratio) for r in outline.signature_shares(g).collect()} == {(1, 1.0, 1.0), (None, 1.0, 1.0)}
+
+
+JA_DOCS = [
+    (1, "しかし、重要なのは速度ではなく、精度である。\n\nまた、それは品質を示す。これは大事なことである。なぜなら理由があるからだ。\n\nそして安全ではなく、価格だ。短い。"),
+    (2, "一文だけ。\n二行目です！\n\n三行目？"),
+    (3, "さて、始めよう。\nこのように進む。"),
+    (4, "段落が続く。終わる。\n\n次も続く。終わる。\n\nまた続く。終わる。\n\n最後も続く。終わる。"),
+]
+
+
+def test_japanese_findings(spark):
+    docs = lint.prepare(spark.createDataFrame(JA_DOCS, "doc_id int, text string"), JA)
+    found = lint.run_lint(docs, JA, experimental=True)
+    got = {(r.doc_id, r.line, r.category, r.severity) for r in found.filter("category <> 'low_sentence_variance'").collect()}
+    assert got == {(1, 1, "forbidden_phrase", "info"), (1, 3, "english_syntax_inanimate_subject", "info"), (3, 1, "forbidden_phrase", "info"), (3, 2, "forbidden_phrase", "info"), (4, 1, "uniform_paragraph_structure", "info"), (1, 3, "english_syntax_cleft_because", "warn"), (1, 1, "paragraph_lead_conjunction", "info"), (1, 3, "paragraph_lead_conjunction", "info"), (1, 5, "paragraph_lead_conjunction", "info")}
+    one = lint.run_lint(docs, JA, experimental=True, categories=["forbidden_phrase", "english_syntax_cleft_because"])
+    assert {(r.doc_id, r.line, r.category) for r in one.collect()} == {x[:3] for x in got if x[2] in ("forbidden_phrase", "english_syntax_cleft_because")}
+    assert lint.run_lint(docs, JA, categories=[]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [("a\n```py\nb\n~~~\nc\n```\nd", {1: "a", 7: "d"}), ("---\nt: 1\n---\nx", {4: "x"}), ("a <!-- b\nc --> d", {1: "a       ", 2: "      d"}), ("# h\ntext `code` [n](http://u)\n- i\n> q\n| a | b |", {2: "text        [n](        )"}), ("~~~\nopen\nend", {}), ("a <!--> b", {1: "a       b"}), ("plain\ntext", {1: "plain", 2: "text"})],
+)
+def test_masked_lines(spark, text, left):
+    from prosemill.functions.text import mask_markdown
+
+    masked = one(spark, text, mask_markdown(F.col("text")))
+    assert {k: x for k, x in enumerate(masked.split("\n"), 1) if x} == left
+
+
+def test_outline(spark):
+    from prosemill.operators import outline
+
+    indented = "".join("\n  続き" for _ in range(40))
+    text = f"# はじめに #\n\n最初の文。次の文。\n\n- a{indented}\n- b\n- c\n## 1. 背景\n本文。\n```\n# x\n~~~\n- y\n``` z\n```\n字下げ\n  の行"
+    docs = lint.prepare(spark.createDataFrame([(1, text), (2, "")], "doc_id int, text string"), JA)
+    got = [(r.line, r.kind, r.level, r.text) for r in outline.outline(docs, JA).sort("line").collect()]
+    assert got == [(1, "heading", 1, "はじめに"), (3, "lead", None, "最初の文"), (5, "bullets", None, "(3 items)"), (48, "heading", 2, "1. 背景"), (49, "lead", None, "本文"), (56, "lead", None, "字下げ")]
+
+
+def test_readability_counts(spark):
+    text = "例えば、これは行くことができない。たとえばなくはないし、することができます。１2.5.x\n\n" + "あ" * 101 + "。"
+    docs = lint.prepare(spark.createDataFrame([(1, text), (2, "")], "doc_id int, text string"), JA)
+    got, none = metrics.readability(docs, JA).sort("doc_id").collect()
+    assert (got.n_sentences, got.comma_density, got.double_negation, got.redundant, got.notation_pairs) == (4, 0.5, 1, 1, 1)
+    assert (got.full_period, got.half_period, got.full_digit, got.half_digit, got.period_mixed, got.comma_mixed, got.digit_mixed) == (3, 0, 1, 2, False, False, True)
+    assert (got.long_share, got.conjunction_rate) == (0.25, 0.5)
+    assert (none.n_sentences, none.kanji_ratio, none.katakana_ratio, none.comma_density, none.sentence_mean, none.redundant, none.paragraph_cv) == (0, None, None, None, None, 0, None)
+
+
+def test_terms_follow_morphemes(spark):
+    from prosemill.operators import outline
+
+    docs = lint.prepare(spark.createDataFrame([(1, "# 東京タワーとは\n東京タワー（塔）はHTTPで Big Data を読む。\nカタ カタカナ語")], "doc_id int, text string"), JA)
+    pieces = "transform(case when l.text like '東京タワーとは' then array('東京', 'タワー', 'とは') when l.text like '東京%' then array('東京', 'タワー', '（塔）は', 'HTTP', 'で', ' ', 'Big', ' ', 'Data') else array('カタ', ' ', 'カタカナ', '語') end, p -> struct(p as surface, '名詞' as pos0, if(p = '東京', '固有名詞', '*') as pos1, instr(l.text, p) - 1 as begin, instr(l.text, p) - 1 + length(p) as end))"
+    got = [(r["term"], r["first_line"], r["count"], r["has_gloss_hint"]) for r in outline.term_inventory(docs, pieces).sort("first_line", "place").collect()]
+    assert got == [("東京", 1, 2, True), ("タワー", 1, 2, True), ("HTTP", 2, 1, True), ("Big", 2, 1, True), ("Data", 2, 1, True), ("カタカナ", 3, 1, True)]
