@@ -10,16 +10,21 @@ compares the words themselves over the item-sized window.
 
 Scale: the documents are scanned twice (count, join) without a shuffle of text
 or words; only one count per item shingle and task is shuffled. Items go to the
-executors in blocks of at most ``BLOCK_BYTES`` of text, with a scan stage for
-each block, so the broadcast is bounded at any benchmark size.
+driver and the executors in blocks of at most ``BLOCK_BYTES`` of text, one at a
+time and as arrays (about 40 bytes per byte of text while a block is made), with
+a scan stage for each block, so both are bounded at any benchmark size.
 
 Defined results: null or empty texts have no words and no hit; a null or empty
-item has no window; repeated documents give repeated rows; an item id that
-occurs twice counts once; the order of words, not the order of rows, decides.
+item has no window; repeated documents give repeated rows and a null document id
+stays; an item id that occurs twice counts once; items without an id are windows
+like any others, count together as one item and have no name in the hash; the
+order of words, not the order of rows, decides; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import textops as T
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SHINGLE = 5
 _BITS = 20
 
@@ -58,44 +63,54 @@ class _Lookup:
 
 
 class ItemBlock:
-    """The windows of one block of items; ``order`` turns it into a prefix index."""
-
-    def __init__(self, items: list[tuple[str, str]], width: int):
-        column = pa.array([text for _, text in items], pa.string())
-        data, w, h = _lowered_words(T.texts(column))
-        found: dict[tuple, int] = {}
-        self.window_items: list[set[str]] = []
-        self.window_words: list[tuple[bytes, ...]] = []
-        hashes: list[np.ndarray] = []
-        raw = data.tobytes()
-        for r, (item, _) in enumerate(items):
-            a, b = int(w.bounds[r]), int(w.bounds[r + 1])
-            size = min(width, b - a)
-            own = [raw[w.start[k] : w.end[k]] for k in range(a, b)]
-            for k in range(b - a - size + 1) if size else ():
-                key = tuple(own[k : k + size])
-                at = found.setdefault(key, len(found))
-                if at == len(self.window_items):
-                    self.window_items.append(set())
-                    self.window_words.append(key)
-                    hashes.append(h[a + k : a + k + size])
-                self.window_items[at].add(item)
-        self.window_hashes = hashes
-        self.lengths = np.array([len(x) for x in hashes], np.int64)
+    """The different windows of one block of items; ``order`` turns it into a prefix index.
+
+    All of it is arrays: a window is a first word and a length in the block's own
+    words, its items a range of one list.
+    """
+
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
+        self.names = [item for item, _ in items]
+        data, w, self.hash = _lowered_words(T.texts(pa.array([text for _, text in items], pa.string())))
+        self.raw, self.start, self.end = data.tobytes(), w.start, w.end
+        n = np.diff(w.bounds)
+        size = np.minimum(n, width)
+        count = np.where(n > 0, n - size + 1, 0)
+        owner = np.repeat(np.arange(len(items)), count)
+        first = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + w.bounds[:-1][owner]
+        length = size[owner]
+        key = np.zeros((len(first), width + 1), np.uint64)
+        key[:, 0] = length
+        for k in range(width):
+            inside = k < length
+            key[inside, k + 1] = self.hash[first[inside] + k]
+        _, at, place = np.unique(key.view([("", np.uint64)] * (width + 1)).ravel(), return_index=True, return_inverse=True)
+        self.first, self.lengths = first[at], length[at]
+        pairs = np.unique(place.astype(np.int64) * max(len(items), 1) + owner)
+        self.items = pairs % max(len(items), 1)
+        self.item_bounds = np.searchsorted(pairs // max(len(items), 1), np.arange(len(at) + 1))
         #: For each shingle size the windows use: lookup of shingle hashes; (window, offset, key) triples.
         self.shingles: dict[int, tuple[_Lookup, np.ndarray]] = {}
-        for size in sorted({min(SHINGLE, n) for n in self.lengths.tolist()}):
-            win = [i for i, n in enumerate(self.lengths) if min(SHINGLE, n) == size]
-            triples = [(i, o, g) for i in win for o, g in enumerate(T.grams(hashes[i], size).tolist())]
-            keys = np.array([g for _, _, g in triples], np.uint64)
+        short = np.minimum(self.lengths, SHINGLE)
+        for size in np.unique(short).tolist():
+            win = np.flatnonzero(short == size)
+            many = self.lengths[win] - size + 1
+            window = np.repeat(win, many)
+            offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            keys = T.grams(self.hash, size)[self.first[window] + offset]
             lookup = _Lookup(keys)
-            self.shingles[size] = lookup, np.array([(i, o, k) for (i, o, _), k in zip(triples, np.searchsorted(lookup.keys, keys).tolist(), strict=True)], np.int64)
+            self.shingles[size] = lookup, np.stack((window, offset, np.searchsorted(lookup.keys, keys)), 1)
+
+    def items_of(self, windows: np.ndarray) -> list[str | None]:
+        """Ids of the items that have any of these windows; a null id, whosever, is one at the end."""
+        found = {self.names[i] for k in windows.tolist() for i in self.items[self.item_bounds[k] : self.item_bounds[k + 1]].tolist()}
+        return sorted(found, key=lambda x: (x is None, x or ""))
 
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
+    def order(self, counts: dict[int, np.ndarray]) -> None:
         """Keep, for each window, only its rarest shingle; drop windows with a shingle that no document has."""
         self.prefix: dict[int, tuple[_Lookup, np.ndarray, np.ndarray, np.ndarray]] = {}
         for size, (lookup, triples) in self.shingles.items():
-            df = np.array([counts.get((size, k), 0) for k in range(len(lookup.keys))], np.int64)
+            df = counts.get(size, np.zeros(len(lookup.keys), np.int64))
             rank = np.lexsort((triples[:, 1], df[triples[:, 2]], triples[:, 0]))
             first = np.concatenate(([True], triples[rank][1:, 0] != triples[rank][:-1, 0]))
             best = triples[rank][first]
@@ -103,14 +118,8 @@ class ItemBlock:
             best = best[np.argsort(best[:, 2], kind="stable")]
             keys = lookup.keys[best[:, 2]]
             own = _Lookup(keys)
-            bounds = np.searchsorted(keys, own.keys), np.searchsorted(keys, own.keys, "right")
-            self.prefix[size] = own, best, *bounds
+            self.prefix[size] = own, best, np.searchsorted(keys, own.keys), np.searchsorted(keys, own.keys, "right")
         del self.shingles
-        width = int(self.lengths.max()) if len(self.lengths) else 0
-        self.table = np.zeros((len(self.lengths), width), np.uint64)
-        for i, x in enumerate(self.window_hashes):
-            self.table[i, : len(x)] = x
-        del self.window_hashes
 
     def count(self, t: T.Texts) -> list[tuple[int, np.ndarray]]:
         """For each shingle size: the number of documents of ``t`` with each key."""
@@ -142,28 +151,30 @@ class ItemBlock:
             fits = (begin >= w.bounds[row]) & (begin + length <= w.bounds[row + 1])  # positional and length bounds
             begin, window, row, length = begin[fits], window[fits], row[fits], length[fits]
             same = np.ones(len(begin), bool)
-            for k in range(self.table.shape[1]):
+            for k in range(int(length.max()) if len(length) else 0):
                 inside = k < length
-                same &= ~inside | (h[np.where(inside, begin + k, 0)] == self.table[window, k])
+                same &= ~inside | (h[np.where(inside, begin + k, 0)] == self.hash[np.where(inside, self.first[window] + k, 0)])
             found.append(np.stack([row[same], window[same], begin[same]], 1))
         hits = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        raw = data
-        exact = [all(raw[w.start[b + k] : w.end[b + k]].tobytes() == x for k, x in enumerate(self.window_words[win])) for _, win, b in hits.tolist()]
-        hits = hits[np.array(exact, bool)] if len(hits) else hits
+        raw = data.tobytes() if len(hits) else b""
+        words = {win: [self.raw[a:e] for a, e in zip(self.start[f : f + n].tolist(), self.end[f : f + n].tolist(), strict=True)] for win in np.unique(hits[:, 1]).tolist() for f, n in [(self.first[win], self.lengths[win])]}
+        exact = [all(raw[w.start[b + k] : w.end[b + k]] == x for k, x in enumerate(words[win])) for _, win, b in hits.tolist()]
+        hits = hits[np.array(exact, bool)]
         return w, hits[:, 0], hits[:, 1], hits[:, 2]
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> list[ItemBlock]:
-    """Blocks of items of at most about ``BLOCK_BYTES`` of text each; always one at least."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("item is not null and text is not null")
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> Iterator[ItemBlock]:
+    """Blocks of items of at most about ``BLOCK_BYTES`` of text each, one at a time; always one at least."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // BLOCK_BYTES))
-    return [ItemBlock([(r.item, r.text) for r in items.filter(F.expr(f"pmod(xxhash64(item, text), {n}) = {b}")).sort("item", "text").toLocalIterator()], width) for b in range(n)]
+    for b in range(n):
+        yield ItemBlock([(r.item, r.text) for r in items.filter(F.expr(f"pmod(xxhash64(item, text), {n}) = {b}")).sort("item", "text").toLocalIterator()], width)
 
 
-def _indexed(docs: DataFrame, block: ItemBlock) -> Broadcast:
+def _indexed(texts: DataFrame, block: ItemBlock) -> Broadcast:
     """Count the block's shingles over all documents, order them by rarity and send the prefix index out."""
-    context = docs.sparkSession.sparkContext
+    context = texts.sparkSession.sparkContext
     held = context.broadcast(block)
 
     def count(batches):
@@ -175,8 +186,13 @@ def _indexed(docs: DataFrame, block: ItemBlock) -> Broadcast:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), size, np.int64)), pa.array(at), pa.array(c[at].astype(np.int64))], names=["size", "key", "n"])
 
-    counted = docs.mapInArrow(count, "size bigint, key bigint, n bigint").groupBy("size", "key").agg(F.sum("n").alias("n"))
-    block.order({(r[0], r[1]): r[2] for r in counted.toLocalIterator()})  # one row per shingle of the block
+    counted = texts.mapInArrow(count, "size bigint, key bigint, n bigint").groupBy("size", "key").agg(F.sum("n").alias("n")).toArrow()  # one row per shingle of the block
+    held.destroy()
+    size, key, n = (counted.column(c).to_numpy() for c in ("size", "key", "n"))
+    counts = {k: np.zeros(len(lookup.keys), np.int64) for k, (lookup, _) in block.shingles.items()}
+    for k, own in counts.items():
+        own[key[size == k]] = n[size == k]
+    block.order(counts)
     return context.broadcast(block)
 
 
@@ -187,9 +203,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """Per document: id, ``n_words``, ``n_hit`` (words inside occurrences), ``items`` (sorted ids) and ``spans`` (merged word ranges)."""
     T.prepare(docs.sparkSession)
     out = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.expr("cast(null as array<string>)").alias("items"), F.expr("cast(null as array<struct<first:bigint,end:bigint>>)").alias("spans"), F.lit(0).cast("bigint").alias("n_words"))
-    schema = out.schema
+    schema, texts = out.schema, out.select("__text")
     for block in item_blocks(benchmark, item_col, item_text_col, width):
-        indexed = _indexed(out.select("__text"), block)
+        indexed = _indexed(texts, block)
 
         def join(batches, indexed=indexed):
             index = indexed.value
@@ -198,7 +214,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 items, spans = b.column("items").to_pylist(), b.column("spans").to_pylist()
                 for r in np.unique(row).tolist():
                     mine = row == r
-                    items[r] = sorted({*(items[r] or ()), *(i for k in np.unique(window[mine]).tolist() for i in index.window_items[k])})
+                    items[r] = sorted({*(items[r] or ()), *index.items_of(np.unique(window[mine]))}, key=lambda x: (x is None, x or ""))
                     ranges = [(x["first"], x["end"]) for x in spans[r] or ()] + [(a - w.bounds[r], a - w.bounds[r] + n) for a, n in zip(begin[mine].tolist(), index.lengths[window[mine]].tolist(), strict=True)]
                     merged: list[list[int]] = []
                     for a, e in sorted(ranges):
@@ -236,8 +252,9 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **columns) -> Da
 def filter_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10) -> DataFrame:
     """The rows of ``docs`` without any occurrence of a window, with the same columns."""
     T.prepare(docs.sparkSession)
+    texts = docs.select(F.col(text_col).cast("string").alias("__text"))
     for block in item_blocks(benchmark, item_col, item_text_col, width):
-        indexed = _indexed(docs.select(F.col(text_col).cast("string").alias("__text")), block)
+        indexed = _indexed(texts, block)
 
         def clean(batches, indexed=indexed):
             for b in T.chunks(batches, text_col):

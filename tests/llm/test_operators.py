@@ -144,7 +144,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     df = docs(spark, ["lead " + " and ".join(f"p{k} q{k} r{k} s{k} t{k} u{k} v{k} w{k} x{k} y{k} z{k}" for k in own) for own in ([0, 3, 8], [1], [])])
     whole = [tuple(r) for r in decontam.contamination_report(df, bench).sort("doc_id").collect()]
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 100)
-    assert len(decontam.item_blocks(bench, "item_id", "text", 10)) > 2
+    assert len(list(decontam.item_blocks(bench, "item_id", "text", 10))) > 2
     assert [tuple(r) for r in decontam.contamination_report(df, bench).sort("doc_id").collect()] == whole
     assert [r[3] for r in whole] == [3, 1, 0]
 
@@ -301,3 +301,15 @@ def test_oracle(spark, name):
     rel = con.sql(oracles.ORACLES[name])
     df = queries.QUERIES[name](spark, DATA).select(*rel.columns)
     assert sorted(map(tuple, df.collect()), key=str) == sorted(rel.fetchall(), key=str)
+
+
+def test_decontamination_of_odd_rows(spark):
+    passage = " ".join(f"q{k}" for k in range(14))
+    bench = spark.createDataFrame([(None, passage, "c"), (None, "other tiny", "c"), (3, passage, "c"), (3, passage, "c"), (4, None, "c")], "item_id bigint, text string, n_hit string")
+    rows = [(1, f"a {passage} b"), (1, f"a {passage} b"), (None, "OTHER tiny"), (2, None), (3, "x " * 300_000 + passage)]
+    df = spark.createDataFrame([(*r, "c", "c") for r in rows], "doc_id bigint, text string, items string, n_words string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.contamination_report(df, bench).collect()), key=str)
+    name = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert got == sorted([(1, 16, 14, 2, name("3")), (1, 16, 14, 2, name("3")), (None, 2, 2, 1, name("")), (2, 0, 0, 0, name("")), (3, 300_014, 14, 2, name("3"))], key=str)
+    clean = decontam.filter_contaminated(df, bench)
+    assert clean.columns == df.columns and [r.doc_id for r in clean.collect()] == [2]
