@@ -1,22 +1,23 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two gated recurrent layers read a word's bytes from the left and from the right;
-a softmax over both states labels every position with a language, and a
-document's probabilities are the mean over the positions of all its words (what
-stands between two words takes the label of the word before it). Words of more
-than ``window`` bytes are read in pieces of that size. The network is trained
-here, in numpy, by backpropagation through time on a bounded sample of labelled
-rows (``LangRules.docs_per_lang`` documents of each language, and
-``words_per_doc`` words of each of those).
+Two gated recurrent layers read a text's bytes from the left and from the right;
+a softmax over both states labels every position with a language (letters, white
+space and marks alike), and a document's probabilities are the mean over all its
+positions. A text is read in windows of ``window`` bytes with ``context`` further
+bytes on either side, which carry the states but are not counted, so every byte
+is labelled once, with its surroundings. The network is trained here, in numpy,
+by backpropagation through time on a bounded sample of labelled rows
+(``docs_per_lang`` documents of each language and ``windows_per_doc`` windows of
+``span`` bytes of each of those).
 
 Scale: one pass without a shuffle of text; the sample and the weights (a few
-thousand numbers) are all that leaves or reaches an executor. Every word of
-every whole text counts; a task reads each different word once and remembers
-its sums, in a bounded table that only saves work.
+thousand numbers) are all that leaves or reaches an executor. Work and memory
+are linear in the bytes of a text, in batches of a fixed number of windows.
 
 Defined results: a null text or one without a letter is `und` with score 0; so
 is every text when no labelled row exists; repeated rows repeat; a null id is
-never held out and never learned from; ties go to the first language by name.
+never held out and never learned from; a null language is never learned; ties go
+to the first language by name; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,19 +34,27 @@ from . import textops as T
 
 @dataclass(frozen=True)
 class LangRules:
-    window: int = 64
+    window: int = 256
+    context: int = 16
     hidden: int = 8
     #: Bounds of the labelled sample.
     docs_per_lang: int = 400
-    words_per_doc: int = 64
-    steps: int = 500
-    batch: int = 1024
-    rate: float = 0.015
+    windows_per_doc: int = 8
+    span: int = 64
+    steps: int = 400
+    batch: int = 128
+    rate: float = 0.02
     seed: int = 5
     #: Documents with a lower pooled probability are rejected by the filter.
     min_score: float = 0.4
 
 
+#: A byte that UTF-8 never uses, in place of what a window has not.
+PAD = 0xFF
+#: Windows read at once.
+_TOGETHER = 2048
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
     np.exp(x, out=x)
@@ -63,11 +72,13 @@ class ByteGru:
         self.p = {"w0": make(256, 3 * h, by=0.3), "u0": make(h, 3 * h, by=0.3), "w1": make(256, 3 * h, by=0.3), "u1": make(h, 3 * h, by=0.3), "v": make(2 * h, len(langs), by=0.3), "c": np.zeros(len(langs), np.float32)}
 
     def _run(self, x: np.ndarray, d: int, kept: list | None = None) -> np.ndarray:
-        """States [T, N, H] of direction ``d`` over bytes [T, N], in the order of positions."""
+        """States [T, N, H] of direction ``d`` over bytes [T, N], in the order of positions; padding leaves the state at zero."""
         w, u, hs = self.p[f"w{d}"], self.p[f"u{d}"], self.rules.hidden
         steps, n = x.shape
         out = np.empty((steps, n, hs), np.float32)
         h = np.zeros((n, hs), np.float32)
+        real = (x != PAD).astype(np.float32)[:, :, None]
+        whole = real.all((1, 2))
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             g = np.take(w, x[t], axis=0)
             a = h @ u
@@ -77,6 +88,8 @@ class ByteGru:
             if kept is not None:
                 kept.append((t, h, z, r, new, a[:, 2 * hs :]))
             h = new + z * (h - new)
+            if not whole[t]:
+                h *= real[t]
             out[t] = h
         return out
 
@@ -92,114 +105,77 @@ class ByteGru:
         return s.reshape(*states.shape[:2], -1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the mean position loss for windows [T, N] with a label each."""
+        """Gradients of the mean loss of all positions that are no padding, for windows [T, N] with a label each."""
         steps, n = x.shape
         hs = self.rules.hidden
         kept: tuple[list, list] = ([], [])
         states = np.concatenate([self._run(x, d, kept[d]) for d in (0, 1)], 2)
         ds = self._softmax(states)
         ds[:, np.arange(n), y] -= 1
-        ds = (ds / (steps * n)).reshape(-1, ds.shape[2]).astype(np.float32)
+        seen = x != PAD
+        ds *= (seen / max(int(seen.sum()), 1))[:, :, None]
+        ds = ds.reshape(-1, ds.shape[2]).astype(np.float32)
         grad = {"v": states.reshape(-1, 2 * hs).T @ ds, "c": ds.sum(0)}
         back = (ds @ self.p["v"].T).reshape(steps, n, 2 * hs)
         for d in (0, 1):
             u = self.p[f"u{d}"]
             gu, gw = np.zeros_like(u), np.zeros_like(self.p[f"w{d}"])
+            into = np.empty((steps, n, 3 * hs), np.float32)
             carry = np.zeros((n, hs), np.float32)
             for t, h, z, r, new, a in reversed(kept[d]):
-                dh = back[t, :, d * hs : (d + 1) * hs] + carry
+                dh = (back[t, :, d * hs : (d + 1) * hs] + carry) * seen[t][:, None]
                 dz = dh * (h - new) * z * (1 - z)
                 dn = dh * (1 - z) * (1 - new * new)
                 dr = dn * a * r * (1 - r)
                 da = np.concatenate((dz, dr, dn * r), 1)
                 gu += h.T @ da
                 carry = dh * z + da @ u.T
-                np.add.at(gw, x[t], np.concatenate((dz, dr, dn), 1))
+                into[t] = np.concatenate((dz, dr, dn), 1)
+            order = np.argsort(x, axis=None, kind="stable")
+            sorted_bytes = x.ravel()[order]
+            first = np.flatnonzero(np.concatenate(([True], sorted_bytes[1:] != sorted_bytes[:-1])))
+            gw[sorted_bytes[first]] = np.add.reduceat(into.reshape(-1, 3 * hs)[order], first)
             grad[f"u{d}"], grad[f"w{d}"] = gu, gw
         return grad
 
-    def train(self, words: list[bytes], y: np.ndarray) -> ByteGru:
-        """Adam on batches of words of one length, lengths by their share of all bytes and languages drawn evenly."""
+    def train(self, windows: np.ndarray, y: np.ndarray) -> ByteGru:
+        """Adam on batches of windows [N, span], languages drawn evenly."""
         rules, rng = self.rules, np.random.RandomState(self.rules.seed)  # noqa: NPY002
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
-        length = np.array([len(w) for w in words])
-        sizes = np.flatnonzero(np.bincount(length))
-        table = {n: np.frombuffer(b"".join(w for w in words if len(w) == n), np.uint8).reshape(-1, n).T for n in sizes.tolist()}
-        label = {n: y[length == n] for n in sizes.tolist()}
-        share = np.array([n * len(label[n]) for n in sizes.tolist()], float)
+        own = [o for c in range(len(self.langs)) if len(o := np.flatnonzero(y == c))]
         for step in range(1, rules.steps + 1):
-            n = int(rng.choice(sizes, p=share / share.sum()))
-            own = [np.flatnonzero(label[n] == c) for c in range(len(self.langs))]
-            pick = np.concatenate([rng.choice(o, max(1, rules.batch // len(own))) for o in own if len(o)])
-            for k, g in self.gradients(table[n][:, pick], label[n][pick]).items():
+            pick = np.concatenate([rng.choice(o, max(1, rules.batch // len(own))) for o in own])
+            for k, g in self.gradients(windows[pick].T, y[pick]).items():
                 m[k] += 0.1 * (g - m[k])
                 s[k] += 0.01 * (g * g - s[k])
                 rate = rules.rate * min(1.0, 2 * (1 - step / (rules.steps + 1)))
                 self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
-
-def pieces(t: T.Texts, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end of every word, in pieces of at most ``window`` bytes."""
-    w = T.words(t, _WORD)
-    size = w.end - w.start
-    count = -(-size // window)
-    part = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    start = np.repeat(w.start, count) + part * window
-    return np.repeat(w.row(), count), start, np.minimum(start + window, np.repeat(w.end, count))
-
-
-class Pooler:
-    """Document probabilities, with the sums of words seen before."""
-
-    KEPT = 1 << 20
-
-    def __init__(self, model: ByteGru):
-        self.model = model
-        self.keys = np.zeros(0, np.uint64)
-        self.sums = np.zeros((0, len(model.langs)), np.float32)
-
-    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        sums = np.empty((len(keys), len(self.model.langs)), np.float32)
-        for n in np.flatnonzero(np.bincount(size)).tolist():
-            own = np.flatnonzero(size == n)
-            for a in range(0, len(own), 4096):
-                at = own[a : a + 4096]
-                sums[at] = self.model.probabilities(data[start[at] + np.arange(n)[:, None]]).sum(0)
-        if len(self.keys) > self.KEPT:
-            self.keys, self.sums = self.keys[:0], self.sums[:0]
-        keys = np.concatenate((self.keys, keys))
-        order = np.argsort(keys)
-        self.keys, self.sums = keys[order], np.concatenate((self.sums, sums))[order]
-
-    def __call__(self, t: T.Texts) -> np.ndarray:
-        """[rows, C]: mean label probabilities over the positions of each row's words; zeros where there is none."""
-        row, start, end = pieces(t, self.model.rules.window)
-        out = np.zeros((len(t), len(self.model.langs)))
-        if len(row):
-            keys, first, place = np.unique(T.SpanHash(t.data)(start, end), return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
-            if new.any():
-                held = keys[~new], self.sums[at[~new]]
-                self._learn(keys[new], t.data, start[first[new]], (end - start)[first[new]])
-                at = np.searchsorted(self.keys, keys)
-                if len(held[0]) and (at >= len(self.keys)).any() | (self.keys[np.minimum(at, len(self.keys) - 1)] != keys).any():  # the table was emptied
-                    both = np.concatenate((self.keys, held[0]))
-                    order = np.argsort(both)
-                    self.keys, self.sums = both[order], np.concatenate((self.sums, held[1]))[order]
-                    at = np.searchsorted(self.keys, keys)
-            sums = self.sums[at][place]
+    def pooled(self, t: T.Texts) -> np.ndarray:
+        """[rows, C]: mean label probabilities over all positions of each row; zeros for a row without any."""
+        window, context = self.rules.window, self.rules.context
+        size = np.diff(t.bounds)
+        count = -(-size // window)
+        row = np.repeat(np.arange(len(t)), count)
+        start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * window + t.bounds[:-1][row]
+        out = np.zeros((len(t), len(self.langs)))
+        for a in range(0, len(row), _TOGETHER):
+            r, at = row[a : a + _TOGETHER], start[a : a + _TOGETHER]
+            length = int(np.minimum(window, t.bounds[r + 1] - at).max())  # windows of short texts only: no longer than those
+            x, counted = read_windows(t, r, at - context, length + 2 * context), slice(context, context + length)
+            p = self.probabilities(x)[counted] * (x[counted] != PAD)[:, :, None]
             for j in range(out.shape[1]):
-                out[:, j] = np.bincount(row, sums[:, j], len(t))
-            out /= np.maximum(np.bincount(row, end - start, len(t)), 1)[:, None]
-        return out
+                out[:, j] += np.bincount(r, p[:, :, j].sum(0, dtype=np.float64), len(t))
+        return out / np.maximum(size, 1)[:, None]
 
 
-#: Letters, digits and all non-ASCII characters.
-_WORD = T.ALNUM.copy()
-_WORD[65:91] = True
+def read_windows(t: T.Texts, row: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """[length, N]: the bytes of each window from ``start`` on, with padding outside its row."""
+    at = start + np.arange(length)[:, None]
+    inside = (at >= t.bounds[row]) & (at < t.bounds[row + 1])
+    return np.where(inside, t.data[np.where(inside, at, 0)], np.uint8(PAD)) if len(t.data) else np.full(at.shape, PAD, np.uint8)
 
 
 def held_out(id_col: str) -> Column:
@@ -229,31 +205,30 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     def cut(batches):
         for b in T.chunks(batches, "text"):
             t = T.texts(b.column("text"))
-            row, start, end = pieces(t, rules.window)
-            bounds = np.searchsorted(row, np.arange(len(t) + 1))
-            langs, ids = b.column("lang").to_pylist(), b.column("order").to_pylist()
-            out: dict[str, list] = {"lang": [], "order": [], "word": []}
-            for r in np.flatnonzero(np.diff(bounds)).tolist():
-                picked = np.random.RandomState(ids[r] & 0x7FFFFFFF).randint(bounds[r], bounds[r + 1], rules.words_per_doc)  # noqa: NPY002
-                for k in np.unique(picked).tolist():
-                    out["lang"].append(langs[r])
-                    out["order"].append(ids[r])
-                    out["word"].append(t.data[start[k] : end[k]].tobytes())
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("lang", pa.string()), ("order", pa.int64()), ("word", pa.binary())]))
-
-    words = sorted(tuple(r) for r in sample.select("lang", F.xxhash64("id").alias("order"), "text").mapInArrow(cut, "lang string, order bigint, word binary").collect())
-    langs = sorted({w[0] for w in words})
+            ids, n = b.column("order").to_numpy(), np.diff(t.bounds)
+            offset = [np.random.RandomState(i & 0x7FFFFFFF).randint(0, max(size - rules.span, 0) + 1, rules.windows_per_doc) for i, size in zip(ids.tolist(), n.tolist(), strict=True)]  # noqa: NPY002
+            row = np.repeat(np.arange(len(t)), rules.windows_per_doc)
+            x = read_windows(t, row, t.bounds[row] + np.concatenate(offset), rules.span)
+            # every other window is cut short, as short texts are
+            cut_at = np.where(np.arange(len(row)) % 2, rules.span, 4 + (ids[row] ^ np.arange(len(row))) % max(rules.span - 4, 1))
+            x[np.arange(rules.span)[:, None] >= cut_at] = PAD
+            langs = b.column("lang").take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([langs, pa.array(ids[row]), pa.array([w.tobytes() for w in np.ascontiguousarray(x.T)], pa.binary())], names=["lang", "order", "window"])
+
+    found = sorted({(r[0], r[1], bytes(r[2])) for r in sample.select("lang", F.xxhash64("id").alias("order"), "text").mapInArrow(cut, "lang string, order bigint, window binary").collect()})
+    langs = sorted({r[0] for r in found})
     model = ByteGru(langs, rules)
-    return model.train([bytes(w[2]) for w in words], np.array([langs.index(w[0]) for w in words])) if len(langs) > 1 else model
+    if len(langs) < 2:
+        return model
+    windows = np.frombuffer(b"".join(r[2] for r in found), np.uint8).reshape(len(found), rules.span)
+    return model.train(windows, np.array([langs.index(r[0]) for r in found]))
 
 
 def _predictor(model: ByteGru):
-    pool = Pooler(model)
-
     def predict(t: T.Texts, letters: np.ndarray) -> tuple[list[str], np.ndarray]:
         if not model.langs:
             return ["und"] * len(t), np.zeros(len(t))
-        p = pool(t)
+        p = model.pooled(t)
         best = p.argmax(1)
         score = np.where(letters, np.clip(p[np.arange(len(t)), best], 0, 1), 0.0)
         return [model.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)], score
