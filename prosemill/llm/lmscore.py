@@ -1,8 +1,11 @@
 """Cross-entropy difference of two n-gram models that share one vocabulary.
 
 Tokens are the bytes of a text, so both models share the 256 symbols and no
-token is unknown. Four-gram counts are gathered over the target rows and over all
-rows; each model interpolates its orders by Dirichlet smoothing. For every
+token is unknown. Four-gram counts are gathered over the target rows and, for the
+background, over all other rows. The models are matched: background counts are
+weighted by one factor so that both corpora have the same number of tokens, which
+gives the smoothing, a Dirichlet interpolation of the orders, the same say in
+both; every row counts, none is sampled. For every
 position the loss under the target model minus the loss under the background
 model is taken, and a document's score is the mean of these differences: the
 lower, the more it is like the target.
@@ -16,8 +19,9 @@ rows are selected by a join on their ids, which are broadcast only up to a count
 size, so that texts are not shuffled for it.
 
 Defined results: a null or empty text has no token, null losses and a null
-score; repeated rows repeat (and count repeatedly); with no target row the
-target model is uniform; a null id is never a target.
+score; repeated rows repeat (and count repeatedly); with no target row, or no
+other, that model is uniform; a null id is never a target; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -75,9 +79,12 @@ def count_grams(texts: DataFrame, name: str) -> DataFrame:
     return texts.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias(name))
 
 
-def losses(target: DataFrame, background: DataFrame, rules: LmRules) -> DataFrame:
-    """``gram`` with its loss under either model, for every four-gram of the background."""
-    counts = written(background.join(target, "gram", "left").select("gram", "b", F.coalesce("t", F.lit(0)).alias("t")), "grams")
+def losses(target: DataFrame, whole: DataFrame, rules: LmRules) -> DataFrame:
+    """``gram`` with its loss under either model, for every four-gram of the corpus, from its counts in the target (t) and in all rows (b)."""
+    counts = written(whole.join(target, "gram", "left").select("gram", (F.col("b") - F.coalesce("t", F.lit(0))).alias("b"), F.coalesce("t", F.lit(0)).alias("t")), "grams")
+    tokens = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    share = (tokens.t or 0) / tokens.b if tokens.b and tokens.t else 1.0
+    counts = counts.withColumn("b", F.col("b") * F.lit(share))
 
     def smoothed(order: int, lower: DataFrame | None) -> DataFrame:
         mask = (1 << 8 * order) - 1
