@@ -1,26 +1,31 @@
 """Licence scans with a positional rare-token index.
 
-Templates (short licence notices) are indexed by word and position. The inverse
-document frequency of every template word comes from a count over all documents.
-A scan looks up each file's highest-IDF licence words: of each template, the
-words in the rarer half. Every occurrence of such a word votes for the place in
-the file at which the template would begin (file position minus template
-position); places where enough rare words agree are aligned word by word, and a
-template is reported when enough of its words agree and its mandatory key
-phrases stand inside the aligned range.
+Templates (whole short licences, and the notices that longer ones ask for) are
+indexed by word and position. The inverse document frequency of every template
+word comes from a count over all documents. A scan looks up each file's
+highest-IDF licence words: of a template's words that the file has, the rarest
+ones, as many as leave no place unseen (a place may miss ``1 - min_share`` of the
+words, those that the file lacks are among them, so two more than may still be
+missed are enough for two votes). Every occurrence of such a word votes for the
+place at which the template would begin (file position minus template position);
+places where enough rare words agree are aligned word by word, and a template is
+reported when enough of its words agree and its mandatory key phrases stand
+inside the aligned range.
 
 Base phrases are found beside it: places where a phrase's words stand
 consecutively.
 
 Defined results: a null or empty text has no words and no label (empty strings,
-score 0, null positions); repeated rows give repeated rows; other columns are
-not read. Whole texts are scanned. Per task only one count per template word is
-shuffled; templates are a fixed list, so what is broadcast does not grow.
+score 0, null positions); a null id stays; repeated rows give repeated rows; of
+templates with equal scores all labels are reported; other columns are not read.
+Whole texts are scanned. Per task only one count per template word is shuffled;
+templates are a fixed list, so what is broadcast does not grow.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,23 +43,62 @@ BASE_PHRASES = [
     ("mit license", "mit"),
 ]
 
-#: Label, notice, mandatory key phrases.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
+_MIT = _MIT_GRANT + """, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_CONDITIONS = """
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_NAME = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_ZLIB = """This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"""
+
+
+def _gnu(thing: str, name: str, version: str) -> str:
+    return f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
+#: Label, licence or notice, mandatory key phrases.
 TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license", "version 2 0"]),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["apache org licenses license 2 0"]),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license", "version 3"]),
-    ("lgpl-2.1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ["gnu lesser general public license"]),
-    ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["hereby granted free of charge", "without restriction"]),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license", "version 2 0"]),
+    ("apache-2.0", _APACHE, ["apache license version 2 0", "apache org licenses license 2 0"]),
+    ("gpl-3.0", "licensed under the GNU General Public License, version 3", ["gnu general public license", "version 3"]),
+    ("gpl-2.0", "licensed under the GNU General Public License, version 2", ["gnu general public license", "version 2"]),
+    ("gpl-3.0", _gnu("program", "General Public License", "3"), ["gnu general public license", "either version 3 of the license"]),
+    ("gpl-2.0", _gnu("program", "General Public License", "2"), ["gnu general public license", "either version 2 of the license"]),
+    ("lgpl-3.0", _gnu("library", "Lesser General Public License", "3"), ["gnu lesser general public license", "either version 3 of the license"]),
+    ("lgpl-2.1", _gnu("library", "Lesser General Public License", "2.1"), ["gnu lesser general public license", "version 2 1 of the license"]),
+    ("agpl-3.0", _gnu("program", "Affero General Public License", "3"), ["gnu affero general public license", "either version 3 of the license"]),
+    ("cc-by-4.0", "licensed under CC BY 4.0", ["cc by 4 0"]),
+    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", ["cc by sa 4 0"]),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", ["cc by nc 4 0"]),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike 4 0"]),
+    ("mit", "released under the MIT License", ["mit license"]),
+    ("mit", _MIT_GRANT, ["hereby granted free of charge", "without restriction"]),
+    ("mit", _MIT, ["hereby granted free of charge", "the software is provided as is"]),
+    ("bsd-3-clause", _BSD_OPENING + _BSD_CONDITIONS + _BSD_NAME + _BSD_DISCLAIMER, ["source and binary forms", "neither the name"]),
+    ("bsd-2-clause", _BSD_OPENING + _BSD_CONDITIONS + _BSD_DISCLAIMER, ["source and binary forms", "with the distribution this software is provided"]),
+    ("isc", _ISC, ["with or without fee", "appear in all copies"]),
+    ("zlib", _ZLIB, ["must not be misrepresented", "this notice may not be removed"]),
+    ("unlicense", _UNLICENSE, ["released into the public domain"]),
+    ("mpl-2.0", _MPL, ["mozilla public license v 2 0"]),
 ]
 
 
@@ -68,12 +112,13 @@ class ScanRules:
 
 def _hashes(phrase: str) -> np.ndarray:
     t = T.texts(pa.array([phrase]))
-    w = T.words(t, T.ALNUM)
-    return T.SpanHash(t.data)(w.start, w.end)
+    data = T.LOWER[t.data]
+    w = T.words(t, T.ALNUM, data)
+    return T.SpanHash(data)(w.start, w.end)
 
 
 class Scanner:
-    """Templates, their word index and, after ``weigh``, the rare-word postings."""
+    """Templates as word positions and, after ``weigh``, their words in order of rarity."""
 
     def __init__(self, templates=TEMPLATES, base=BASE_PHRASES, rules: ScanRules | None = None):
         self.rules = rules or ScanRules()
@@ -81,20 +126,35 @@ class Scanner:
         self.words = [_hashes(text) for _, text, _ in templates]
         self.keys = [[_hashes(k) for k in keys] for _, _, keys in templates]
         self.base = [(_hashes(phrase), label) for phrase, label in base]
-        self.vocabulary = np.unique(np.concatenate([*self.words, *[h for h, _ in self.base]]))
+        self.vocabulary = np.unique(np.concatenate([*self.words, *[h for h, _ in self.base], *[k for own in self.keys for k in own]]))
+        self.ids = [np.searchsorted(self.vocabulary, h) for h in self.words]
+        #: How often each word stands in each template.
+        self.held = np.stack([np.bincount(i, minlength=len(self.vocabulary)) for i in self.ids], 1).astype(np.float32)
+        self.least = np.array([math.ceil(self.rules.min_share * len(i) - 1e-9) for i in self.ids])
         self.weigh(np.zeros(len(self.vocabulary), np.int64), 0)
 
     def weigh(self, df: np.ndarray, total: int) -> None:
-        """Set the rare words of each template from document frequencies."""
-        idf = np.array([math.log((total + 1) / (n + 1)) for n in df.tolist()])
-        postings = []
-        for t, h in enumerate(self.words):
-            word = np.searchsorted(self.vocabulary, h)
-            middle = np.median(idf[word])
-            postings += [(w, t, k) for k, w in enumerate(word.tolist()) if idf[w] >= middle]
-        self.postings = np.array(sorted(postings), np.int64)
-        ids = np.arange(len(self.vocabulary))
-        self.low, self.high = np.searchsorted(self.postings[:, 0], ids), np.searchsorted(self.postings[:, 0], ids, "right")
+        """Order the words of each template by inverse document frequency, from the number of documents with each word."""
+        idf = np.log((total + 1) / (df + 1))
+        self.rarest = [np.argsort(-idf[i], kind="stable") for i in self.ids]
+
+    def begins(self, rows: int, row: np.ndarray, word: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, template, first word) where the rarest words of the template that the row has agree, from all (row, word, place) of licence words."""
+        order = np.lexsort((place, word, row))
+        place, key = place[order], row[order] * len(self.vocabulary) + word[order]
+        present, first = np.unique(key, return_index=True)
+        ends = np.append(first[1:], len(key))
+        seen = np.zeros((rows, len(self.vocabulary)), np.float32)
+        seen[present // len(self.vocabulary), present % len(self.vocabulary)] = 1
+        has = seen @ self.held
+        for r, k in np.argwhere(has >= self.least).tolist():
+            rarest = self.rarest[k]
+            here = rarest[seen[r, self.ids[k][rarest]] > 0][: int(has[r, k]) - self.least[k] + self.rules.min_votes]
+            at = np.searchsorted(present, r * len(self.vocabulary) + self.ids[k][here])
+            begin = np.concatenate([place[first[i] : ends[i]] - offset for i, offset in zip(at.tolist(), here.tolist(), strict=True)])
+            begin, votes = np.unique(begin, return_counts=True)
+            for b in begin[votes >= min(self.rules.min_votes, len(here))].tolist():
+                yield r, k, b
 
     def read(self, t: T.Texts) -> tuple[T.Words, np.ndarray, np.ndarray, np.ndarray]:
         """Words, their hashes, and the positions and vocabulary ids of licence words."""
@@ -127,20 +187,8 @@ class Scanner:
                 x["first_word"] = p if x["first_word"] is None else min(p, x["first_word"])
                 x["last_word"] = p if x["last_word"] is None else max(p, x["last_word"])
                 x["base_labels"].add(label)
-        n = self.high[word] - self.low[word]
-        if not n.sum():
-            return out
-        position = np.repeat(hit, n)
-        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.low[word], n)
-        template, offset = self.postings[entry, 1], self.postings[entry, 2]
-        row, begin = rows[position], position - offset
-        order = np.lexsort((begin, template, row))
-        row, template, begin = row[order], template[order], begin[order]
-        new = np.concatenate(([True], (np.diff(row) != 0) | (np.diff(template) != 0) | (np.diff(begin) != 0)))
-        votes = np.diff(np.concatenate((np.flatnonzero(new), [len(row)])))
-        agreed = np.flatnonzero(new)[votes >= self.rules.min_votes]
         inside = {}
-        for r, k, b in zip(row[agreed].tolist(), template[agreed].tolist(), begin[agreed].tolist(), strict=True):
+        for r, k, b in self.begins(len(t), rows[hit], word, hit):
             low, high = int(w.bounds[r]), int(w.bounds[r + 1])
             own = self.words[k]
             a, e = max(b, low), min(b + len(own), high)

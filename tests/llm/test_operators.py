@@ -208,12 +208,12 @@ def test_cross_entropy(spark):
         b = b"\0\0\0" + t.encode()
         return [tuple(b[i - 3 : i + 1]) for i in range(3, len(b))]
 
-    def model(ids):
+    def model(ids, weight=1.0):
         c = [Counter() for _ in range(5)]
         for i in ids:
             for g in grams(rows[i] or ""):
                 for n in range(1, 5):
-                    c[n][g[4 - n :]] += 1
+                    c[n][g[4 - n :]] += weight
 
         def p(g):
             if not g:
@@ -225,7 +225,8 @@ def test_cross_entropy(spark):
 
     import math
 
-    t, b = model([0, 1]), model(range(6))
+    tokens = [len((r or "").encode()) for r in rows]
+    t, b = model([0, 1]), model(range(2, 6), (tokens[0] + tokens[1]) / sum(tokens[2:]))
     for i in range(4):
         own = grams(rows[i])
         assert got[i].n_tokens == len(own)
@@ -234,6 +235,17 @@ def test_cross_entropy(spark):
     assert got[4].score is None and got[5].n_tokens == 0
 
 
+def test_cross_entropy_of_odd_rows(spark):
+    rows = [(1, "abcd abcd"), (1, "abcd abcd"), (None, "abcd"), (2, None), (3, "xy " * 200_000)]
+    df = spark.createDataFrame([(*r, 0, 0.0, "c") for r in rows], "doc_id bigint, text string, n_tokens int, score double, gram string")
+    target = spark.createDataFrame([(1,), (None,)], "doc_id bigint")
+    got = sorted(((r.doc_id, r.n_tokens, r.score is None or r.score < 0) for r in lmscore.score_cross_entropy(df, target).collect()), key=str)
+    assert got == sorted([(1, 9, True), (1, 9, True), (None, 4, True), (2, 0, True), (3, 600_000, False)], key=str)
+    none = lmscore.score_cross_entropy(df, target.limit(0)).filter("doc_id = 1").first()
+    assert none.target_loss == pytest.approx(5.545, abs=1e-3) and none.background_loss < 5
+    assert lmscore.score_cross_entropy(df.limit(0), target).count() == 0
+
+
 def test_cross_entropy_in_blocks(spark, monkeypatch):
     df, target = docs(spark, texts()[8:14]), spark.createDataFrame([(0,), (1,)], "id bigint")
     whole = [(r.doc_id, round(r.score, 5)) for r in lmscore.score_cross_entropy(df, target).sort("doc_id").collect()]
@@ -313,3 +325,17 @@ def test_decontamination_of_odd_rows(spark):
     assert got == sorted([(1, 16, 14, 2, name("3")), (1, 16, 14, 2, name("3")), (None, 2, 2, 1, name("")), (2, 0, 0, 0, name("")), (3, 300_014, 14, 2, name("3"))], key=str)
     clean = decontam.filter_contaminated(df, bench)
     assert clean.columns == df.columns and [r.doc_id for r in clean.collect()] == [2]
+
+
+def test_language_of_odd_rows(spark):
+    rows = [(k, "ta ki mo " * 8 if k % 2 else "grou ezgr " * 7, "en" if k % 2 else "fr") for k in range(40)] + [(50, "ta ki", "en"), (50, "ta ki", "en"), (None, "grou ez", "fr"), (51, None, "en"), (52, "", None), (53, "1 2 3", "en"), (54, "ta mo " * 200_000, None), (55, "", "en")]
+    df = spark.createDataFrame([(*r, "c", 0.0) for r in rows], "doc_id bigint, text string, lang string, lang_pred string, score double")
+    model = langid.fit(df, rules=langid.LangRules(steps=60, batch=32, hidden=4))
+    got = langid.identify(df, model).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert [(by_id[k].lang_pred, by_id[k].score) for k in (51, 52, 53, 55)] == [("und", 0.0)] * 4
+    assert (by_id[None].lang_pred, by_id[None].held_out, by_id[54].lang_pred) == ("fr", False, "en")
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 50}) == 1
+    kept = langid.filter_languages(df, model)
+    assert kept.columns == df.columns and kept.count() == len(rows) - 4
