@@ -15,16 +15,20 @@ is written as U+2581 with one in front of the text, and a character without a
 piece becomes its bytes.
 
 Scale: one pass, no shuffle; the vocabulary (a fixed file) is broadcast. What a
-worker remembers of cuts is bounded and only saves work.
+worker remembers of cuts is bounded and only saves work. A cut of any length (an
+unbroken blob, a run of dashes) takes time in proportion to its length, and is
+indexed in segments.
 
 Defined results: a null text has null ids and counts of 0; an empty one no ids;
-U+2581 in a text decodes as a space, so such a text has ``round_trip`` false;
-repeated rows repeat; other columns are not read.
+U+2581 in a text decodes as a space, so such a text has ``round_trip`` false; a
+null id stays; repeated rows repeat; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,11 +73,14 @@ class Codec:
     """Encoder and decoder of one vocabulary, for arrays of texts."""
 
     REMEMBERED = 2_000_000
+    #: Bytes above which a cut is relaxed on its own, and bytes of such a cut that are indexed together.
+    LONG, SEGMENT = 512, 1 << 18
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.id_of = {p: i for i, p in enumerate(vocabulary.pieces) if p}
         self.rank = vocabulary.rank
+        self.ranks: list[int] = vocabulary.rank.tolist()
         n = len(vocabulary.pieces)
         self.size = np.array([len(p) if p else 0 for p in vocabulary.pieces], np.int64)
         self.left, self.right = np.full(n, -1), np.full(n, -1)
@@ -94,6 +101,8 @@ class Codec:
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
         self.birth = np.where(self.left >= 0, self.rank, -1)
+        self.births: list[int] = self.birth.tolist()
+        self.followed: dict[int, bool] = {}
         #: Pieces that stand for themselves when encoded alone; no other piece is ever used.
         self.usable = np.flatnonzero(whole)
         self.adjacent = adjacent.ravel()
@@ -124,17 +133,30 @@ class Codec:
 
     def _merge(self, symbols: list[int], target: int | None = None) -> bool | list[int]:
         """Apply merges in order of rank, leftmost first. With ``target``: is it the result, noting its last merge?"""
-        n = len(self.vocabulary.pieces)
-        symbols = list(symbols)
-        while len(symbols) > 1:
-            best = min(((int(self.rank[m]), k, m) for k, (a, b) in enumerate(zip(symbols[:-1], symbols[1:], strict=True)) if (m := self.pairs.get(a * n + b)) is not None), default=None)
-            if best is None:
-                break
-            _, k, m = best
-            if m == target and len(symbols) == 2:
-                self.left[m], self.right[m] = symbols
-            symbols[k : k + 2] = [m]
-        return symbols == [target] if target is not None else symbols
+        n, size, get = len(self.vocabulary.pieces), len(symbols), self.pairs.get
+        rank = self.ranks
+        own: list[int] = list(symbols)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        heap = [(rank[m], k, own[k], own[k + 1], m) for k in range(size - 1) if (m := get(own[k] * n + own[k + 1])) is not None]
+        heapq.heapify(heap)
+        left = size
+        while heap:
+            _, k, a, b, m = heapq.heappop(heap)
+            j = after[k]
+            if own[k] != a or j >= size or own[j] != b:
+                continue
+            if left == 2 and m == target:
+                self.left[m], self.right[m] = a, b
+            own[k], own[j], left = m, -1, left - 1
+            after[k] = e = after[j]
+            if e < size:
+                before[e] = k
+                if (x := get(m * n + own[e])) is not None:
+                    heapq.heappush(heap, (rank[x], k, m, own[e], x))
+            if (c := before[k]) >= 0 and (x := get(own[c] * n + m)) is not None:
+                heapq.heappush(heap, (rank[x], c, own[c], m, x))
+        left_over = [x for x in own if x >= 0]
+        return left_over == [target] if target is not None else left_over
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The id of the merged pair, or -1."""
@@ -163,6 +185,52 @@ class Codec:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return out
 
+    def _follows_one(self, a: int, b: int) -> bool:
+        """``follows`` for one pair, remembered."""
+        key = a << 20 | b
+        if (known := self.followed.get(key)) is not None:
+            return known
+        n, limit, birth = len(self.vocabulary.pieces), 1 << 62, self.births
+        while True:
+            m = self.pairs.get(a * n + b)
+            if m is not None and self.ranks[m] < limit:
+                fine = False
+                break
+            if birth[a] < 0 and birth[b] < 0:
+                fine = True
+                break
+            if birth[a] > birth[b]:
+                limit, a = birth[a], int(self.right[a])
+            else:
+                limit, b = birth[b] + 1, int(self.left[b])
+        if len(self.followed) > self.REMEMBERED:
+            self.followed.clear()
+        self.followed[key] = fine
+        return fine
+
+    def _encode_long(self, x: np.ndarray) -> list[int]:
+        """Ids of one long cut by the same lattice, in segments: edges are found, sorted and relaxed for ``SEGMENT`` bytes at a time."""
+        n, longest = len(x), 8 * self.words
+        reached = array("i", [-1]) * (n + 1)
+        at, piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for a in range(0, n, self.SEGMENT):
+            b = min(a + self.SEGMENT, n)
+            new, own = self.edges(x[a : min(b + longest, n)])
+            own, new = own[new < b - a], new[new < b - a] + a
+            at, piece = np.concatenate((at, new)), np.concatenate((piece, own))
+            end = at + self.size[piece]
+            now = end <= b
+            order = np.lexsort((-self.size[piece[now]], end[now]))
+            for s, p, e in zip(at[now][order].tolist(), piece[now][order].tolist(), end[now][order].tolist(), strict=True):
+                if reached[e] < 0 and (s == 0 or (reached[s] >= 0 and self._follows_one(reached[s], p))):
+                    reached[e] = p
+            at, piece = at[~now], piece[~now]
+        ids, cur = [], n
+        while cur > 0:
+            ids.append(reached[cur])
+            cur -= int(self.size[reached[cur]])
+        return ids[::-1]
+
     def suffixes(self, x: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
         """Suffix array of ``x``, ordered by as many bytes as the longest piece has at least."""
         order = np.argsort(words[0], kind="stable")
@@ -301,7 +369,7 @@ class Codec:
         start = np.flatnonzero(cut)
         size = np.diff(np.concatenate((start, [len(x)])))
         keys, first, place = np.unique(T.SpanHash(x)(start, start + size), return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.REMEMBERED:
+        if len(self.keys) + len(keys) > self.REMEMBERED or len(self.ids) > 8 * self.REMEMBERED:
             self._forget()
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
@@ -317,15 +385,16 @@ class Codec:
         """Encode cuts and remember their ids."""
         plain = np.ones(len(keys), bool)
         plain[unknown[start]] = False
-        # runs of spaces merge by ranks that tie; such cuts are merged one by one
+        # in runs of spaces one piece comes of different pairs; such cuts are merged in order of rank
         runs = np.concatenate(([0], np.cumsum((x[1:] == SPACE) & (x[:-1] == SPACE)), [0]))
         tied = (runs[start + size - 1] > runs[start]) & plain
         plain &= ~tied
-        lists: list[tuple[int, list[int]]] = []
+        long = plain & (size > self.LONG)
+        lists: list[tuple[int, list[int]]] = [(i, self._encode_long(x[start[i] : start[i] + size[i]])) for i in np.flatnonzero(long).tolist()]
         for i in np.flatnonzero(~plain).tolist():
             own = x[start[i] : start[i] + size[i]].tobytes()
             lists.append((i, self._merge([self.id_of[c] for c in _chars(own)]) if tied[i] else [self.vocabulary.first_byte + b for b in own]))
-        index = np.flatnonzero(plain)
+        index = np.flatnonzero(plain & ~long)
         ids, bounds = self._encode_cuts(x, start[index], size[index]) if len(index) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
         more = np.array([k for _, own in lists for k in own], np.int32)
         ends = np.cumsum([len(own) for _, own in lists]).astype(np.int64)
