@@ -11,27 +11,39 @@ from prosemill.llm.shared import dealt_out, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts go; repeated rows stay or go together; a null id and other columns pass through.
+    """
     return quality.filter_quality(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; the network learns from the labels of this stage's own input."""
+    """Documents with a recognised language; the network learns from the labels of this stage's own input.
+
+    Texts without a letter go, and all go where no row is labelled; rows without a label or an id are judged, never learned from.
+    """
     return langid.filter_languages(docs, langid.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class.
+
+    Texts without words are no copies of each other; rows without an id stay; of rows equal in id and text one stays.
+    """
     return neardup.filter_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts stay, items without a text have no passage, items without an id count; an empty benchmark removes nothing.
+    """
     return decontam.filter_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, counts, digests and the decoding check of the remaining documents."""
+    """Token ids, counts, digests and the decoding check of the remaining documents; a null text has null ids."""
     return spm.encode(docs, spm.codec(docs))
 
 
