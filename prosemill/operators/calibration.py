@@ -6,6 +6,7 @@ each document, and sweeps are running counts over its distinct values.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -52,7 +53,7 @@ def grid_sweep(metrics: DataFrame, grid: list[float], fires: str = "ge", max_fp:
     return curve.withColumn("recommended", (best == 1) & (F.col("fp_rate") < max_fp)).select("threshold", "fp_rate", "hit_rate", "recommended")
 
 
-def exhaustive_sweep(metrics: DataFrame, key: str = "metric", max_fp: float = 0.05, bands: bool = False) -> DataFrame:
+def exhaustive_sweep(metrics: DataFrame, key: str = "metric", max_fp: float = 0.05, bands: bool = False, kinds: tuple[str, ...] = ("ge", "le")) -> DataFrame:
     """The best threshold per metric over all observed values, in both directions and, with ``bands``, outside the median ± a distance.
 
     Input: key, value, is_base. Counts per distinct value come first; running
@@ -66,7 +67,9 @@ def exhaustive_sweep(metrics: DataFrame, key: str = "metric", max_fp: float = 0.
         w = Window.partitionBy(key).orderBy(F.col("value").desc() if kind != "le" else F.col("value").asc()).rowsBetween(Window.unboundedPreceding, 0)
         return counts.select(key, F.col("value").alias("threshold"), F.lit(kind).alias("direction"), F.lit(order).alias("ord"), F.sum("b").over(w).alias("fp"), F.sum("a").over(w).alias("hit"))
 
-    found = candidates(known, "ge", 0).unionByName(candidates(known, "le", 1))
+    found = candidates(known, kinds[0], 0)
+    for k, kind in enumerate(kinds[1:], 1):
+        found = found.unionByName(candidates(known, kind, k))
     if bands:
         found = found.unionByName(candidates(known.join(n.select(key, "mid"), key).withColumn("value", F.abs(F.col("value") - F.col("mid"))), "band", 2))
     rated = found.join(n, key).select(key, "threshold", "direction", "ord", F.coalesce(F.try_divide("fp", "nb"), F.lit(0.0)).alias("fp_rate"), F.coalesce(F.try_divide("hit", "na"), F.lit(0.0)).alias("hit_rate"))
@@ -121,13 +124,41 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(poly * F.exp(-x * x), F.lit(1.0))
 
 
+#: Ranges that a column of distinct values is cut into, so that no window holds all of them.
+RANGES = 200
+
+
+def _ranged(counts: DataFrame, value: str) -> DataFrame:
+    """Adds ``__range``: values of a lower range are smaller. Cuts are approximate quantiles, so ranges are of like size."""
+    cuts = counts.agg(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], 2000)).first()[0] or []
+    inside = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    return counts.withColumn("__range", F.size(F.filter(inside, lambda c: c < F.col(value))))
+
+
+def _running(ranged: DataFrame, value: str, what: Column, total, to: str, by: list[str], downward: bool = False) -> DataFrame:
+    """Adds the running ``total`` (sum or min) of ``what`` up to each value, or down to it: within its range, and of the ranges before."""
+    order = (lambda c: F.col(c).desc()) if downward else F.col
+    own = total(what).over(Window.partitionBy(*by, "__range").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, 0))
+    whole = ranged.groupBy(*by, "__range").agg(total(what).alias("__t"))
+    before = total("__t").over(Window.partitionBy(*by).orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    joined = ranged.withColumn("__own", own).join(F.broadcast(whole.select(*by, "__range", before.alias("__before"))), [*by, "__range"])
+    both = F.coalesce("__before", F.lit(0)) + F.col("__own") if total is F.sum else F.least("__before", "__own")
+    return joined.withColumn(to, both).drop("__own", "__before")
+
+
 def benjamini_hochberg(tests: DataFrame, family: str | None = None, p: str = "p") -> DataFrame:
-    """Adds ``q``: the running minimum of p * n / rank from the largest p, at most 1. The table has a row per test."""
-    part = [family] if family else []
-    up = Window.partitionBy(*part).orderBy(F.col(p))
-    down = Window.partitionBy(*part).orderBy(F.col(p).desc(), F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tests.withColumn("__rank", F.row_number().over(up)).withColumn("__n", F.count("*").over(Window.partitionBy(*part)))
-    return ranked.withColumn("q", F.least(F.min(F.col(p) * F.col("__n") / F.col("__rank")).over(down), F.lit(1.0))).drop("__rank", "__n")
+    """Adds ``q``: the running minimum of p * n / rank from the largest p, at most 1; null for a null p.
+
+    Tests are counted per distinct p, in ranges of it: equal p values have the rank of the last of them.
+    """
+    by = [family] if family else []
+    counts = tests.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__c"))
+    ranked = _running(_ranged(counts, p), p, F.col("__c"), F.sum, "__rank", by)
+    size = counts.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    numbered = ranked.join(size, by) if by else ranked.withColumn("__n", F.lit(size.first()[0] or 0))
+    scaled = numbered.withColumn("__scaled", F.col(p) * F.col("__n") / F.col("__rank"))
+    adjusted = _running(scaled, p, F.col("__scaled"), F.min, "__q", by, downward=True).select(*by, p, F.least("__q", F.lit(1.0)).alias("q"))
+    return tests.join(adjusted, [*by, p], "left").select(*tests.columns, "q")
 
 
 def spearman(values: DataFrame, x: str, y: str) -> DataFrame:
@@ -135,10 +166,9 @@ def spearman(values: DataFrame, x: str, y: str) -> DataFrame:
 
     def ranks(df: DataFrame, c: str, to: str) -> DataFrame:
         n = df.groupBy(c).agg(F.count("*").alias("__t"))
-        before = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)  # a row per distinct value
-        return n.select(c, (F.coalesce(F.sum("__t").over(before), F.lit(0)) + (F.col("__t") + 1) / 2).alias(to))
+        return _running(_ranged(n, c), c, F.col("__t"), F.sum, "__upto", []).select(c, (F.col("__upto") - (F.col("__t") - 1) / 2).alias(to))
 
-    known = values.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    known = values.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     both = known.join(ranks(known, x, "rx"), x).join(ranks(known, y, "ry"), y)
     return both.agg(F.when((F.stddev_pop("rx") > 0) & (F.stddev_pop("ry") > 0), F.corr("rx", "ry")).alias("rho"))
 
@@ -159,41 +189,93 @@ def with_subgroups(docs: DataFrame, group: str = "grp", subgroup: str = "subgrou
     return docs.withColumn(group, F.explode(F.array_compact(F.array(F.col(group), F.col(subgroup)))))
 
 
-def verdict(fp_rate: Column, hit_rate: Column, strong: float = 0.10) -> Column:
-    """GO for a low false-positive and a strong detection rate, WEAK for a low one only, else NO-GO."""
-    return F.when((fp_rate < 0.05) & (hit_rate >= strong), "GO").when(fp_rate < 0.05, "WEAK").otherwise("NO-GO")
+def verdict(fp_rate: Column, hit_rate: Column, strong: float = 0.15) -> Column:
+    """For a swept threshold: GO for a false-positive rate under .05 with a detection rate, or a gap between both, of ``strong``; else NO-GO."""
+    return F.when((fp_rate < 0.05) & ((hit_rate - fp_rate >= strong) | (hit_rate >= strong)), "GO").otherwise("NO-GO")
+
+
+#: Largest false-positive share that is still CONDITIONAL, by kind of count.
+CONDITIONAL_BELOW = {"double_negation": 0.15, "redundant": 0.15, "notation": 0.3, "punctuation": 0.15}
+
+
+def count_verdict(fp_share: Column, kind: str) -> Column:
+    """For measures that only count: GO for a share of trusted documents with any under .05, CONDITIONAL below the limit of its kind, else NO-GO."""
+    return F.when(fp_share < 0.05, "GO").when(fp_share < CONDITIONAL_BELOW[kind], "CONDITIONAL").otherwise("NO-GO")
+
+
+def directed_sweep(metrics: DataFrame, direction: str = "auto", key: str = "metric", max_fp: float = 0.05) -> DataFrame:
+    """The best threshold per metric in one direction (high or low); with ``auto`` in the better one, of equal ones high."""
+    known = metrics.filter("value is not null")
+    found = {d: exhaustive_sweep(known if d == "high" else known.withColumn("value", -F.col("value")), key, max_fp, kinds=("ge",)).withColumn("direction", F.lit(d)) for d in (("high", "low") if direction == "auto" else (direction,))}
+    if "low" in found:
+        found["low"] = found["low"].withColumn("threshold", -F.col("threshold"))
+    both = found.popitem()[1]
+    for other in found.values():
+        both = both.unionByName(other)
+    return both.groupBy(key).agg(F.min_by(F.struct("threshold", "direction", "fp_rate", "hit_rate"), F.struct((-F.col("hit_rate")).alias("r"), (F.col("direction") == "low").alias("d"))).alias("x")).select(key, "x.*")
+
+
+def classifier_summary(scored: DataFrame, by: str | None = None, score: str = "score", label: str = "label") -> DataFrame:
+    """Per group: AUC, and accuracy, recall and false-positive rate at .5."""
+    keyed = scored.withColumn("__group", F.col(by).cast("string") if by else F.lit("all"))
+    auc = rank_statistics(keyed.select(F.col("__group").alias("metric"), F.col(score).alias("value"), (F.col(label) == 1).alias("is_ai"))).select(F.col("metric").alias("__group"), "auc")
+    said, true = F.col(score) >= 0.5, F.col(label) == 1
+    out = keyed.groupBy("__group").agg(F.count("*").alias("n"), F.avg((said == true).cast("double")).alias("accuracy"), F.avg(F.when(true, said.cast("double"))).alias("recall"), F.avg(F.when(~true, said.cast("double"))).alias("fp_rate"))
+    return out.join(auc, "__group", "left").select(F.col("__group").alias(by or "grp"), "n", "auc", "accuracy", "recall", "fp_rate")
+
+
+def line_assignment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indexes of ``b`` for a cheapest one-to-one assignment of all of sorted ``a`` into sorted ``b`` (no shorter), by distance on the line.
+
+    One sweep from left to right with two heaps: what a place would save by taking
+    over the last point, and what a point pays to take a place or to send another
+    back. Work is of the order of n log n and memory is linear.
+    """
+    far = float(abs(a).sum() + abs(b).sum() + 1) * 4 if len(a) else 0.0
+    used = np.zeros(len(b), bool)
+    points: list[tuple[float, int]] = []  # (cost of taking over a point, less the place's; place that becomes free or -1)
+    places: list[tuple[float, int]] = []  # (cost of taking a place, less the point's; place that becomes used)
+    order = np.argsort(np.concatenate((a, b)), kind="stable")
+    for k in order.tolist():
+        if k < len(a):
+            x = float(a[k])
+            cost, taken = heapq.heappop(places) if places else (far, -1)
+            if taken >= 0:
+                used[taken] = True
+            heapq.heappush(points, (-2 * x - cost, taken))
+        else:
+            j = k - len(a)
+            y = float(b[j])
+            if points and points[0][0] + y < 0:
+                cost, freed = heapq.heappop(points)
+                used[j] = True
+                if freed >= 0:
+                    used[freed] = False
+                    heapq.heappush(places, (-2 * y - cost, freed))
+            else:
+                heapq.heappush(places, (-y, j))
+    return np.flatnonzero(used)
 
 
 def matched_pairs(docs: DataFrame, value: str = "value", by: str = "genre") -> DataFrame:
     """Optimal one-to-one pairs of machine and human texts by length within each genre, with both values.
 
-    Lengths are on a line, so the cheapest assignment keeps order; it is found by
-    a table over both sorted sides. A genre is one group of study documents.
+    Lengths are on a line, so the cheapest assignment keeps order: it is the choice
+    of as many of the longer side as the shorter has, found in one sweep. A genre
+    is one group of ids and lengths, of memory linear in its documents.
     """
     kind = docs.schema[by].dataType.simpleString()
 
     def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         ai, human = (rows[rows.is_ai == side].assign(x=lambda d: np.log1p(d.n_chars)).sort_values(["x", "doc_id"]) for side in (True, False))
-        short, long_, flip = (ai, human, False) if len(ai) <= len(human) else (human, ai, True)
-        a, b = short.x.to_numpy(), long_.x.to_numpy()
-        out = []
-        if len(a):
-            cost = np.full((len(a) + 1, len(b) + 1), np.inf)
-            cost[0] = 0
-            for i in range(1, len(a) + 1):
-                step = cost[i - 1, :-1] + np.abs(a[i - 1] - b)
-                cost[i, 1:] = np.minimum.accumulate(step)
-            i, j = len(a), len(b)
-            while i:
-                while j > i and cost[i, j - 1] <= cost[i, j]:
-                    j -= 1
-                pairs = (short.iloc[i - 1], long_.iloc[j - 1])
-                x, y = pairs[::-1] if flip else pairs
-                out.append((key[0], int(x.doc_id), int(y.doc_id), float(x[value]), float(y[value])))
-                i, j = i - 1, j - 1
-        return pd.DataFrame(out, columns=[by, "ai_doc", "human_doc", "ai_value", "human_value"])
-
-    return docs.filter(F.col(value).isNotNull()).groupBy(by).applyInPandas(pair, f"{by} {kind}, ai_doc bigint, human_doc bigint, ai_value double, human_value double")
+        if len(ai) <= len(human):
+            human = human.iloc[line_assignment(ai.x.to_numpy(), human.x.to_numpy())]
+        else:
+            ai = ai.iloc[line_assignment(human.x.to_numpy(), ai.x.to_numpy())]
+        return pd.DataFrame({by: [key[0]] * len(ai), "ai_doc": ai.doc_id.to_numpy(), "human_doc": human.doc_id.to_numpy(), "ai_value": ai[value].to_numpy(float), "human_value": human[value].to_numpy(float)})
+
+    rows = docs.filter(F.col(value).isNotNull()).select(by, "doc_id", "n_chars", "is_ai", value)
+    return rows.groupBy(by).applyInPandas(pair, f"{by} {kind}, ai_doc bigint, human_doc bigint, ai_value double, human_value double")
 
 
 def wilcoxon(pairs: DataFrame, key: str) -> DataFrame:

@@ -29,20 +29,50 @@ def adjacent_metrics(vectors: DataFrame, doc: str = "doc", ix: str = "ix", vec:
 
 
 def pair_metrics(vectors: DataFrame, doc: str = "doc", ix: str = "ix", vec: str = "vec", block: int = 2048) -> DataFrame:
-    """Per document: maximum and 95th percentile of the similarity of sentences that are no neighbours."""
+    """Per document: maximum and 95th percentile of the similarity of sentences that are no neighbours.
+
+    Memory is a block of the similarity matrix: similarities are counted in bins,
+    and only those of the bins that hold the percentile are gathered, in a second pass.
+    """
     kind = vectors.schema[doc].dataType.simpleString()
 
     def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m = np.array([np.array(v, np.float64) for v in rows.sort_values("ix").vec])
-        found = [(m[a : a + block] @ m.T)[np.arange(len(m))[None, :] >= np.arange(a, min(a + block, len(m)))[:, None] + 2] for a in range(0, len(m), block)]
-        values = np.concatenate(found) if found else np.zeros(0)
-        top = (float(values.max()), float(np.percentile(values, 95))) if len(values) else (None, None)
+        top = percentile_of_pairs(m, 95, block)
         return pd.DataFrame([(key[0], *top)], columns=[doc, "repetition_max", "repetition_p95"])
 
     rows = vectors.select(doc, F.col(ix).alias("ix"), F.col(vec).alias("vec"))
     return rows.groupBy(doc).applyInPandas(measure, f"{doc} {kind}, repetition_max double, repetition_p95 double")
 
 
+def percentile_of_pairs(m: np.ndarray, percent: float, block: int, bins: int = 1 << 16) -> tuple[float | None, float | None]:
+    """Maximum and interpolated percentile of the dot products of rows at least two apart."""
+    n = len(m)
+    if n < 3:
+        return None, None
+    pairs = (n - 1) * (n - 2) // 2
+
+    def blocks():
+        for a in range(0, n, block):
+            yield (m[a : a + block] @ m.T)[np.arange(n)[None, :] >= np.arange(a, min(a + block, n))[:, None] + 2]
+
+    bound = float(np.sqrt((m * m).sum(1).max())) ** 2 or 1.0
+    place = lambda v: np.clip(((v / bound + 1) * (bins / 2)).astype(np.int64), 0, bins - 1)
+    counts, top = np.zeros(bins, np.int64), -np.inf
+    for v in blocks():
+        if len(v):
+            counts += np.bincount(place(v), minlength=bins)
+            top = max(top, float(v.max()))
+    upto = np.cumsum(counts)
+    at = percent / 100 * (pairs - 1)
+    low = int(at)
+    first, last = (int(np.searchsorted(upto, k, "right")) for k in (low, min(low + 1, pairs - 1)))
+    held = np.sort(np.concatenate([v[(p >= first) & (p <= last)] for v in blocks() for p in (place(v),)]))
+    before = int(upto[first - 1]) if first else 0
+    a, b = held[low - before], held[min(low + 1, pairs - 1) - before]
+    return top, float(a + (b - a) * (at - low))
+
+
 def semantic_findings(metrics: DataFrame, profile: Profile = DEFAULT, doc: str = "doc") -> DataFrame:
     """Flat neighbours (warn), low maximum similarity and high minimum similarity (info), for enough sentences."""
     f = lambda cond, name, severity: F.when(cond, F.struct(F.lit(name).alias("category"), F.lit(severity).alias("severity")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,3 +159,41 @@ def classifier_scores(vectors: DataFrame, folds: list, features: str = "features
         scored = model.transform(test).select(*vectors.columns, F.element_at(vector_to_array("probability"), 2).alias("score"))
         out = scored if out is None else out.unionByName(scored)
     return out
+
+
+def grouped_ridge(answers: DataFrame, outcome: str, metrics: list[str], participant: str = "participant_id", item: str = "item_id", most: int = 10) -> DataFrame:
+    """Per metric: mean over participant folds of the root mean square error of a ridge regression (penalty 1) on who, what and the standardised metric.
+
+    Folds are whole participants, dealt by size; of a participant or item that
+    training has not seen nothing is known. One group per metric and fold: the
+    answers of a study, and normal equations of its participants and items.
+    """
+    sizes = answers.groupBy(participant).agg(F.count("*").alias("n"))
+    folds = min(most, sizes.count())
+    dealt = sizes.select(participant, ((F.row_number().over(Window.orderBy(F.desc("n"), participant)) - 1) % folds).alias("fold"))  # a row per participant
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics]))
+    data = answers.join(dealt, participant).select(F.col(participant).cast("string").alias("who"), F.col(item).cast("string").alias("what"), F.col(outcome).cast("double").alias("y"), "fold", each.alias("m")).select("who", "what", "y", "fold", "m.*")
+    rows = data.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+    def fit(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        train, test = own[own.fold != key[1]], own[own.fold == key[1]]
+        columns = [{v: k for k, v in enumerate(sorted(train[c].unique()))} for c in ("who", "what")]
+        mean, sd = train.x.mean(), train.x.std(ddof=0) or 1.0
+
+        def table(part: pd.DataFrame) -> np.ndarray:
+            out = np.zeros((len(part), len(columns[0]) + len(columns[1]) + 1))
+            for c, known, start in (("who", columns[0], 0), ("what", columns[1], len(columns[0]))):
+                at = part[c].map(known)
+                seen = at.notna().to_numpy()
+                out[np.flatnonzero(seen), start + at[seen].astype(int).to_numpy()] = 1
+            out[:, -1] = (part.x - mean) / sd
+            return out
+
+        x, y = table(train), train.y.to_numpy()
+        middle = x.mean(0)
+        weights = np.linalg.solve((x - middle).T @ (x - middle) + np.eye(x.shape[1]), (x - middle).T @ (y - y.mean()))
+        error = test.y.to_numpy() - ((table(test) - middle) @ weights + y.mean())
+        return pd.DataFrame({"metric": [key[0]], "error": [float(np.sqrt((error**2).mean()))]})
+
+    errors = rows.groupBy("metric", "held").applyInPandas(fit, "metric string, error double")
+    return errors.groupBy("metric").agg(F.avg("error").alias("rmse")).select(F.lit(outcome).alias("outcome"), "metric", F.lit(folds).alias("grouped_cv_folds"), "rmse")

@@ -66,6 +66,16 @@ def clean_text(prepared: DataFrame, longest: int = 2000) -> DataFrame:
     return prepared.select("doc_id", F.substring(F.array_join(kept, "\n"), 1, longest).alias("text"))
 
 
+def findings_json(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per document of ``docs`` (doc_id): its findings as one JSON object, in their order, with counts by category."""
+    fields = ("line", "category", "excerpt", "severity", "detail", "related_lines")
+    own = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", *fields))).alias("f"))
+    listed = F.coalesce(F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in fields])), F.expr("array()").cast(f"array<{FINDING}>"))
+    rows = docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", listed.alias("findings"))
+    counts = F.expr("map_from_entries(transform(array_sort(array_distinct(transform(findings, x -> x.category))), c -> struct(c, size(filter(findings, x -> x.category = c)))))")
+    return rows.select("doc_id", F.to_json(F.struct(F.size("findings").alias("count"), counts.alias("by_category"), "findings"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def count_by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
@@ -114,4 +124,4 @@ def baseline_diff(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     return now.join(old, on, "full_outer").select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("a.category", "b.category").alias("category"), F.coalesce("a.excerpt", "b.excerpt").alias("excerpt"), status.alias("status"))
 
 
-__all__ = ["baseline_diff", "clean_text", "count_by_category", "find_line", "identity_key", "naturalness", "prepare", "run_full_lint", "run_lint", "ustrip", "valid_baseline"]
+__all__ = ["baseline_diff", "clean_text", "count_by_category", "find_line", "findings_json", "identity_key", "naturalness", "prepare", "run_full_lint", "run_lint", "ustrip", "valid_baseline"]

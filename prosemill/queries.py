@@ -14,7 +14,7 @@ from .operators import metrics as M
 from .operators import morphemes, outline, semantic, study
 from .operators.detectors import MORPHEMES
 from .plans import lint
-from .rules.packs import DEFAULT, JA, LATIN
+from .rules.packs import DEFAULT, JA, LATIN, PROFILES
 from .sources.documents import dealt_out
 from .streaming.submissions import latest_by_key
 
@@ -73,14 +73,14 @@ def strings_sql(items) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
-def findings_sql(pack, text: str = "text", delimiters: str = "[.!?]") -> str:
+def findings_sql(pack, text: str = "text", delimiters: str = "[.!?]", critical: float = DEFAULT.antithesis_critical_from) -> str:
     """The findings of the counted rules: phrases, calques, contrasts, variance, abstract subjects."""
     anti = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in pack.antithesis)
     return f"""{sentences_sql(text, delimiters)}, phrases AS (SELECT unnest({strings_sql(pack.phrases)}) AS phrase),
 ph AS (SELECT doc_id, CASE WHEN phrase IN ({strings_sql(pack.weak)[1:-1]}) THEN 'info' ELSE 'warn' END AS severity, 'forbidden_phrase' AS category FROM lines, phrases WHERE contains(t, phrase)),
 ca AS (SELECT doc_id, 'info' AS severity, 'translationese' AS category FROM (SELECT doc_id, unnest(regexp_extract_all(t, p)) AS h FROM lines, (SELECT unnest({strings_sql(pack.calques)}) AS p))),
 hh AS (SELECT doc_id, sum({anti}) AS hits FROM lines GROUP BY 1), nn AS (SELECT doc_id, count(*) AS n FROM sentences GROUP BY 1),
-an AS (SELECT doc_id, severity, 'antithesis_repetition' AS category FROM (SELECT hh.doc_id, CASE WHEN coalesce(hits / n, 0) < 0.02 THEN 'info' WHEN coalesce(hits / n, 0) >= 0.03 THEN 'critical' ELSE 'warn' END AS severity, unnest(range(hits::BIGINT)) AS k FROM hh LEFT JOIN nn ON hh.doc_id = nn.doc_id WHERE hits >= 3)),
+an AS (SELECT doc_id, severity, 'antithesis_repetition' AS category FROM (SELECT hh.doc_id, CASE WHEN coalesce(hits / n, 0) < 0.02 THEN 'info' WHEN coalesce(hits / n, 0) >= {critical} THEN 'critical' ELSE 'warn' END AS severity, unnest(range(hits::BIGINT)) AS k FROM hh LEFT JOIN nn ON hh.doc_id = nn.doc_id WHERE hits >= 3)),
 va AS (SELECT doc_id, 'warn' AS severity, 'low_sentence_variance' AS category FROM sentences GROUP BY 1 HAVING count(*) >= 5 AND stddev_pop(length(s)) / avg(length(s)) < 0.25),
 ia AS (SELECT doc_id, 'info' AS severity, 'english_syntax_inanimate_subject' AS category FROM (SELECT doc_id, unnest(regexp_extract_all(t, p)) AS h FROM lines, (SELECT unnest({strings_sql(pack.inanimate)}) AS p))),
 findings AS (SELECT * FROM ph UNION ALL SELECT * FROM ca UNION ALL SELECT * FROM an UNION ALL SELECT * FROM va UNION ALL SELECT * FROM ia)"""
@@ -305,6 +305,52 @@ def outline_entries(spark, d):
     return outline.outline(marked(spark, d), LATIN)
 
 
+SUMMARY_LINES = "CASE WHEN line % 5 = 1 THEN '## まとめ ' || t ELSE t END"
+
+
+@query("boilerplate_headings", f"WITH {MARKED} SELECT doc_id, line, substr({STRIP.format("'## まとめ ' || t")}, 1, 40) AS excerpt FROM lines WHERE line % 5 = 1")
+def boilerplate_headings(spark, d):
+    """Stock headings: every fifth line of every document is one."""
+    docs = texts(spark, d, "documents", "doc_id", "text").filter("text is not null")
+    made = docs.select("doc_id", F.expr(f"array_join(transform(split(regexp_replace(text, '[`|]', ''), '\\n'), (t, i) -> {SUMMARY_LINES.replace('line %', '(i + 1) %')}), '\\n')").alias("text"))
+    return lint.run_lint(lint.prepare(made, JA), JA, experimental=True, categories=["boilerplate_heading"]).select("doc_id", "line", "excerpt")
+
+
+ROCKETS = replaced(((" the ", " 🚀 "), (" de ", " ✨ ")))
+
+
+@query("emoji_density", f"WITH c AS (SELECT doc_id, length({ROCKETS}) AS size, len(regexp_extract_all({ROCKETS}, '[🚀✨]')) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, n::BIGINT AS n FROM c WHERE n >= {DEFAULT.emoji_min} AND n * 1000.0 / greatest(size, 1) >= {DEFAULT.emoji_per_1000}")
+def emoji_density(spark, d):
+    found = lint.run_lint(prepared(spark, d, ROCKETS), LATIN, experimental=True, categories=["high_emoji_symbol_density"])
+    return found.select("doc_id", F.regexp_extract("excerpt", "^[0-9]+", 0).cast("bigint").alias("n"))
+
+
+@query("genre_counts", f"WITH {findings_sql(LATIN, critical=PROFILES['tech'].antithesis_critical_from)} SELECT category, severity, count(*) AS n FROM findings GROUP BY 1, 2")
+def genre_counts(spark, d):
+    """Findings with the profile of technical texts."""
+    return lint.run_lint(prepared(spark, d), LATIN, genre="tech").groupBy("category", "severity").agg(F.count("*").alias("n"))
+
+
+@query("decoded_pages", "SELECT page_id, html AS text, CASE WHEN page_id % 3 = 2 THEN 'utf-16' ELSE 'utf-8' END AS charset FROM pages")
+def decoded_pages(spark, d):
+    """Pages as bytes: with a charset in the header, with one in the page only, and in UTF-16."""
+    pages = texts(spark, d, "pages", "page_id", "html")
+    content = F.when(F.col("page_id") % 3 == 2, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-8"))
+    header = F.when(F.col("page_id") % 3 == 2, "text/html; charset=UTF-16").when(F.col("page_id") % 3 == 1, "text/html; charset=utf-8")
+    text, charset = H.decode_html(content, header)
+    return pages.select("page_id", text.alias("text"), charset.alias("charset"))
+
+
+@query(
+    "modifier_order",
+    "WITH m AS (SELECT l_orderkey, l_suppkey % 2 AS s, count(*) OVER w AS k, CAST(l_quantity AS BIGINT) AS c, lead(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber, l_quantity) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_suppkey % 2)) SELECT l_orderkey AS doc_id, count(DISTINCT s) AS n_groups, count(*) FILTER (WHERE c < n) AS n_violations, round(count(*) FILTER (WHERE c < n) / count(DISTINCT s), 9) AS violation_rate FROM m WHERE k >= 2 GROUP BY 1",
+)
+def modifier_order(spark, d):
+    """Line items as the modifiers of two heads of an order, with quantities as lengths."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("sent"), (100 + F.col("l_suppkey") % 2).alias("head"), F.col("l_linenumber").alias("ix"), F.col("l_quantity").cast("bigint").alias("chars"))
+    return M.modifier_order(rows).select("doc_id", "n_groups", "n_violations", F.round("violation_rate", 9).alias("violation_rate"))
+
+
 @query("mask_comments", r"SELECT page_id, length(html)::BIGINT AS n, length(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<!--.*$', ''))::BIGINT AS left_over FROM pages")
 def mask_comments_query(spark, d):
     masked = mask_comments(F.col("html"))
@@ -416,6 +462,29 @@ def exhaustive_sweep(spark, d):
     return out.select("metric", "threshold", "direction", F.round("fp_rate", 9).alias("fp_rate"), F.round("hit_rate", 9).alias("hit_rate"))
 
 
+@query(
+    "band_sweep",
+    f"""WITH {LABELLED}, mid AS (SELECT median(value) AS mid FROM m), v AS (SELECT value, count(*) FILTER (WHERE is_base) AS b, count(*) FILTER (WHERE NOT is_base) AS a FROM m GROUP BY 1), z AS (SELECT abs(value - mid) AS value, sum(b) AS b, sum(a) AS a FROM v, mid GROUP BY 1), n AS (SELECT sum(b) AS nb, sum(a) AS na FROM v),
+c AS (SELECT value AS threshold, 'ge' AS direction, 0 AS ord, sum(b) OVER w AS fp, sum(a) OVER w AS hit FROM v WINDOW w AS (ORDER BY value DESC ROWS UNBOUNDED PRECEDING) UNION ALL SELECT value, 'le', 1, sum(b) OVER w, sum(a) OVER w FROM v WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING) UNION ALL SELECT value, 'band', 2, sum(b) OVER w, sum(a) OVER w FROM z WINDOW w AS (ORDER BY value DESC ROWS UNBOUNDED PRECEDING))
+SELECT 'n_chars' AS metric, threshold, direction, round(fp / nb, 9) AS fp_rate, round(hit / na, 9) AS hit_rate, CASE WHEN fp / nb < 0.05 AND hit / na >= 0.15 THEN 'GO' ELSE 'NO-GO' END AS verdict FROM c, n WHERE fp / nb < 0.05 ORDER BY hit DESC, ord = 2, threshold, ord LIMIT 1""",
+)
+def band_sweep(spark, d):
+    out = C.exhaustive_sweep(labelled(spark, d).withColumn("metric", F.lit("n_chars")), bands=True)
+    return out.select("metric", "threshold", "direction", F.round("fp_rate", 9).alias("fp_rate"), F.round("hit_rate", 9).alias("hit_rate"), C.verdict(F.col("fp_rate"), F.col("hit_rate")).alias("verdict"))
+
+
+@query(
+    "directed_sweep",
+    f"""WITH {LABELLED}, v AS (SELECT value, count(*) FILTER (WHERE is_base) AS b, count(*) FILTER (WHERE NOT is_base) AS a FROM m GROUP BY 1), n AS (SELECT sum(b) AS nb, sum(a) AS na FROM v),
+c AS (SELECT value AS threshold, 'high' AS direction, sum(b) OVER w AS fp, sum(a) OVER w AS hit FROM v WINDOW w AS (ORDER BY value DESC ROWS UNBOUNDED PRECEDING) UNION ALL SELECT value, 'low', sum(b) OVER w, sum(a) OVER w FROM v WINDOW w AS (ORDER BY value ROWS UNBOUNDED PRECEDING))
+SELECT 'n_chars' AS metric, threshold, direction, round(fp / nb, 9) AS fp_rate, round(hit / na, 9) AS hit_rate FROM c, n WHERE fp / nb < 0.05 ORDER BY hit DESC, direction, CASE WHEN direction = 'high' THEN threshold ELSE -threshold END LIMIT 1""",
+)
+def directed_sweep(spark, d):
+    """Of both directions the better one; of equal thresholds the first as the direction is walked."""
+    out = C.directed_sweep(labelled(spark, d).withColumn("metric", F.lit("n_chars")))
+    return out.select("metric", "threshold", "direction", F.round("fp_rate", 9).alias("fp_rate"), F.round("hit_rate", 9).alias("hit_rate"))
+
+
 @query(
     "length_bins",
     f"""WITH {FINDINGS}, b AS (SELECT d.doc_id, quality = 0 AS is_ai, CASE WHEN n_chars < 1000 THEN 0 WHEN n_chars < 2000 THEN 1 WHEN n_chars < 4000 THEN 2 ELSE 3 END AS bin FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL),
@@ -438,6 +507,18 @@ def rank_statistics(spark, d):
     return out.select("lang", "n_ai", "n_human", F.round("u", 6).alias("u"), F.round("cliffs_delta", 9).alias("cliffs_delta"), F.round("auc", 9).alias("auc"))
 
 
+@query(
+    "classifier_summary",
+    f"""WITH {RANKS}, a AS (SELECT lang, CASE WHEN n_ai > 0 AND n_human > 0 THEN (r - n_ai * (n_ai + 1) / 2.0) / (n_ai * n_human) END AS auc FROM u), s AS (SELECT lang, n_chars >= 2000 AS said, quality = 0 AS yes FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NOT NULL)
+SELECT s.lang, count(*) AS n, round(max(auc), 9) AS auc, round(avg(CASE WHEN said = yes THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(CASE WHEN said THEN 1.0 ELSE 0 END) FILTER (WHERE yes), 9) AS recall, round(avg(CASE WHEN said THEN 1.0 ELSE 0 END) FILTER (WHERE NOT yes), 9) AS fp_rate FROM s LEFT JOIN a ON a.lang = s.lang GROUP BY 1""",
+)
+def classifier_summary(spark, d):
+    """Length as a score: half at 2000 characters."""
+    scored = labelled(spark, d).select("lang", (F.col("value") / 4000).alias("score"), (~F.col("is_base")).cast("int").alias("label"))
+    r = lambda c: F.round(c, 9).alias(c)
+    return C.classifier_summary(scored, "lang").select("lang", "n", r("auc"), r("accuracy"), r("recall"), r("fp_rate"))
+
+
 @query("rank_p_values")
 def rank_p_values(spark, d):
     return C.benjamini_hochberg(C.rank_statistics(labelled(spark, d).withColumn("is_ai", ~F.col("is_base")), "source"))

@@ -20,8 +20,16 @@ def dealt_out(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_texts(spark: SparkSession, path: str, glob: str = "*.{md,txt}") -> tuple[DataFrame, DataFrame]:
-    """(documents, errors) of text files below ``path``: files that are no UTF-8 or blank go to the errors."""
+    """(documents, errors) of text files below ``path``: a missing path and files that are no UTF-8 or blank go to the errors."""
+    if not exists(spark, path):
+        none = spark.createDataFrame([], "path string, doc_id string, text string")
+        return none, spark.createDataFrame([(path, "missing")], "path string, error string")
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
@@ -61,6 +69,46 @@ def grouped_corpus(docs: DataFrame, sources: DataFrame, prefixes: tuple[str, ...
     return joined.select("doc_id", "text", group.alias("grp"), F.when(is_ai, genre_of(F.col("doc_id"), prefixes)).otherwise(F.coalesce("__genre", F.lit("unknown"))).alias("genre"), F.when(is_ai, F.element_at(parts, -2)).alias("model"), "quality", "register", "ai_era_risk", F.length("text").alias("n_chars"))
 
 
+def _placed(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents with ``place`` (ai, aozora, web or none of these folders), ``model`` and what the metadata say of their id."""
+    parts = F.split("path", "/")
+    place = F.when(F.array_contains(parts, "ai"), "ai").when(F.array_contains(parts, "aozora"), "aozora").when(F.array_contains(parts, "web"), "web")
+    meta = sources.select(F.col("id").alias("__id"), F.col("genre").alias("__genre"), "quality", "register", "ai_era_risk").dropDuplicates(["__id"])
+    out = docs.withColumn("place", place).join(meta, F.col("doc_id") == F.col("__id"), "left")
+    return out.filter("place is not null").withColumn("model", F.when(F.col("place") == "ai", F.element_at(parts, -2)))
+
+
+def calibration_groups(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """A row per document and group it is in: human_aozora, human_web or ai, and beside it human_business or ai_business."""
+    business = F.when(F.col("place") == "ai", F.col("doc_id").startswith("business-")).when(F.col("place") == "web", F.col("__genre") == "business")
+    own = F.when(F.col("place") == "ai", "ai").otherwise(F.concat(F.lit("human_"), F.col("place")))
+    beside = F.when(business, F.when(F.col("place") == "ai", "ai_business").otherwise("human_business"))
+    return _placed(docs, sources).select("doc_id", "text", F.explode(F.array_compact(F.array(own, beside))).alias("grp"))
+
+
+#: Genres by file-name prefix of machine texts whose perplexity is measured.
+PERPLEXITY_PREFIXES = ("blog", "business", "essay", "slide", "tech")
+
+
+def perplexity_buckets(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Documents with bucket (human_high, human_ordinary or ai:model), genre and model."""
+    ai = F.col("place") == "ai"
+    high = F.when(F.col("place") == "web", F.col("quality") == "high").otherwise(F.col("register") == "modern-colloquial-classic")
+    bucket = F.when(ai, F.concat(F.lit("ai:"), F.col("model"))).when(F.coalesce(high, F.lit(False)), "human_high").otherwise("human_ordinary")
+    named = [p for p in PERPLEXITY_PREFIXES]
+    prefix = F.get(F.filter(F.array(*[F.lit(p) for p in named]), lambda p: F.startswith(F.col("doc_id"), F.concat(p, F.lit("-")))), F.lit(0))
+    genre = F.when(ai, F.coalesce(prefix, F.lit("unknown"))).when(F.col("place") == "aozora", "essay").otherwise(F.coalesce("__genre", F.lit("unknown")))
+    return _placed(docs, sources).select("doc_id", "text", bucket.alias("bucket"), genre.alias("genre"), "model")
+
+
+def rhythm_humans(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """Human documents for rhythm: web texts of high quality without risk of machine writing, and colloquial classics, with genre."""
+    web = (F.col("place") == "web") & (F.col("quality") == "high") & ~F.coalesce("ai_era_risk", F.lit(False))
+    classic = (F.col("place") == "aozora") & (F.col("register") == "modern-colloquial-classic")
+    kept = _placed(docs, sources).filter(F.coalesce(web | classic, F.lit(False)))
+    return kept.select("doc_id", "text", F.when(F.col("place") == "aozora", "essay").otherwise(F.coalesce("__genre", F.lit("unknown"))).alias("genre"))
+
+
 def with_front_matter(df: DataFrame, fields: list[str], body: str = "text") -> Column:
     """A document with a header of ``fields`` between two rules."""
     head = [F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]
@@ -82,11 +130,28 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
+def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of JSON-line files: every record and every malformed line with its file and line number.
+
+    A file is numbered as a whole, in one task; result files of a study are small.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("k", "json")).filter(F.trim("json") != "").select("path", (F.col("k") + 1).alias("line"), "json")
+    parsed = lines.withColumn("record", F.from_json("json", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("record._bad").isNotNull() | F.col("record").isNull()
+    names = [f.name for f in parsed.schema["record"].dataType if f.name != "_bad"]
+    return parsed.filter(~bad).select("path", "line", *[f"record.{c}" for c in names]), parsed.filter(bad).select("path", "line", F.concat("path", F.lit(":"), "line", F.lit(": malformed JSON")).alias("error"))
+
+
 def not_yet_done(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows of ``wanted`` without a result, for incremental runs."""
     return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
+#: A line of a page number.
+PAGE_NUMBER = r"^[-‐―ー0-9０-９ページPage/\s.]{1,10}$"
+
+
 def repeated_page_lines(pages: DataFrame, longest: int = 40) -> DataFrame:
     """From (doc_id, page, line_no, line): lines without running heads and page numbers.
 
@@ -97,10 +162,10 @@ def repeated_page_lines(pages: DataFrame, longest: int = 40) -> DataFrame:
     seen = pages.filter((F.length(text) <= longest) & (text != "")).groupBy("doc_id", text.alias("t")).agg(F.count_distinct("page").alias("on"))
     heads = seen.join(total, "doc_id").filter("pages > 2 and on >= greatest(3, pages div 2)").select("doc_id", "t")
     left = pages.withColumn("t", text).join(heads, ["doc_id", "t"], "left_anti")
-    return left.filter(~F.col("t").rlike(r"^[-–— ]*[0-9０-９]+[-–— ]*$")).select("doc_id", "page", "line_no", "line")
+    return left.filter((F.col("t") != "") & ~F.col("t").rlike(PAGE_NUMBER)).select("doc_id", "page", "line_no", F.col("t").alias("line"))
 
 
-def markdown_table(df: DataFrame, rows: int = 1000) -> str:
-    """A report's table as Markdown; for results, not data."""
+def markdown_table(df: DataFrame) -> str:
+    """A report's table as Markdown, whole; for results, not data."""
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns) + "\n"
-    return head + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect())
+    return head + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.toLocalIterator())

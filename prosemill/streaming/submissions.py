@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,6 +29,16 @@ def append(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> S
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def admitted(known: DataFrame, incoming: DataFrame, order: str = "received_at") -> tuple[DataFrame, DataFrame]:
+    """Batch twin with refusals: (accepted, rejected with ``reason`` malformed or duplicate) of ``incoming`` against participants ``known``."""
+    rank = F.row_number().over(Window.partitionBy("participant_id").orderBy(order))
+    good = incoming.filter(valid_submission()).withColumn("__rank", rank)
+    seen = good.join(known.select("participant_id").distinct().withColumn("__seen", F.lit(True)), "participant_id", "left")
+    fresh = F.col("__seen").isNull() & (F.col("__rank") == 1)
+    refused = seen.filter(~fresh).select(*incoming.columns, F.lit("duplicate").alias("reason"))
+    return seen.filter(fresh).select(*incoming.columns), incoming.filter(~valid_submission()).withColumn("reason", F.lit("malformed")).unionByName(refused)
+
+
 def latest_by_key(events: DataFrame, key: str, order: str) -> DataFrame:
     """Batch twin of the stream's rule: the first row of each key by ``order``."""
     return events.groupBy(key).agg(F.min_by(F.struct(*[c for c in events.columns if c != key]), order).alias("x")).select(key, "x.*")
