@@ -647,6 +647,57 @@ def submissions_dedup(spark, d):
     return latest_by_key(e, "user_id", "o").select("user_id", "event_id")
 
 
+# Rows as an analyser gives them, made of every document's sentences: words between spaces, with tags by their length.
+TAG = "CASE length(w) % 5 WHEN 0 THEN '名詞' WHEN 1 THEN '動詞' WHEN 2 THEN '助詞' WHEN 3 THEN '助動詞' ELSE '形容詞' END"
+SURFACE = "CASE WHEN length(w) % 5 = 2 AND length(w) > 2 THEN 'が' WHEN length(w) % 5 = 2 THEN 'は' WHEN length(w) = 3 THEN 'れる' ELSE w END"
+ANALYSED = f"""{SENTENCES},
+w AS (SELECT doc_id, line, ix, unnest(generate_series(1, len(p))) - 1 AS j, unnest(p) AS w FROM (SELECT doc_id, line, ix, list_filter(string_split(s, ' '), lambda x: x <> '') AS p FROM sentences)),
+t AS (SELECT doc_id, line, ix, j, w, {TAG} AS pos, {SURFACE} AS surface FROM w),
+e AS (SELECT doc_id, line, ix, count(*) AS n, sum(length(w)) AS morae, min(j) FILTER (WHERE pos = '助詞' AND j > 0) AS subject, max(j) FILTER (WHERE pos NOT IN ('助詞', '助動詞')) AS predicate, count(*) FILTER (WHERE surface = 'が') AS ga, string_agg(surface, '' ORDER BY j) FILTER (WHERE j < 2) AS lead, string_agg(pos, '/' ORDER BY j) FILTER (WHERE j < 4) AS tags FROM t GROUP BY 1, 2, 3)"""
+
+
+def analysed(spark: SparkSession, d: str) -> DataFrame:
+    p = prepared(spark, d)
+    sentences = p.select("doc_id", F.posexplode("sentences").alias("sent_ix", "s")).select("doc_id", F.col("s.line").alias("line_no"), "sent_ix", F.expr("filter(split(s.masked, ' '), x -> x <> '')").alias("p"))
+    each = sentences.select("doc_id", "line_no", "sent_ix", F.posexplode("p").alias("ix", "w"))
+    rows = each.select("doc_id", "line_no", "sent_ix", "ix", F.expr(SURFACE).alias("surface"), F.expr(TAG).alias("pos0"), F.lit("*").alias("pos1"), F.col("w").alias("dict_form"), F.col("w").alias("reading"), F.lit(0).alias("begin"), F.lit(0).alias("end"))
+    return morphemes.attach_precomputed(p, rows)
+
+
+@query(
+    "analyser_metrics",
+    f"""WITH {ANALYSED}, a AS (SELECT doc_id, avg(predicate - subject) FILTER (WHERE n >= 3 AND predicate > subject) AS distance, avg(CASE WHEN ga >= 2 THEN 1.0 ELSE 0 END) AS ga, stddev_pop(morae) / avg(morae) AS cv, count(*) AS n FROM e GROUP BY 1),
+b AS (SELECT doc_id, count(*) FILTER (WHERE surface = 'れる') / nullif(count(*) FILTER (WHERE pos = '動詞'), 0) AS passive, count(*) FILTER (WHERE pos IN ('名詞', '動詞', '形容詞')) AS words, count(DISTINCT w) FILTER (WHERE pos IN ('名詞', '動詞', '形容詞')) AS types FROM t GROUP BY 1)
+SELECT a.doc_id, round(distance, 9) AS subject_distance, round(passive, 9) AS passive_ratio, round(ga, 9) AS chained_ga, words AS n_words, round(types / nullif(words, 0), 9) AS ttr, round(CASE WHEN n >= 2 THEN cv END, 9) AS mora_cv FROM a JOIN b ON a.doc_id = b.doc_id""",
+)
+def analyser_metrics(spark, d):
+    t = analysed(spark, d).filter("size(sentences) > 0")
+    out = M.morpheme_metrics(t).join(M.lexical_diversity(t).drop("mtld"), "doc_id").join(M.mora_rhythm(t, 2).select("doc_id", F.col("cv").alias("mora_cv")), "doc_id")
+    return out.select("doc_id", *[F.round(c, 9).alias(c) for c in ("subject_distance", "passive_ratio", "chained_ga", "ttr", "mora_cv")], F.col("n_words").cast("bigint").alias("n_words"))
+
+
+@query(
+    "analyser_findings",
+    f"""WITH {ANALYSED}, d AS (SELECT doc_id, length(text) AS size FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, ix, line, n, morae::DOUBLE AS m, lead(morae::DOUBLE) OVER (PARTITION BY doc_id ORDER BY ix) AS m2 FROM e),
+r AS (SELECT doc_id, count(*) AS n, stddev_pop(m) AS sd, avg(m) AS mean, CASE WHEN stddev_pop(m) FILTER (WHERE m2 IS NOT NULL) > 0 AND stddev_pop(m2) > 0 THEN (avg(m * m2) - avg(m) FILTER (WHERE m2 IS NOT NULL) * avg(m2)) / (stddev_pop(m) FILTER (WHERE m2 IS NOT NULL) * stddev_pop(m2)) END AS r FROM l GROUP BY 1),
+nominal AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE last = '名詞') AS k FROM (SELECT e.doc_id, e.ix, arg_max(pos, j) AS last FROM e JOIN t ON t.doc_id = e.doc_id AND t.ix = e.ix GROUP BY 1, 2) GROUP BY 1),
+leads AS (SELECT doc_id, lead, count(*) AS c FROM e WHERE n >= 2 GROUP BY 1, 2 HAVING count(*) >= {DEFAULT.lead_repeat}),
+tags AS (SELECT doc_id, max(c) AS c, sum(c) AS n FROM (SELECT doc_id, tags, count(*) AS c FROM e WHERE n >= 4 GROUP BY 1, 2) GROUP BY 1)
+SELECT doc_id, 'low_burstiness' AS category, 1 AS n FROM r WHERE n >= {DEFAULT.burstiness_min} AND (sd - mean) / (sd + mean) < {DEFAULT.burstiness}
+UNION ALL SELECT doc_id, 'high_length_autocorrelation', 1 FROM r WHERE n >= {DEFAULT.burstiness_min} AND n - 1 >= {DEFAULT.autocorrelation_min} AND r > {DEFAULT.autocorrelation}
+UNION ALL SELECT n.doc_id, 'nominal_ending', 1 FROM nominal n JOIN d ON d.doc_id = n.doc_id WHERE n >= {DEFAULT.nominal_min_sentences} AND size >= {DEFAULT.nominal_min_chars} AND k <= {DEFAULT.nominal_ratio} * n
+UNION ALL SELECT doc_id, 'repeated_sentence_lead', sum(c)::BIGINT FROM leads GROUP BY 1
+UNION ALL SELECT doc_id, 'repeated_syntax_template', c FROM tags WHERE n >= {DEFAULT.template_min} AND c >= {DEFAULT.template_ratio} * n""",
+)
+def analyser_findings(spark, d):
+    """Rhythm, ending and repetition rules over analyser rows of every document."""
+    kinds = ["low_burstiness", "high_length_autocorrelation", "nominal_ending", "repeated_sentence_lead", "repeated_syntax_template"]
+    found = lint.run_lint(analysed(spark, d), LATIN, experimental=True, categories=kinds)
+    # several templates may be as frequent as the first: the rule takes one
+    return found.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
+
+
 @query("morpheme_findings")
 def morpheme_findings(spark, d):
     """Rules over approximate morphemes of every document, with Japanese words: findings of each kind."""
