@@ -446,9 +446,11 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = written(reps, "reps")
 
     level = _roots(reps, rules)
-    clusters = stars = None
+    stars, found, read = None, [], []
     for depth in range(rules.max_depth + 1):
         level = written(level.distinct() if depth else level, "nodes")
+        while read:  # what the level before was made of
+            drop(read.pop())
         stats = level.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("rep")).alias("h")).filter("c > 1")
         stats = written(stats, "stats")
         fits = (F.col("c") <= rules.node_limit) & ((F.col("s") <= rules.node_shingles) | (F.col("c") <= 2))
@@ -457,17 +459,22 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         more = stats.filter(~fits).limit(1).count()
         large = level.join(stats.filter(~fits).select("node"), "node")
         near = small.join(reps.select("rep", "short"), "rep").select("node", "rep", "n", "short").repartition("node").sortWithinPartitions("node").mapInArrow(_by_group(_likely(rules)), "cluster bigint, rep bigint")
-        near = written(near.distinct(), "near")
-        clusters = near if clusters is None else clusters.union(near)
+        found.append(written(near.distinct(), "near"))
+        drop(once)
+        read = [level, stats]
         if more and depth == rules.max_depth:
             whole = stats.filter(~fits).groupBy("c", "s", "h").agg(F.min("node").alias("node")).select("node")
             stars, blocks = _finished(docs, level.join(whole, "node"), rules)
-            clusters = clusters.union(blocks)
+            found.append(blocks)
         if not more or depth == rules.max_depth:
             break
-        grown = _grown(large, reps, rules)
-        level = grown
+        level = _grown(large, reps, rules)
+    clusters = found[0]
+    for other in found[1:]:
+        clusters = clusters.union(other)
     clusters = written(clusters.distinct(), "clusters")
+    for table in (*read, *(found if stars is None else found[:-1])):
+        drop(table)
     wanted = clusters.select("rep").distinct()
     sets = _filtered_sets(docs, wanted, rules).join(_dealt(clusters), "rep").select("cluster", "rep", "grams")
     links = sets.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_by_group(_verified(rules)), "a bigint, b bigint")
