@@ -72,69 +72,78 @@ class ByteGru:
         self.p = {"w0": make(256, 3 * h, by=0.3), "u0": make(h, 3 * h, by=0.3), "w1": make(256, 3 * h, by=0.3), "u1": make(h, 3 * h, by=0.3), "v": make(2 * h, len(langs), by=0.3), "c": np.zeros(len(langs), np.float32)}
 
     def _run(self, x: np.ndarray, d: int, kept: list | None = None) -> np.ndarray:
-        """States [T, N, H] of direction ``d`` over bytes [T, N], in the order of positions; padding leaves the state at zero."""
-        w, u, hs = self.p[f"w{d}"], self.p[f"u{d}"], self.rules.hidden
+        """States [T, H, N] of direction ``d`` over bytes [T, N], in the order of positions; padding leaves the state at zero.
+
+        Windows are the last axis, so that every step works on whole rows.
+        """
+        w, u, hs = np.ascontiguousarray(self.p[f"w{d}"].T), np.ascontiguousarray(self.p[f"u{d}"].T), self.rules.hidden
         steps, n = x.shape
-        out = np.empty((steps, n, hs), np.float32)
-        h = np.zeros((n, hs), np.float32)
-        real = (x != PAD).astype(np.float32)[:, :, None]
-        whole = real.all((1, 2))
+        out = np.empty((steps, hs, n), np.float32)
+        h = np.zeros((hs, n), np.float32)
+        real = (x != PAD).astype(np.float32)
+        whole = real.all(1)
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
-            g = np.take(w, x[t], axis=0)
-            a = h @ u
-            gates = _sigmoid(g[:, : 2 * hs] + a[:, : 2 * hs])
-            z, r = gates[:, :hs], gates[:, hs:]
-            new = np.tanh(g[:, 2 * hs :] + r * a[:, 2 * hs :])
+            g = np.take(w, x[t], axis=1)
+            a = u @ h
+            gates = g[: 2 * hs]
+            gates += a[: 2 * hs]
+            z, r = np.split(_sigmoid(gates), 2)
+            new = r * a[2 * hs :]
+            new += g[2 * hs :]
+            np.tanh(new, out=new)
             if kept is not None:
-                kept.append((t, h, z, r, new, a[:, 2 * hs :]))
-            h = new + z * (h - new)
+                kept.append((t, h, z, r, new, a[2 * hs :]))
+            h = np.subtract(h, new, out=out[t])
+            h *= z
+            h += new
             if not whole[t]:
                 h *= real[t]
-            out[t] = h
         return out
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """[T, N, C]: the label probabilities of every position of windows [T, N]."""
-        return self._softmax(np.concatenate((self._run(x, 0), self._run(x, 1)), 2))
+        """[T, C, N]: the label probabilities of every position of windows [T, N]."""
+        return self._softmax(self._run(x, 0), self._run(x, 1))
 
-    def _softmax(self, states: np.ndarray) -> np.ndarray:
-        s = states.reshape(-1, states.shape[2]) @ self.p["v"] + self.p["c"]
+    def _softmax(self, forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
+        hs = self.rules.hidden
+        s = self.p["v"][:hs].T @ forward
+        s += self.p["v"][hs:].T @ backward
+        s += self.p["c"][:, None]
         s -= s.max(1, keepdims=True)
         np.exp(s, out=s)
         s /= s.sum(1, keepdims=True)
-        return s.reshape(*states.shape[:2], -1)
+        return s
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the mean loss of all positions that are no padding, for windows [T, N] with a label each."""
         steps, n = x.shape
         hs = self.rules.hidden
         kept: tuple[list, list] = ([], [])
-        states = np.concatenate([self._run(x, d, kept[d]) for d in (0, 1)], 2)
-        ds = self._softmax(states)
-        ds[:, np.arange(n), y] -= 1
-        seen = x != PAD
-        ds *= (seen / max(int(seen.sum()), 1))[:, :, None]
-        ds = ds.reshape(-1, ds.shape[2]).astype(np.float32)
-        grad = {"v": states.reshape(-1, 2 * hs).T @ ds, "c": ds.sum(0)}
-        back = (ds @ self.p["v"].T).reshape(steps, n, 2 * hs)
+        states = [self._run(x, d, kept[d]) for d in (0, 1)]
+        ds = self._softmax(*states)
+        ds[:, y, np.arange(n)] -= 1
+        seen = (x != PAD).astype(np.float32)
+        ds *= (seen / max(float(seen.sum()), 1.0))[:, None, :]
+        grad = {"v": np.concatenate([(s @ ds.transpose(0, 2, 1)).sum(0) for s in states]), "c": ds.sum((0, 2))}
+        order = np.argsort(x, axis=None, kind="stable")
+        sorted_bytes = x.ravel()[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_bytes[1:] != sorted_bytes[:-1])))
         for d in (0, 1):
             u = self.p[f"u{d}"]
+            back = self.p["v"][d * hs : (d + 1) * hs] @ ds
             gu, gw = np.zeros_like(u), np.zeros_like(self.p[f"w{d}"])
-            into = np.empty((steps, n, 3 * hs), np.float32)
-            carry = np.zeros((n, hs), np.float32)
+            into = np.empty((steps, 3 * hs, n), np.float32)
+            carry = np.zeros((hs, n), np.float32)
             for t, h, z, r, new, a in reversed(kept[d]):
-                dh = (back[t, :, d * hs : (d + 1) * hs] + carry) * seen[t][:, None]
+                dh = (back[t] + carry) * seen[t]
                 dz = dh * (h - new) * z * (1 - z)
                 dn = dh * (1 - z) * (1 - new * new)
                 dr = dn * a * r * (1 - r)
-                da = np.concatenate((dz, dr, dn * r), 1)
-                gu += h.T @ da
-                carry = dh * z + da @ u.T
-                into[t] = np.concatenate((dz, dr, dn), 1)
-            order = np.argsort(x, axis=None, kind="stable")
-            sorted_bytes = x.ravel()[order]
-            first = np.flatnonzero(np.concatenate(([True], sorted_bytes[1:] != sorted_bytes[:-1])))
-            gw[sorted_bytes[first]] = np.add.reduceat(into.reshape(-1, 3 * hs)[order], first)
+                da = np.concatenate((dz, dr, dn * r))
+                gu += h @ da.T
+                carry = dh * z + u @ da
+                into[t] = np.concatenate((dz, dr, dn))
+            gw[sorted_bytes[first]] = np.add.reduceat(into.transpose(0, 2, 1).reshape(-1, 3 * hs)[order], first)
             grad[f"u{d}"], grad[f"w{d}"] = gu, gw
         return grad
 
@@ -165,9 +174,9 @@ class ByteGru:
             r, at = row[a : a + _TOGETHER], start[a : a + _TOGETHER]
             length = int(np.minimum(window, t.bounds[r + 1] - at).max())  # windows of short texts only: no longer than those
             x, counted = read_windows(t, r, at - context, length + 2 * context), slice(context, context + length)
-            p = self.probabilities(x)[counted] * (x[counted] != PAD)[:, :, None]
+            p = (self.probabilities(x)[counted] * (x[counted] != PAD)[:, None, :]).sum(0, dtype=np.float64)
             for j in range(out.shape[1]):
-                out[:, j] += np.bincount(r, p[:, :, j].sum(0, dtype=np.float64), len(t))
+                out[:, j] += np.bincount(r, p[j], len(t))
         return out / np.maximum(size, 1)[:, None]
 
 

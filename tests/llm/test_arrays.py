@@ -116,7 +116,7 @@ def test_gru_gradients():
 
     def loss():
         p = model.probabilities(x)
-        return float(-np.log(p[:, np.arange(6), y]).mean())
+        return float(-np.log(p[:, y, np.arange(6)]).mean())
 
     for name, grad in model.gradients(x, y).items():
         at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
