@@ -96,7 +96,7 @@ def length_analysis(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def rank_statistics(values: DataFrame, key: str = "metric") -> DataFrame:
-    """Per key: sizes, Cliff's delta, AUC, Mann-Whitney U and its two-sided normal p with tie correction.
+    """Per key: sizes, Cliff's delta, AUC, Mann-Whitney U and its two-sided p: exact for small samples without ties, else normal with tie correction.
 
     Input: key, value, is_ai. Ties are counted per distinct value, so ranks need
     no pair of rows: a running count over distinct values gives mid-ranks.
@@ -112,7 +112,35 @@ def rank_statistics(values: DataFrame, key: str = "metric") -> DataFrame:
     sd = F.sqrt(m * n / 12 * (total + 1 - F.col("tie") / F.greatest(total * (total - 1), F.lit(1.0))))
     z = F.greatest(F.abs(F.col("u") - m * n / 2) - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))
     out = sums.withColumn("u", u)
-    return out.select(key, "n_ai", "n_human", "u", (2 * F.col("u") / (m * n) - 1).alias("cliffs_delta"), (F.col("u") / (m * n)).alias("auc"), F.coalesce(normal_two_sided(z), F.lit(1.0)).alias("p"))
+    exact = (F.least("n_ai", "n_human") <= EXACT_BELOW) & (F.col("tie") == 0)
+    p = F.when(exact, _exact_p()(F.when(exact, F.col("u")), F.col("n_ai"), F.col("n_human"))).otherwise(F.coalesce(normal_two_sided(z), F.lit(1.0)))
+    return out.select(key, "n_ai", "n_human", "u", (2 * F.col("u") / (m * n) - 1).alias("cliffs_delta"), (F.col("u") / (m * n)).alias("auc"), p.alias("p"))
+
+
+#: Fixed value: up to this size of the smaller sample p is exact, where no values tie.
+EXACT_BELOW = 8
+
+
+def exact_mann_whitney(u: float, m: int, n: int) -> float:
+    """Two-sided p of U from its exact distribution, built as a quotient of polynomials."""
+    m, n = min(m, n), max(m, n)
+    counts = np.zeros(m * n + 1)
+    counts[0] = 1
+    for i in range(1, m + 1):
+        if n + i <= m * n:
+            counts[n + i :] -= counts[: -(n + i)].copy()
+        for k in range(i):
+            counts[k::i] = np.cumsum(counts[k::i])
+    upper = max(u, m * n - u)
+    return float(min(1.0, 2 * counts[int(np.ceil(upper - 1e-9)) :].sum() / counts.sum()))
+
+
+def _exact_p():
+    @F.pandas_udf("double")
+    def p(u: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:  # a row per key, for small samples only
+        return pd.Series([None if x is None or x != x else exact_mann_whitney(x, int(a), int(b)) for x, a, b in zip(u, m, n, strict=True)], dtype=float)
+
+    return p
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -203,6 +231,36 @@ def count_verdict(fp_share: Column, kind: str) -> Column:
     return F.when(fp_share < 0.05, "GO").when(fp_share < CONDITIONAL_BELOW[kind], "CONDITIONAL").otherwise("NO-GO")
 
 
+#: Thresholds of a classifier's score.
+SCORE_GRID = [round(0.05 * k, 2) for k in range(1, 20)]
+
+
+def score_sweep(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """False-positive and detection rates of out-of-fold scores at the thresholds of ``SCORE_GRID``."""
+    return grid_sweep(scored.select(F.col(score).alias("value"), (F.col(label) == 0).alias("is_base")), SCORE_GRID)
+
+
+def rounded_sweep(metrics: DataFrame, digits: int = 1, max_fp: float = 0.05) -> DataFrame:
+    """Both directions over thresholds that are observed values rounded to ``digits``: rates of every one, and the best of each direction.
+
+    Input: value, is_base (both may hold for neither group: is_base null only lends its value). Counts per
+    rounded and per own value come first; a value on the wrong side of its rounded threshold counts on its own side.
+    """
+    known = metrics.filter("value is not null")
+    own = known.filter("is_base is not null").groupBy("value").agg(F.count_if("is_base").alias("b"), F.count_if(~F.col("is_base")).alias("a"))
+    n = own.agg(F.sum("b").alias("nb"), F.sum("a").alias("na")).first()
+    marks = known.select(F.round("value", digits).alias("value")).distinct().select("value", F.lit(0).alias("b"), F.lit(0).alias("a"), F.lit(True).alias("mark"))
+    both = own.withColumn("mark", F.lit(False)).unionByName(marks).groupBy("value").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.max("mark").alias("mark"))
+    ranged = _ranged(both, "value")
+    out = None
+    for direction, downward in (("low", False), ("high", True)):
+        hits = _running(_running(ranged, "value", F.col("b"), F.sum, "fp", [], downward), "value", F.col("a"), F.sum, "hit", [], downward).filter("mark")
+        rated = hits.select(F.lit(direction).alias("direction"), F.col("value").alias("threshold"), (F.col("fp") / F.lit(max(n.nb or 0, 1))).alias("fp_rate"), (F.col("hit") / F.lit(max(n.na or 0, 1))).alias("hit_rate"))
+        out = rated if out is None else out.unionByName(rated)
+    best = out.filter(F.col("fp_rate") < max_fp).groupBy("direction").agg(F.max_by("threshold", F.struct("hit_rate", -F.col("threshold"))).alias("best"))
+    return out.join(best, "direction", "left").select("direction", "threshold", "fp_rate", "hit_rate", F.coalesce(F.col("threshold") == F.col("best"), F.lit(False)).alias("recommended"))
+
+
 def directed_sweep(metrics: DataFrame, direction: str = "auto", key: str = "metric", max_fp: float = 0.05) -> DataFrame:
     """The best threshold per metric in one direction (high or low); with ``auto`` in the better one, of equal ones high."""
     known = metrics.filter("value is not null")

@@ -137,6 +137,27 @@ def stratified_fold(key: Column, label: Column, k: int = 5) -> Column:
     return (F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key)) - 1) % k
 
 
+def human_test(key: Column, label: Column, share: float = 0.2) -> Column:
+    """Whether a human row (label 0) is of the fixed test part: ``share`` of them by rank of their hash, one at least; null for others."""
+    human = label == 0
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
+    size = F.count("*").over(Window.partitionBy(label))
+    return F.when(human, rank <= F.greatest(F.floor(size * share), F.lit(1)))
+
+
+def leave_one_model_out(vectors: DataFrame, key: str = "doc_id", model: str = "model", features: str = "features", label: str = "label") -> DataFrame:
+    """Scores of every machine model by a classifier of all others, with the same fifth of human rows in each test: adds ``held_out`` and ``score``."""
+    split = vectors.withColumn("__test", human_test(F.col(key), F.col(label)))
+    out = None
+    for held in sorted(r[0] for r in vectors.filter(F.col(label) == 1).select(model).distinct().collect()):  # a row per model
+        mine = F.when(F.col(label) == 1, F.col(model) == held).otherwise(F.col("__test"))
+        scored = classifier_scores(split.withColumn("__fold", mine.cast("int")).drop("__test"), [1], features, label, "__fold")
+        if scored is not None:
+            scored = scored.drop("__fold").withColumn("held_out", F.lit(held))
+            out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def classifier_scores(vectors: DataFrame, folds: list, features: str = "features", label: str = "label", fold: str = "fold") -> DataFrame:
     """Out-of-fold probabilities of a standardised, class-balanced logistic regression: one fit per fold value.
 

@@ -151,3 +151,59 @@ def test_grouped_ridge(spark):
             w = np.linalg.solve((x[train] - mx).T @ (x[train] - mx) + np.eye(x.shape[1]), (x[train] - mx).T @ (y[train] - my))
             errors.append(np.sqrt(np.mean((y[test] - ((x[test] - mx) @ w + my)) ** 2)))
         assert got[metric] == pytest.approx(np.mean(errors), rel=1e-9)
+
+
+def test_exact_p_values(spark):
+    from itertools import combinations
+
+    for m, n in ((1, 3), (3, 4), (4, 4), (2, 6)):
+        every = [sum(r for r in c) - m * (m + 1) / 2 for c in combinations(range(1, m + n + 1), m)]
+        for u in set(every):
+            far = max(u, m * n - u)
+            assert C.exact_mann_whitney(u, m, n) == pytest.approx(min(1.0, 2 * sum(x >= far for x in every) / len(every)))
+    df = spark.createDataFrame([("k", float(v), v > 3) for v in range(6)] + [("t", 1.0, True), ("t", 1.0, False), ("t", 2.0, True)], "metric string, value double, is_ai boolean")
+    got = {r.metric: r for r in C.rank_statistics(df).collect()}
+    assert got["k"].p == pytest.approx(2 * 1 / 15) and got["k"].auc == 1.0
+    assert 0 < got["t"].p <= 1
+
+
+def test_rounded_and_score_sweeps(spark):
+    rng = random.Random(3)
+    rows = [(rng.gauss(20, 3), True) for _ in range(80)] + [(rng.gauss(14, 3), False) for _ in range(80)] + [(30.04, None), (None, True)]
+    got = C.rounded_sweep(spark.createDataFrame(rows, "value double, is_base boolean")).collect()
+    base, ai = [v for v, b in rows if b and v is not None], [v for v, b in rows if b is False]
+    marks = sorted({round(v, 1) for v, _ in rows if v is not None})
+    assert len(got) == 2 * len(marks)
+    for r in got:
+        fits = (lambda v, t: v <= t) if r.direction == "low" else (lambda v, t: v >= t)  # noqa: B023
+        assert r.fp_rate == pytest.approx(sum(fits(v, r.threshold) for v in base) / len(base))
+        assert r.hit_rate == pytest.approx(sum(fits(v, r.threshold) for v in ai) / len(ai))
+    low = [r for r in got if r.direction == "low"]
+    assert [r.threshold for r in low if r.recommended] == [min((r for r in low if r.fp_rate < 0.05), key=lambda r: (-r.hit_rate, r.threshold)).threshold]
+    scored = spark.createDataFrame([(0.1, 0), (0.6, 0), (0.7, 1), (0.96, 1)], "score double, label int")
+    assert [round(r.hit_rate, 2) for r in C.score_sweep(scored).sort("threshold").collect()][-3:] == [0.5, 0.5, 0.5]
+
+
+def test_leave_one_model_out(spark):
+    rng = random.Random(4)
+    rows = [(k, ("a", "b", None)[k % 3], [rng.gauss(2 if k % 3 < 2 else 0, 0.5), rng.random()], int(k % 3 < 2)) for k in range(60)]
+    got = study.leave_one_model_out(spark.createDataFrame(rows, "doc_id int, model string, features array<double>, label int")).collect()
+    assert {(r.held_out, r.model) for r in got} == {("a", "a"), ("a", None), ("b", "b"), ("b", None)}
+    assert len([r for r in got if r.label == 0]) == 2 * 4 and len([r for r in got if r.held_out == "a" and r.label == 1]) == 20
+    assert sum((r.score > 0.5) == (r.label == 1) for r in got) > 0.9 * len(got)
+
+
+def test_reports(spark):
+    from prosemill.operators import outline
+    from prosemill.plans import reports
+
+    docs = lint.prepare(spark.createDataFrame([(1, "# 題\n重要なのは速度。\n重要なのは精度。"), (2, "なし")], "doc_id int, text string"), JA)
+    found = lint.run_lint(docs, JA, categories=["forbidden_phrase"])
+    got = {r.doc_id: r.report for r in reports.lint_reports(docs, found).collect()}
+    assert got[1].startswith("=== lint: 1 ===\nfindings: 2\n  - forbidden_phrase: 2\n\n[info] L2 (forbidden_phrase)\n    重要なのは速度。")
+    assert got[2] == "=== lint: 2 ===\nfindings: 0\n\nnone"
+    assert "[new] [info] L2" in {r.doc_id: r.report for r in reports.lint_reports(docs, found.withColumn("status", F.lit("new"))).collect()}[1]
+    assert reports.outline_reports(outline.outline(docs, JA)).filter("doc_id = 1").first().report == "L1: # 題\nL2:     重要なのは速度"
+    assert reports.term_reports(spark.createDataFrame([(1, "A", 2, 0, 3, True), (1, "B", 1, 0, 1, False)], "doc_id int, term string, first_line int, place int, count int, has_gloss_hint boolean")).first().report == "L1 B x1\nL2 A* x3"
+    text = reports.evaluation_report(spark.createDataFrame([("memo", 2, 1, 0.5)], "doctype string, judged int, lost int, loss_rate double"), spark.createDataFrame([("f", 1.0)], "file string, score double"))
+    assert "## Loss rates" in text and "| memo | 2 | 1 | 0.5 |" in text and "## Issue clusters" in text
