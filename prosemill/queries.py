@@ -217,9 +217,9 @@ JA_LINES = f"replace({JA_TEXT}, chr(10), chr(10) || chr(10))"
 for _letter in "TEDLSOAPI":
     JA_LINES = f"replace({JA_LINES}, chr(10) || '{_letter}', chr(10) || 'しかし{_letter}')"
 JA_SENTENCES = sentences_sql(JA_LINES, "[。！？]")
-JA_PARAGRAPHS = f"""{lines_sql(JA_LINES)},
-g AS (SELECT *, sum(CASE WHEN {STRIP.format('t')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS par FROM lines),
+PARAGRAPHS = f"""g AS (SELECT *, sum(CASE WHEN {STRIP.format('t')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS par FROM lines),
 par AS (SELECT doc_id, par, min(line) AS line, arg_min(t, line) AS lead, string_agg(t, chr(10) ORDER BY line) AS body FROM g WHERE {STRIP.format('t')} <> '' GROUP BY 1, 2)"""
+JA_PARAGRAPHS = f"{lines_sql(JA_LINES)},\n{PARAGRAPHS}"
 
 
 def ja_prepared(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +257,7 @@ def counts_sql(patterns, text: str) -> str:
 
 @query(
     "readability_ja",
-    f"""WITH {JA_SENTENCES}, {JA_PARAGRAPHS[len(lines_sql(JA_LINES)) + 2:]},
+    f"""WITH {JA_SENTENCES}, {PARAGRAPHS},
 x AS (SELECT doc_id, count(*) AS n, avg(length(s)) AS mean, stddev_pop(length(s)) / avg(length(s)) AS cv, avg(CASE WHEN length(s) > 100 THEN 1.0 ELSE 0 END) AS far, sum(length(s) - length(replace(s, '、', ''))) / count(*) AS commas, 1000.0 * sum(len(regexp_extract_all(s, '{M.DEMONSTRATIVES}'))) / sum(length(s)) AS demo, avg(CASE WHEN regexp_matches(s, '^({'|'.join(sorted(M.SENTENCE_CONJUNCTIONS, key=len, reverse=True))})') THEN 1.0 ELSE 0 END) AS leads FROM sentences GROUP BY 1),
 y AS (SELECT doc_id, CASE WHEN count(*) >= 3 THEN coalesce(stddev_pop(k) / nullif(avg(k), 0), 0) END AS cv FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(body, '[。！？\\n]'), lambda x: {STRIP.format('x')} <> '')) AS k FROM par) GROUP BY 1),
 d AS (SELECT doc_id, {JA_LINES} AS text FROM documents WHERE text IS NOT NULL),
@@ -610,7 +610,22 @@ def trigger_accuracy(spark, d):
     return study.trigger_accuracy(cases).select("set", "n", F.round("accuracy", 9).alias("accuracy"), "positive")
 
 
-@query("full_lint")
+@query(
+    "full_lint",
+    f"""WITH {FINDINGS}, {PARAGRAPHS}, p AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY ix) AS s2 FROM sentences),
+pc AS (SELECT doc_id, regexp_matches({STRIP.format('lead')}, '^({'|'.join(LATIN.conjunctions)})') AS hit, len(list_filter(regexp_split_to_array(body, '[.!?\\n]'), lambda x: {STRIP.format('x')} <> '')) AS k FROM par),
+pr AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE hit) AS h, coalesce(stddev_pop(k) / nullif(avg(k), 0), 0) AS cv FROM pc GROUP BY 1),
+bu AS (SELECT doc_id, count(*) FILTER (WHERE {STRIP.format('t')} <> '') AS n, count(*) FILTER (WHERE regexp_matches(t, '^\\s*([-*+]|\\d+[.)])(\\s|$)')) AS b FROM lines GROUP BY 1),
+de AS (SELECT doc_id, length(text) AS size, len(regexp_extract_all(text, '\\*\\*[^*\\n]+\\*\\*')) AS bold, len(regexp_extract_all(text, '{LATIN.phase}')) AS phases, len(regexp_extract_all(text, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{2B50}}\\x{{2705}}\\x{{274C}}\\x{{2757}}\\x{{2753}}]')) AS emoji FROM documents WHERE text IS NOT NULL),
+everything AS (SELECT category, severity FROM findings UNION ALL SELECT 'english_syntax_cleft_because', 'warn' FROM p WHERE regexp_matches(s, '{LATIN.cleft}') AND regexp_matches(s2, '{LATIN.because}')
+UNION ALL SELECT 'paragraph_lead_conjunction', 'info' FROM pc JOIN pr ON pr.doc_id = pc.doc_id WHERE hit AND n >= {DEFAULT.conjunction_min_paragraphs} AND h >= {DEFAULT.conjunction_ratio} * n
+UNION ALL SELECT 'uniform_paragraph_structure', 'info' FROM pr WHERE n >= {DEFAULT.uniform_min_paragraphs} AND cv < {DEFAULT.uniform_cv}
+UNION ALL SELECT 'high_bullet_ratio', 'info' FROM bu WHERE n >= {DEFAULT.bullet_min_lines} AND b >= {DEFAULT.bullet_ratio} * n
+UNION ALL SELECT 'high_bold_density', 'info' FROM de WHERE bold >= {DEFAULT.bold_min} AND bold * 1000.0 / greatest(size, 1) >= {DEFAULT.bold_per_1000}
+UNION ALL SELECT 'numbered_phase_structure', 'info' FROM de WHERE phases >= {DEFAULT.phase_min}
+UNION ALL SELECT 'high_emoji_symbol_density', 'info' FROM de WHERE emoji >= {DEFAULT.emoji_min} AND emoji * 1000.0 / greatest(size, 1) >= {DEFAULT.emoji_per_1000})
+SELECT category, severity, count(*) AS n FROM everything GROUP BY 1, 2""",
+)
 def full_lint(spark, d):
     return lint.run_full_lint(prepared(spark, d), LATIN).groupBy("category", "severity").agg(F.count("*").alias("n"))
 
