@@ -173,3 +173,47 @@ def test_terms_follow_morphemes(spark):
     pieces = "transform(case when l.text like '東京タワーとは' then array('東京', 'タワー', 'とは') when l.text like '東京%' then array('東京', 'タワー', '（塔）は', 'HTTP', 'で', ' ', 'Big', ' ', 'Data') else array('カタ', ' ', 'カタカナ', '語') end, p -> struct(p as surface, '名詞' as pos0, if(p = '東京', '固有名詞', '*') as pos1, instr(l.text, p) - 1 as begin, instr(l.text, p) - 1 + length(p) as end))"
     got = [(r["term"], r["first_line"], r["count"], r["has_gloss_hint"]) for r in outline.term_inventory(docs, pieces).sort("first_line", "place").collect()]
     assert got == [("東京", 1, 2, True), ("タワー", 1, 2, True), ("HTTP", 2, 1, True), ("Big", 2, 1, True), ("Data", 2, 1, True), ("カタカナ", 3, 1, True)]
+
+
+def analysed(spark, text, sentences):
+    """A document with analyser rows: per sentence its line and (surface, pos0, pos1, dict_form, reading)."""
+    rows = []
+    for k, (line, words) in enumerate(sentences):
+        at = 0
+        for i, (x, p0, p1, form, reading) in enumerate(words):
+            rows.append((1, line, k, i, x, p0, p1, form or x, reading or x, at, at + len(x)))
+            at += len(x)
+    m = spark.createDataFrame(rows, "doc_id int, line_no int, sent_ix int, ix int, surface string, pos0 string, pos1 string, dict_form string, reading string, begin int, end int")
+    return morphemes.attach_precomputed(lint.prepare(spark.createDataFrame([(1, text)], "doc_id int, text string")), m)
+
+
+def noun(x, kind="普通名詞"):
+    return (x, "名詞", kind, None, None)
+
+
+def test_able_to_construction(spark):
+    words = [noun("価値"), ("を", "助詞", "*", None, None), ("高める", "動詞", "*", None, None), noun("こと"), ("が", "助詞", "*", None, None), ("できる", "動詞", "*", None, None)]
+    found = lint.run_lint(analysed(spark, "価値を高めることができる。", [(1, words)]), JA).filter("category = 'translationese_morph'").collect()
+    assert [(r.line, r.excerpt) for r in found] == [(1, "価値を高めることができる")]
+
+
+def test_low_specificity_of_paragraphs(spark):
+    vague, named = "価値の本質と可能性を考える重要性。" * 8, "東京で三月に百人が働く会社の計画。" * 8
+    words = [noun(x) for x in ("価値", "本質", "可能性", "重要性")] * 4
+    names = [noun(x, "固有名詞") for x in ("東京", "三月", "会社", "計画")] * 4
+    sentences = [(1, words)] * 8 + [(3, names)] * 8
+    found = lint.run_lint(analysed(spark, f"{vague}\n\n{named}", sentences), JA, experimental=True, categories=["low_specificity"]).collect()
+    assert [r.line for r in found] in ([1], [])  # abstract nouns are a fixed list
+    from prosemill.rules import packs
+
+    own = [noun(x) for x in packs.ABSTRACT_NOUNS[:4]] * 4
+    found = lint.run_lint(analysed(spark, f"{vague}\n\n{named}", [(1, own)] * 8 + [(3, names)] * 8), JA, experimental=True, categories=["low_specificity"]).collect()
+    assert [r.line for r in found] == [1]
+
+
+def test_no_nominal_ending(spark):
+    said = [noun("話"), ("が", "助詞", "*", None, None), ("続く", "動詞", "*", None, None)]
+    text = ("話が続く" + "あ" * 500 + "。") * 5
+    found = lint.run_lint(analysed(spark, text, [(1, said)] * 5), JA, categories=["nominal_ending"]).collect()
+    assert [(r.line, r.category) for r in found] == [(1, "nominal_ending")]
+    assert lint.run_lint(analysed(spark, text, [(1, said)] * 4 + [(1, [*said, noun("事")])]), JA, categories=["nominal_ending"]).count() == 0
