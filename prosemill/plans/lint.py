@@ -67,10 +67,11 @@ def clean_text(prepared: DataFrame, longest: int = 2000) -> DataFrame:
 
 
 def findings_json(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per document of ``docs`` (doc_id): its findings as one JSON object, in their order, with counts by category."""
-    fields = ("line", "category", "excerpt", "severity", "detail", "related_lines")
+    """Per document of ``docs`` (doc_id): its findings as one JSON object, in their order, with counts by category; each has its ``status`` where there is one."""
+    fields = ("line", "category", "excerpt", "severity", "detail", "related_lines", *(("status",) if "status" in findings.columns else ()))
     own = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", *fields))).alias("f"))
-    listed = F.coalesce(F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in fields])), F.expr("array()").cast(f"array<{FINDING}>"))
+    kind = FINDING[:-1] + ",status:string>" if "status" in fields else FINDING
+    listed = F.coalesce(F.transform("f", lambda x: F.struct(*[x[c].alias(c) for c in fields])), F.expr("array()").cast(f"array<{kind}>"))
     rows = docs.select("doc_id").join(own, "doc_id", "left").select("doc_id", listed.alias("findings"))
     counts = F.expr("map_from_entries(transform(array_sort(array_distinct(transform(findings, x -> x.category))), c -> struct(c, size(filter(findings, x -> x.category = c)))))")
     return rows.select("doc_id", F.to_json(F.struct(F.size("findings").alias("count"), counts.alias("by_category"), "findings"), {"ignoreNullFields": "false"}).alias("json"))

@@ -109,6 +109,15 @@ def rhythm_humans(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return kept.select("doc_id", "text", F.when(F.col("place") == "aozora", "essay").otherwise(F.coalesce("__genre", F.lit("unknown"))).alias("genre"))
 
 
+def classifier_rows(docs: DataFrame, sources: DataFrame, prefixes: tuple[str, ...] = GENRE_PREFIXES) -> DataFrame:
+    """Documents with group (human or ai), model_or_source, genre and quality; ids are made of the folder and the file."""
+    ai, aozora = F.col("place") == "ai", F.col("place") == "aozora"
+    name = F.when(ai, F.concat(F.lit("ai/"), F.col("model"), F.lit("/"))).otherwise(F.concat(F.lit("human_"), F.col("place"), F.lit("/")))
+    genre = F.when(ai, genre_of(F.col("doc_id"), prefixes)).otherwise(F.coalesce("__genre", F.when(aozora, "essay").otherwise("unknown")))
+    quality = F.when(ai, "n/a").when(aozora, F.when(F.coalesce(F.col("register") == "modern-colloquial-classic", F.lit(False)), "high").otherwise("other")).otherwise(F.coalesce("quality", F.lit("unknown")))
+    return _placed(docs, sources).select(F.concat(name, "doc_id").alias("doc_id"), F.when(ai, "ai").otherwise("human").alias("grp"), F.coalesce("model", "place").alias("model_or_source"), genre.alias("genre"), quality.alias("quality"), "text")
+
+
 def with_front_matter(df: DataFrame, fields: list[str], body: str = "text") -> Column:
     """A document with a header of ``fields`` between two rules."""
     head = [F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]

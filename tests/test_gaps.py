@@ -98,6 +98,7 @@ def test_corpus_groups(spark, corpus):
     assert sorted((r.doc_id, r.grp) for r in D.calibration_groups(docs, sources).collect()) == [("a", "human_web"), ("b", "human_business"), ("b", "human_web"), ("business-1", "ai"), ("business-1", "ai_business"), ("c", "human_aozora"), ("d", "human_web"), ("other", "ai")]
     assert sorted((r.doc_id, r.bucket, r.genre, r.model) for r in D.perplexity_buckets(docs, sources).collect()) == [("a", "human_high", "tech", None), ("b", "human_ordinary", "business", None), ("business-1", "ai:gpt", "business", "gpt"), ("c", "human_high", "essay", None), ("d", "human_high", "unknown", None), ("other", "ai:gpt", "unknown", "gpt")]
     assert sorted((r.doc_id, r.genre) for r in D.rhythm_humans(docs, sources).collect()) == [("a", "tech"), ("c", "essay")]
+    assert sorted((r.doc_id, r.grp, r.model_or_source, r.genre, r.quality) for r in D.classifier_rows(docs, sources).collect())[:3] == [("ai/gpt/business-1", "ai", "gpt", "business", "n/a"), ("ai/gpt/other", "ai", "gpt", "unknown", "n/a"), ("human_aozora/c", "human", "aozora", "essay", "high")]
     docs, errors = D.read_texts(spark, str(corpus / "nowhere"))
     assert (docs.count(), [r.error for r in errors.collect()]) == (0, ["missing"])
 
@@ -131,6 +132,9 @@ def test_findings_json(spark):
     got = {r.doc_id: json.loads(r.json) for r in lint.findings_json(docs, lint.run_lint(docs, JA, categories=["forbidden_phrase"])).collect()}
     assert got[1]["count"] == 2 and got[1]["by_category"] == {"forbidden_phrase": 2} and [f["line"] for f in got[1]["findings"]] == [1, 2]
     assert got[2] == {"count": 0, "by_category": {}, "findings": []}
+    assert "status" not in got[1]["findings"][0] and got[1]["findings"][0]["related_lines"] is None
+    found = lint.run_lint(docs, JA, categories=["forbidden_phrase"]).withColumn("status", F.lit("new"))
+    assert json.loads(lint.findings_json(docs, found).filter("doc_id = 1").first().json)["findings"][1]["status"] == "new"
 
 
 def test_grouped_ridge(spark):
@@ -207,3 +211,15 @@ def test_reports(spark):
     assert reports.term_reports(spark.createDataFrame([(1, "A", 2, 0, 3, True), (1, "B", 1, 0, 1, False)], "doc_id int, term string, first_line int, place int, count int, has_gloss_hint boolean")).first().report == "L1 B x1\nL2 A* x3"
     text = reports.evaluation_report(spark.createDataFrame([("memo", 2, 1, 0.5)], "doctype string, judged int, lost int, loss_rate double"), spark.createDataFrame([("f", 1.0)], "file string, score double"))
     assert "## Loss rates" in text and "| memo | 2 | 1 | 0.5 |" in text and "## Issue clusters" in text
+
+
+def test_stimuli_and_perplexity(spark):
+    from prosemill.operators import morphemes
+
+    docs = lint.prepare(spark.createDataFrame([(1, "アアア。\nアアアアア。")], "doc_id int, text string"), JA)
+    got = metrics.stimulus_metrics(morphemes.attach_approximate(docs)).first()
+    assert (got.characters, got.sentences, got.mora_mean, got.mora_sd, got.mora_cv) == (11, 2, 4.0, 1.0, 0.25)
+    rows = [(1, None, 2.0), (1, 1, 0.0), (1, 2, 1.0), (1, 3, 20.0), (1, 4, float("nan")), (2, 1, float("inf"))]
+    got = {r.doc_id: r for r in metrics.perplexity_summary(spark.createDataFrame(rows, "doc_id int, line int, loss double")).collect()}
+    assert (got[1].doc_perplexity, got[1].n, got[1]["mean"]) == (pytest.approx(np.exp(2)), 2, pytest.approx((1 + np.e) / 2))
+    assert (got[2].doc_perplexity, got[2].n) == (None, 0)
