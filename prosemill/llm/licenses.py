@@ -8,9 +8,11 @@ ones, as many as leave no place unseen (a place may miss ``1 - min_share`` of th
 words, those that the file lacks are among them, so two more than may still be
 missed are enough for two votes). Every occurrence of such a word votes for the
 place at which the template would begin (file position minus template position);
-places where enough rare words agree are aligned word by word, and a template is
-reported when enough of its words agree and its mandatory key phrases stand
-inside the aligned range.
+places where enough rare words agree are aligned word by word. Each line of a
+template is such a part of its own; parts in their order and near each other are
+one licence, which is reported when enough of the template's words agree and its
+mandatory key phrases stand inside the range. So a changed name or other numbers
+of clauses do not hide a long licence.
 
 Base phrases are found beside it: places where a phrase's words stand
 consecutively.
@@ -49,19 +51,21 @@ The above copyright notice and this permission notice shall be included in all c
 THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 _BSD_OPENING = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
 _BSD_CONDITIONS = """
-1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
-2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _BSD_NAME = """
-3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
 _BSD_DISCLAIMER = """
-THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 _ZLIB = """This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution."""
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+This notice may not be removed or altered from any source distribution."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain.
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at
@@ -106,8 +110,10 @@ TEMPLATES = [
 class ScanRules:
     #: Rare words that must agree on a place.
     min_votes: int = 2
-    #: Share of a template's words that must agree there.
+    #: Share of the words of a part, and of a template, that must agree.
     min_share: float = 0.7
+    #: Words that may stand between two parts of a template.
+    max_gap: int = 50
 
 
 def _hashes(phrase: str) -> np.ndarray:
@@ -123,7 +129,10 @@ class Scanner:
     def __init__(self, templates=TEMPLATES, base=BASE_PHRASES, rules: ScanRules | None = None):
         self.rules = rules or ScanRules()
         self.labels = [label for label, _, _ in templates]
-        self.words = [_hashes(text) for _, text, _ in templates]
+        #: Every line of a template is a part, aligned on its own: (template, number) and its words.
+        self.parts = [(k, i) for k, (_, text, _) in enumerate(templates) for i in range(text.count("\n") + 1)]
+        self.words = [_hashes(line) for _, text, _ in templates for line in text.split("\n")]
+        self.total = [len(_hashes(text)) for _, text, _ in templates]
         self.keys = [[_hashes(k) for k in keys] for _, _, keys in templates]
         self.base = [(_hashes(phrase), label) for phrase, label in base]
         self.vocabulary = np.unique(np.concatenate([*self.words, *[h for h, _ in self.base], *[k for own in self.keys for k in own]]))
@@ -187,26 +196,53 @@ class Scanner:
                 x["first_word"] = p if x["first_word"] is None else min(p, x["first_word"])
                 x["last_word"] = p if x["last_word"] is None else max(p, x["last_word"])
                 x["base_labels"].add(label)
-        inside = {}
-        for r, k, b in self.begins(len(t), rows[hit], word, hit):
+        placed: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for r, part, b in self.begins(len(t), rows[hit], word, hit):
             low, high = int(w.bounds[r]), int(w.bounds[r + 1])
-            own = self.words[k]
+            own = self.words[part]
             a, e = max(b, low), min(b + len(own), high)
-            same = h[a:e] == own[a - b : e - b]
-            score = int(same.sum()) / len(own)
-            if score < self.rules.min_share:
-                continue
-            for i, phrase in enumerate(self.keys[k]):
-                if (k, i) not in inside:
-                    inside[k, i] = self.places(phrase, w, h, hit, rows)
-                at = inside[k, i]
-                j = np.searchsorted(at, a)
-                if j >= len(at) or at[j] + len(phrase) > e:
-                    break
-            else:
-                out[r]["matches"].append((self.labels[k], a - low, e - low, score))
+            same = int((h[a:e] == own[a - b : e - b]).sum())
+            if same >= self.least[part]:
+                k, i = self.parts[part]
+                placed.setdefault((r, k), []).append((a, e, i, same))
+        inside = {}
+        for (r, k), found in placed.items():
+            for a, e, score in self.chained(found, self.total[k]):
+                for i, phrase in enumerate(self.keys[k]):
+                    if (k, i) not in inside:
+                        inside[k, i] = self.places(phrase, w, h, hit, rows)
+                    at = inside[k, i]
+                    j = np.searchsorted(at, a)
+                    if j >= len(at) or at[j] + len(phrase) > e:
+                        break
+                else:
+                    low = int(w.bounds[r])
+                    out[r]["matches"].append((self.labels[k], a - low, e - low, score))
         return out
 
+    def chained(self, placed: list[tuple[int, int, int, int]], total: int) -> Iterator[tuple[int, int, float]]:
+        """Range and score of runs of placed parts (first word, end, number, equal words) that have enough of the template's words.
+
+        A part follows the best run of lower parts that ends at most ``max_gap`` words
+        before it; a run that another goes on from is not reported itself.
+        """
+        placed = sorted(placed)
+        best, first, used = [], [], [False] * len(placed)
+        longest = max(e - a for a, e, _, _ in placed)
+        at = 0
+        for j, (a, _, number, same) in enumerate(placed):
+            while placed[at][0] + longest + self.rules.max_gap < a:
+                at += 1
+            before = max((i for i in range(at, j) if placed[i][2] < number and 0 <= a - placed[i][1] <= self.rules.max_gap), key=lambda i: best[i], default=None)
+            best.append(same + (0 if before is None else best[before]))
+            first.append(a if before is None else first[before])
+            if before is not None:
+                used[before] = True
+        least = math.ceil(self.rules.min_share * total - 1e-9)
+        for (_, e, _, _), n, a, goes_on in zip(placed, best, first, used, strict=True):
+            if n >= least and not goes_on:
+                yield a, e, n / total
+
 
 _MATCH = pa.struct([("label", pa.string()), ("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 _SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, matches array<struct<label:string,first:bigint,end:bigint,score:double>>"
