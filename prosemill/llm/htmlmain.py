@@ -8,7 +8,8 @@ spread over the pages). Their weighted sum, drawn towards 1 while the host has
 shown few pages, is the branch's importance. A branch of low importance is
 removed from each page of the host. The branch that holds most of the host's
 different text is its home: it and what is around it are never removed, and
-inside it only branches of very low importance are.
+inside it only branches of very low importance are. A page of which the tree would
+leave nothing, as copies of one text in a rarer layout, is left to names alone.
 
 Names come after the tree. What the tree leaves is removed if its tag, or a whole
 class name, id or role, says that it is no main text (menus, headers, footers,
@@ -284,7 +285,7 @@ class Page:
         return {x for x, n in inside.items() if 2 * n > total and not x.words & FIRM and x.tag not in NAMED_TAGS - {"form"}}
 
     def judged(self, low: frozenset[int], homes: frozenset[int], names: bool = True) -> tuple[set[Node], set[Node]]:
-        """Elements inside branches that the tree removes, and inside those that names do."""
+        """Elements inside branches that the tree removes, and inside those that names do; a tree that leaves a page nothing is not asked."""
         kept = self.wrappers() if names and any(x.words for x in self.nodes) else set()
         by_tree: set[Node] = set()
         by_name: set[Node] = set()
@@ -293,6 +294,8 @@ class Page:
                 by_tree.add(x)
             elif x.parent in by_name or (names and x.words and x not in kept and x.key not in homes):
                 by_name.add(x)
+        if by_tree and not any(not raw.isspace() for block in self.blocks for x, raw in block if x not in by_tree and x not in by_name):
+            return self.judged(frozenset(), homes, names)
         return by_tree, by_name
 
     def style(self) -> Iterator[tuple[int, str, int, int, list[int] | None]]:

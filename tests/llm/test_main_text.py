@@ -45,6 +45,12 @@ def test_a_home_is_kept_whatever_its_name(spark):
     assert all(r.text.endswith(f"the only text of page {r.page_id}") for r in got)
 
 
+def test_copies_in_a_rarer_layout_stay(spark):
+    rows = [(k, "http://h/", f"<div class='a'><p>Text {k} of many different ones on this host</p></div>", "") for k in range(30)] + [(100 + k, "http://h/", "<div class='b'><p>One notice, copied</p></div>", "") for k in range(9)]
+    got = {r.page_id: r.text for r in htmlmain.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[100 + k] == "One notice, copied" for k in range(9)) and got[3].startswith("Text 3")
+
+
 def brute_tree(pages, rules):
     """Importance and mass of every branch, page by page and branch by branch, from the branch's path."""
     path = lambda x: tuple(y.key for y in x.above())
