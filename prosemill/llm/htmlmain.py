@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import written
+from .shared import drop, written
 from .urlfilter import host_of
 
 #: Elements that are never rendered as text of a page.
@@ -353,13 +353,12 @@ def style_tree(pages: DataFrame, rules: TreeRules) -> DataFrame:
     )
 
 
-def low_importance(pages: DataFrame, rules: TreeRules) -> DataFrame:
-    """``host`` with its unimportant branches (``keys``) and those that hold most of its text (``homes``)."""
+def low_importance(tree: DataFrame, rules: TreeRules) -> DataFrame:
+    """From ``style_tree``: ``host`` with its unimportant branches (``keys``) and those that hold most of its text (``homes``)."""
     limit = F.when(F.col("inside"), rules.min_inside).otherwise(rules.min_importance)
     low = ~F.col("home") & (F.col("m") >= rules.min_pages) & (F.col("importance") < limit)
     home = F.col("home") & (F.col("m") >= rules.min_pages) & (F.col("key") != 0)
-    tree = style_tree(pages, rules).filter(low | home)
-    return tree.groupBy("host").agg(F.collect_list(F.when(low, F.col("key"))).alias("keys"), F.collect_list(F.when(home, F.col("key"))).alias("homes"))
+    return tree.filter(low | home).groupBy("host").agg(F.collect_list(F.when(low, F.col("key"))).alias("keys"), F.collect_list(F.when(home, F.col("key"))).alias("homes"))
 
 
 def main_text(html: str | None, low: frozenset[int] = frozenset(), homes: frozenset[int] = frozenset(), names: bool = True) -> str:
@@ -374,7 +373,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rules = rules or TreeRules()
     T.prepare(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    low = written(low_importance(rows.select("host", "html"), rules), "style")
+    tree = style_tree(rows.select("host", "html"), rules)
+    low = written(low_importance(tree, rules), "style")
+    drop(tree)
     small = low.select(F.coalesce(F.sum(F.size("keys") + F.size("homes")), F.lit(0))).first()[0] <= rules.broadcast_rows
     joined = rows.join(F.broadcast(low) if small else low, "host", "left").select("__id", "__url", "html", "keys", "homes")
 

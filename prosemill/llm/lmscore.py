@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import written
+from .shared import drop, written
 
 BLOCK_ROWS = 4_000_000
 #: Target ids that are broadcast (16 bytes each); more of them are joined with a shuffle.
@@ -80,11 +80,11 @@ def count_grams(texts: DataFrame, name: str) -> DataFrame:
 
 
 def losses(target: DataFrame, whole: DataFrame, rules: LmRules) -> DataFrame:
-    """``gram`` with its loss under either model, for every four-gram of the corpus, from its counts in the target (t) and in all rows (b)."""
-    counts = written(whole.join(target, "gram", "left").select("gram", (F.col("b") - F.coalesce("t", F.lit(0))).alias("b"), F.coalesce("t", F.lit(0)).alias("t")), "grams")
-    tokens = counts.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
+    """``gram`` with its loss under either model, for every four-gram of the corpus, from its counts in the target (t) and in all rows (b). Written."""
+    grams = written(whole.join(target, "gram", "left").select("gram", (F.col("b") - F.coalesce("t", F.lit(0))).alias("b"), F.coalesce("t", F.lit(0)).alias("t")), "grams")
+    tokens = grams.agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
     share = (tokens.t or 0) / tokens.b if tokens.b and tokens.t else 1.0
-    counts = counts.withColumn("b", F.col("b") * F.lit(share))
+    counts = grams.withColumn("b", F.col("b") * F.lit(share))
 
     def smoothed(order: int, lower: DataFrame | None) -> DataFrame:
         mask = (1 << 8 * order) - 1
@@ -98,12 +98,14 @@ def losses(target: DataFrame, whole: DataFrame, rules: LmRules) -> DataFrame:
         k = rules.strength
         return own.select("g", ((F.col("t") + k * F.col("lt")) / (F.col("ct") + k)).alias("pt"), ((F.col("b") + k * F.col("lb")) / (F.col("cb") + k)).alias("pb"))
 
-    model = None
-    for order in (1, 2, 3, 4):
-        model = smoothed(order, model)
-        if order < 4:
-            model = written(model, f"order{order}")
-    return model.select(F.col("g").alias("gram"), (-F.log("pt")).cast("float").alias("target_loss"), (-F.log("pb")).cast("float").alias("background_loss"))
+    orders: list[DataFrame] = []
+    for order in (1, 2, 3):
+        orders.append(written(smoothed(order, orders[-1] if orders else None), f"order{order}"))
+    out = smoothed(4, orders[-1]).select(F.col("g").alias("gram"), (-F.log("pt")).cast("float").alias("target_loss"), (-F.log("pb")).cast("float").alias("background_loss"))
+    out = written(out, "losses")
+    for used in (grams, *orders):
+        drop(used)
+    return out
 
 
 def score_cross_entropy(df: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LmRules | None = None) -> DataFrame:
@@ -117,7 +119,7 @@ def score_cross_entropy(df: DataFrame, target_ids: DataFrame, id_col: str = "doc
     docs = df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     ids = written(target_ids.select(F.col(target_ids.columns[0]).alias("__id")).distinct(), "targets")
     chosen = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "__id", "left_semi")
-    table = written(losses(count_grams(chosen.select("__text"), "t"), count_grams(docs.select("__text"), "b"), rules), "losses")
+    table = losses(count_grams(chosen.select("__text"), "t"), count_grams(docs.select("__text"), "b"), rules)
     blocks = max(1, -(-table.count() // BLOCK_ROWS))
     out = docs.select("__id", "__text", F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("t"), F.lit(0.0).alias("b"))
     schema = out.schema
@@ -142,5 +144,7 @@ def score_cross_entropy(df: DataFrame, target_ids: DataFrame, id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__text"), pa.array(np.diff(t.bounds)), pa.array(b.column("t").to_numpy() + part[0]), pa.array(b.column("b").to_numpy() + part[1])], names=[x.name for x in schema])
 
         out = out.mapInArrow(run, schema)
+    for used in (table, ids):  # what the result needs of them has been sent out
+        drop(used)
     n = F.nullif(F.col("n"), F.lit(0))
     return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("t") / n).alias("target_loss"), (F.col("b") / n).alias("background_loss"), ((F.col("t") - F.col("b")) / n).alias("score"))
