@@ -233,13 +233,17 @@ def lexical_diversity(_: Pack, p: Profile) -> str:
     return let(content, "c", f"if(length(text) >= {p.diversity_min_chars} and size(c) >= {p.diversity_min_tokens}, {let('size(array_distinct(c)) / size(c)', 'r', let(mtld('c'), 'd', both))}, {NONE})")
 
 
-def low_specificity(_: Pack, p: Profile) -> str:
-    """Paragraphs of abstract nouns without names, numbers or examples; reads ``paragraph_tokens`` (morphemes of a paragraph's lines)."""
+def specificity_score(p: Profile) -> str:
+    """SQL: of a paragraph ``g`` (lines, morphemes): the weighted shares of names, numbers and examples less those of abstract nouns; null for short ones."""
     body = "array_join(transform(g.lines, l -> l.masked), '\\n')"
     score = f"size(filter(c, m -> m.pos1 = '固有名詞')) * {p.proper_weight}D / size(c) + regexp_count({body}, {quoted(packs.NUMERIC_QUANTITY)}) * {p.numeric_weight}D / size(c) + if(exists({words(packs.EXAMPLE_MARKERS)}, w -> contains({body}, w)), {p.example_bonus}D, 0D) - size(filter(c, m -> m.pos0 = '名詞' and array_contains({words(packs.ABSTRACT_NOUNS)}, m.dict_form))) * {p.abstract_weight}D / size(c)"
+    return let(f"filter(g.morphemes, m -> m.pos0 in {packs.CONTENT_POS})", "c", f"if(length({body}) >= {p.specificity_min_chars} and size(c) >= {p.specificity_min_words}, {score}, cast(null as double))")
+
+
+def low_specificity(_: Pack, p: Profile) -> str:
+    """Paragraphs of abstract nouns without names, numbers or examples; reads ``paragraph_tokens`` (morphemes of a paragraph's lines)."""
     hit = finding("g.lines[0].no", "low_specificity", "substring(g.lines[0].raw, 1, 40)", "'info'", "'abstract nouns without names, numbers or examples'")
-    own = let(f"filter(g.morphemes, m -> m.pos0 in {packs.CONTENT_POS})", "c", f"if(length({body}) >= {p.specificity_min_chars} and size(c) >= {p.specificity_min_words}, if({score} < {p.specificity}D, array({hit}), {NONE}), {NONE})")
-    return f"flatten(transform(paragraph_tokens, g -> {own}))"
+    return f"flatten(transform(paragraph_tokens, g -> if({specificity_score(p)} < {p.specificity}D, array({hit}), {NONE})))"
 
 
 def inanimate_morphemes(_: Pack, __: Profile) -> str:

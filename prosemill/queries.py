@@ -13,7 +13,7 @@ from .operators import calibration as C
 from .operators import metrics as M
 from .operators import morphemes, outline, semantic, study
 from .operators.detectors import MORPHEMES
-from .plans import lint
+from .plans import lint, sweeps
 from .rules.packs import DEFAULT, JA, LATIN, PROFILES
 from .sources.documents import dealt_out
 from .streaming.submissions import latest_by_key
@@ -713,6 +713,44 @@ def analyser_findings(spark, d):
     return found.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
+SWEPT = ["low_burstiness", "high_length_autocorrelation", "low_sentence_variance", "nominal_ending", "paragraph_lead_conjunction", "uniform_paragraph_structure", "antithesis_repetition", "repeated_sentence_lead", "repeated_syntax_template", "low_lexical_diversity_ttr"]
+GRIDS = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {i}, {t}::DOUBLE, '{sweeps.SWEEPS[k][2]}')" for k in SWEPT for i, t in enumerate(sweeps.SWEEPS[k][1])) + ") g(metric, ix, threshold, op))"
+
+
+@query(
+    "detector_sweep",
+    f"""WITH {ANALYSED}, {PARAGRAPHS}, {GRIDS}, d AS (SELECT doc_id, length(text) AS size FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, ix, morae::DOUBLE AS m, lead(morae::DOUBLE) OVER (PARTITION BY doc_id ORDER BY ix) AS m2 FROM e),
+r AS (SELECT doc_id, count(*) AS n, stddev_pop(m) AS sd, avg(m) AS mean, CASE WHEN stddev_pop(m) FILTER (WHERE m2 IS NOT NULL) > 0 AND stddev_pop(m2) > 0 THEN (avg(m * m2) - avg(m) FILTER (WHERE m2 IS NOT NULL) * avg(m2)) / (stddev_pop(m) FILTER (WHERE m2 IS NOT NULL) * stddev_pop(m2)) END AS r FROM l GROUP BY 1),
+sv AS (SELECT doc_id, count(*) AS n, stddev_pop(length(s)) / avg(length(s)) AS cv FROM sentences GROUP BY 1),
+nominal AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE last = '名詞') AS k FROM (SELECT e.doc_id, e.ix, arg_max(pos, j) AS last FROM e JOIN t ON t.doc_id = e.doc_id AND t.ix = e.ix GROUP BY 1, 2) GROUP BY 1),
+pc AS (SELECT doc_id, regexp_matches({STRIP.format('lead')}, '^({'|'.join(LATIN.conjunctions)})') AS hit, len(list_filter(regexp_split_to_array(body, '[.!?\\n]'), lambda x: {STRIP.format('x')} <> '')) AS k FROM par),
+pr AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE hit) AS h, coalesce(stddev_pop(k) / nullif(avg(k), 0), 0) AS cv FROM pc GROUP BY 1),
+leads AS (SELECT doc_id, max(c) AS c FROM (SELECT doc_id, lead, count(*) AS c FROM e WHERE n >= 2 GROUP BY 1, 2) GROUP BY 1),
+tags AS (SELECT doc_id, max(c) AS c, sum(c) AS n FROM (SELECT doc_id, tags, count(*) AS c FROM e WHERE n >= 4 GROUP BY 1, 2) GROUP BY 1),
+div AS (SELECT doc_id, count(*) FILTER (WHERE pos IN ('名詞', '動詞', '形容詞')) AS n, count(DISTINCT w) FILTER (WHERE pos IN ('名詞', '動詞', '形容詞')) AS k FROM t GROUP BY 1),
+v AS (SELECT doc_id, 'low_burstiness' AS metric, (sd - mean) / (sd + mean) AS value FROM r WHERE n >= {DEFAULT.burstiness_min}
+UNION ALL SELECT doc_id, 'high_length_autocorrelation', r FROM r WHERE n >= {DEFAULT.burstiness_min} AND n - 1 >= {DEFAULT.autocorrelation_min}
+UNION ALL SELECT doc_id, 'low_sentence_variance', cv FROM sv WHERE n >= {DEFAULT.variance_min_sentences}
+UNION ALL SELECT n.doc_id, 'nominal_ending', k / n FROM nominal n JOIN d ON d.doc_id = n.doc_id WHERE n >= {DEFAULT.nominal_min_sentences} AND size >= {DEFAULT.nominal_min_chars}
+UNION ALL SELECT doc_id, 'paragraph_lead_conjunction', h / n FROM pr WHERE n >= {DEFAULT.conjunction_min_paragraphs} AND h > 0
+UNION ALL SELECT doc_id, 'uniform_paragraph_structure', cv FROM pr WHERE n >= {DEFAULT.uniform_min_paragraphs}
+UNION ALL SELECT doc_id, 'antithesis_repetition', hits FROM hh UNION ALL SELECT doc_id, 'repeated_sentence_lead', c FROM leads
+UNION ALL SELECT doc_id, 'repeated_syntax_template', c / n FROM tags WHERE n >= {DEFAULT.template_min}
+UNION ALL SELECT div.doc_id, 'low_lexical_diversity_ttr', k / n FROM div JOIN d ON d.doc_id = div.doc_id WHERE size >= {DEFAULT.diversity_min_chars} AND n >= {DEFAULT.diversity_min_tokens}),
+y AS (SELECT l.doc_id, quality = 1 AS is_base FROM labels l JOIN d ON d.doc_id = l.doc_id WHERE quality IS NOT NULL), n AS (SELECT count(*) FILTER (WHERE is_base) AS nb, count(*) FILTER (WHERE NOT is_base) AS na FROM y),
+c AS (SELECT g.metric, g.ix, g.threshold, count(*) FILTER (WHERE is_base) AS fp, count(*) FILTER (WHERE NOT is_base) AS hit FROM grid g JOIN v ON v.metric = g.metric AND CASE g.op WHEN 'lt' THEN value < threshold WHEN 'gt' THEN value > threshold WHEN 'le' THEN value <= threshold ELSE value >= threshold END JOIN y ON y.doc_id = v.doc_id GROUP BY 1, 2, 3),
+q AS (SELECT g.metric, g.ix, g.threshold, coalesce(fp, 0) / nb AS fp_rate, coalesce(hit, 0) / na AS hit_rate FROM grid g JOIN n ON true LEFT JOIN c ON c.metric = g.metric AND c.ix = g.ix)
+SELECT metric, threshold, round(fp_rate, 9) AS fp_rate, round(hit_rate, 9) AS hit_rate, fp_rate < 0.05 AND row_number() OVER (PARTITION BY metric ORDER BY fp_rate >= 0.05, hit_rate DESC, ix) = 1 AS recommended FROM q""".replace(SENTENCES, findings_sql(LATIN), 1),
+)
+def detector_sweep(spark, d):
+    """Ten detectors over their grids, with analyser rows of every document; quality labels tell the trusted ones."""
+    values = sweeps.detector_values(analysed(spark, d), LATIN, detectors=SWEPT)
+    labels = labelled(spark, d).select("doc_id", "is_base")
+    out = sweeps.sweep_detectors(values.join(labels, "doc_id"))
+    return out.filter(F.col("metric").isin(SWEPT)).select("metric", "threshold", F.round("fp_rate", 9).alias("fp_rate"), F.round("hit_rate", 9).alias("hit_rate"), "recommended")
+
+
 @query("morpheme_findings")
 def morpheme_findings(spark, d):
     """Rules over approximate morphemes of every document, with Japanese words: findings of each kind."""

@@ -223,3 +223,28 @@ def test_stimuli_and_perplexity(spark):
     got = {r.doc_id: r for r in metrics.perplexity_summary(spark.createDataFrame(rows, "doc_id int, line int, loss double")).collect()}
     assert (got[1].doc_perplexity, got[1].n, got[1]["mean"]) == (pytest.approx(np.exp(2)), 2, pytest.approx((1 + np.e) / 2))
     assert (got[2].doc_perplexity, got[2].n) == (None, 0)
+
+
+def test_values_fire_as_the_detectors_do(spark):
+    from prosemill.operators import morphemes
+    from prosemill.plans import sweeps
+    from prosemill.rules.packs import DEFAULT
+
+    rng = random.Random(8)
+    pieces = ["価値の本質を考える", "しかし東京で三月に働く", "速度ではなく精度だ", "会社の計画が続く", "可能性と重要性", "また例えば5人が学ぶ", "カタカナ語が増える", "それは品質を示す"]
+    rows = []
+    for k in range(24):
+        own = pieces[: 2 + k % 6]
+        rows.append((k, "\n\n".join("".join(rng.choice(own) * rng.choice([1, 1, 2]) + "。" for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 60)))))
+    docs = morphemes.attach_approximate(lint.prepare(spark.createDataFrame(rows, "doc_id int, text string"), JA))
+    found = {}
+    for r in lint.run_lint(docs, JA, experimental=True, categories=[*sweeps.SWEEPS, "low_lexical_diversity"]).select("doc_id", "category").distinct().collect():
+        found.setdefault(r.category, set()).add(r.doc_id)
+    defaults = {"low_burstiness": DEFAULT.burstiness, "high_length_autocorrelation": DEFAULT.autocorrelation, "low_sentence_variance": DEFAULT.variance_cv, "nominal_ending": DEFAULT.nominal_ratio, "paragraph_lead_conjunction": DEFAULT.conjunction_ratio, "uniform_paragraph_structure": DEFAULT.uniform_cv, "antithesis_repetition": DEFAULT.antithesis_min, "repeated_sentence_lead": DEFAULT.lead_repeat, "repeated_syntax_template": DEFAULT.template_ratio, "low_lexical_diversity_ttr": DEFAULT.ttr, "low_lexical_diversity_mtld": DEFAULT.mtld, "low_specificity": DEFAULT.specificity}
+    fires = {"lt": lambda v, t: v < t, "gt": lambda v, t: v > t, "le": lambda v, t: v <= t, "ge": lambda v, t: v >= t}
+    said = {}
+    for r in sweeps.detector_values(docs, JA).collect():
+        if r.value is not None and fires[sweeps.SWEEPS[r.metric][2]](r.value, defaults[r.metric]):
+            said.setdefault(r.metric, set()).add(r.doc_id)
+    assert said == found
+    assert len(found) >= 6
