@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+from pathlib import Path
+
 import pytest
 
 from prosemill.llm import neardup
 from prosemill.llm.neardup import filter_near_duplicates, link_classes
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 LONG = " ".join(f"w{k}" for k in range(60))
 OTHER = " ".join(f"z{k}" for k in range(60))
 
@@ -38,13 +43,23 @@ def test_a_cluster_in_blocks_keeps_its_pairs(spark):
     clusters = spark.createDataFrame([(1, k) for k in range(40)] + [(2, k) for k in range(5)], "cluster bigint, rep bigint")
     met = set()
     sizes = []
-    for group in neardup._dealt(clusters, 12).groupBy("cluster").agg({"rep": "collect_set"}).collect():
+    for group in neardup._dealt(clusters, "cluster", 12).groupBy("cluster").agg({"rep": "collect_set"}).collect():
         sizes.append(len(group[1]))
         met |= {(a, b) for a in group[1] for b in group[1] if a < b}
     assert met == {(a, b) for a in range(40) for b in range(a + 1, 40)}
     assert max(sizes) < 40 and len(sizes) > 10
 
 
+def test_blocks_change_no_class(spark, monkeypatch):
+    from test_operators import brute_links, near_copies
+
+    items = list(enumerate(near_copies(120)))
+    df = spark.createDataFrame(items, "doc_id int, text string")
+    monkeypatch.setattr(neardup._dealt, "__defaults__", (16, None))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in link_classes(df).collect()}
+    assert got == brute_links(items)
+
+
 def test_a_bitmap_of_keys(spark):
     keys = spark.range(0, 3000, 3).toDF("node")
     bitmap = neardup._Bitmap(keys)
