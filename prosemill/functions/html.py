@@ -32,29 +32,29 @@ def _replaced(text: Column, pattern: str, group: int, fill) -> Column:
     return _bound(text, lambda x: F.array_join(F.zip_with(F.split(x, pattern), F.regexp_extract_all(x, F.lit(pattern), F.lit(group)), lambda g, h: F.concat(g, F.coalesce(fill(h), F.lit("")))), ""))
 
 
-def convert_headings(html: Column) -> Column:
-    """`<h1>` to `<h6>` as Markdown headings between blank lines; an empty heading as nothing."""
-    for level in range(1, 7):
-        html = _replaced(html, rf"(?is)<h{level}(?:\s[^>]*)?>(.*?)</h{level}>", 1, _heading("\n\n" + "#" * level + " "))
-    return html
+#: A heading, and elements whose content is no text.
+HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h\1>"
+UNREAD = r"(?is)<(script|style|noscript)[^>]*>.*?</\1>"
+
 
+def convert_headings(html: Column) -> Column:
+    """`<h1>` to `<h6>` as Markdown headings between blank lines, their text decoded; an empty heading as nothing."""
 
-def _heading(lead: str):
-    def heading(inner: Column) -> Column:
-        words = F.trim(F.regexp_replace(F.regexp_replace(inner, r"(?s)<[^>]+>", ""), r"(?U)\s+", " "))
-        return _bound(words, lambda w: F.when(w != "", F.concat(F.lit(lead), w, F.lit("\n\n"))).otherwise(""))
+    def heading(hit: Column) -> Column:
+        inner = unescape_entities(F.regexp_replace(F.regexp_extract(hit, HEADING, 2), r"(?s)<[^>]+>", ""))
+        marks = F.repeat(F.lit("#"), F.substring(hit, 3, 1).cast("int"))
+        return _bound(F.trim(F.regexp_replace(inner, r"(?U)\s+", " ")), lambda w: F.when(w != "", F.concat(F.lit("\n\n"), marks, F.lit(" "), w, F.lit("\n\n"))).otherwise(""))
 
-    return heading
+    return _replaced(html, HEADING, 0, heading)
 
 
 def strip_tags(html: Column) -> Column:
     """Text of a page part: scripts gone, headings kept, breaks and paragraphs as lines, non-blank lines joined by blank ones."""
-    html = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1>", "")
-    html = convert_headings(html)
+    html = convert_headings(F.regexp_replace(html, UNREAD, ""))
     html = F.regexp_replace(html, r"(?i)<br\s*/?>", "\n")
     html = F.regexp_replace(html, r"(?i)</p>", "\n\n")
     text = unescape_entities(F.regexp_replace(html, r"(?s)<[^>]+>", ""))
-    trimmed = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     return F.array_join(F.filter(trimmed, lambda x: x != ""), "\n\n")
 
 

@@ -95,8 +95,7 @@ def perplexity_buckets(docs: DataFrame, sources: DataFrame) -> DataFrame:
     ai = F.col("place") == "ai"
     high = F.when(F.col("place") == "web", F.col("quality") == "high").otherwise(F.col("register") == "modern-colloquial-classic")
     bucket = F.when(ai, F.concat(F.lit("ai:"), F.col("model"))).when(F.coalesce(high, F.lit(False)), "human_high").otherwise("human_ordinary")
-    named = [p for p in PERPLEXITY_PREFIXES]
-    prefix = F.get(F.filter(F.array(*[F.lit(p) for p in named]), lambda p: F.startswith(F.col("doc_id"), F.concat(p, F.lit("-")))), F.lit(0))
+    prefix = F.get(F.filter(F.array(*[F.lit(p) for p in PERPLEXITY_PREFIXES]), lambda p: F.startswith(F.col("doc_id"), F.concat(p, F.lit("-")))), F.lit(0))
     genre = F.when(ai, F.coalesce(prefix, F.lit("unknown"))).when(F.col("place") == "aozora", "essay").otherwise(F.coalesce("__genre", F.lit("unknown")))
     return _placed(docs, sources).select("doc_id", "text", bucket.alias("bucket"), genre.alias("genre"), "model")
 

@@ -67,8 +67,8 @@ def test_directed_sweep(spark):
     rows = [("m", float(v), True) for v in range(1, 41)] + [("m", v, False) for v in (0.0, 0.5, 39.5, 41.0, 42.0)] + [("none", None, True)]
     df = spark.createDataFrame(rows, "metric string, value double, is_base boolean")
     assert tuple(C.directed_sweep(df).first()) == ("m", 39.5, "high", 0.025, 0.6)
-    assert tuple(C.directed_sweep(df, "low").first())[1:3] == (0.0, "low") or C.directed_sweep(df, "low").first().hit_rate == 0.4
-    assert [C.count_verdict(F.lit(x), k) is not None for x, k in ((0.1, "notation"),)] == [True]
+    low = C.directed_sweep(df, "low").first()
+    assert (low.direction, low.fp_rate) == ("low", 0.025) and low.hit_rate == 0.4
     got = spark.range(1).select(C.count_verdict(F.lit(0.04), "notation"), C.count_verdict(F.lit(0.2), "notation"), C.count_verdict(F.lit(0.2), "punctuation"), C.verdict(F.lit(0.04), F.lit(0.2)), C.verdict(F.lit(0.04), F.lit(0.1))).first()
     assert tuple(got) == ("GO", "CONDITIONAL", "NO-GO", "GO", "NO-GO")
 

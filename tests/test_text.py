@@ -60,6 +60,7 @@ def test_headings(spark):
 def test_entities_and_tags(spark):
     assert one(spark, "&amp;lt; &#65;&#x3042;&#xZ; &nbsp;x", html.unescape_entities(F.col("text"))) == "< Aあ&#xZ;  x"
     assert one(spark, "<script>a</script><h2 class='x'>b <i>c</i></h2><p>d<br>e</p><h3></h3>", html.strip_tags(F.col("text"))) == "## b c\n\nd\n\ne"
+    assert one(spark, "<H3>a &amp;lt; <b>b</b></H3>x\r\ny<h2>c<h1>d</h1></h2>", html.strip_tags(F.col("text"))) == "### a < b\n\nx\n\ny\n\n## cd"
 
 
 def test_baseline_of_itself_persists(spark):
