@@ -21,7 +21,7 @@ bytes for members of small nodes that are not alone, and the full sets of the
 documents with a likely partner. Nothing of document count goes to the driver;
 the one broadcast is a bitmap of at most ``FILTER_BITS`` bits, whose words are
 made by partial aggregation (past about that many keys it only stops saving work). Classes of copies
-do not meet in one task, and nodes and clusters of over ``GROUP`` members are compared as pairs of blocks in as many tasks: counts and minima are pre-aggregated and joins on a hot
+do not meet in one task, and a cluster of over ``GROUP`` near copies is verified as pairs of blocks in as many tasks: counts and minima are pre-aggregated and joins on a hot
 set leave its rows free to be split. A node that is still too large after
 ``max_depth`` levels is finished exactly, on the full sets: members that link to
 the node's pivot are one star, and every other member is compared with every
@@ -353,18 +353,16 @@ def _verified(rules: JoinRules):
     return f
 
 
-#: Members that are compared in one group at most.
+#: Members of a cluster that are verified in one group at most.
 GROUP = 512
 
 
-def _dealt(rows: DataFrame, key: str, limit: int = GROUP, counts: DataFrame | None = None) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, limit: int = GROUP) -> DataFrame:
     """Groups of more than ``limit`` rows as pairs of blocks, so that one group is the work of many tasks; all pairs of its rows still meet.
 
-    Blocks follow ``rep`` alone, so that equal groups stay equal. ``counts`` has the
-    size ``c`` of each group where it is known.
+    Blocks follow ``rep`` alone, so that equal groups stay equal.
     """
-    counts = rows.groupBy(key).agg(F.count("*").alias("c")) if counts is None else counts
-    sizes = counts.select(key, F.ceil(F.col("c") * 2 / limit).alias("__blocks")).filter(F.col("__blocks") > 2)
+    sizes = rows.groupBy(key).agg(F.ceil(F.count("*") * 2 / limit).alias("__blocks")).filter(F.col("__blocks") > 2)
     own, blocks = F.pmod(F.xxhash64("rep"), F.col("__blocks")), F.coalesce("__blocks", F.lit(1))
     each = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("__other")
     spread = rows.join(sizes, key, "left").select(*rows.columns, "__blocks", own.alias("__own"), each).filter("__blocks is null or __own <> __other")
@@ -466,7 +464,7 @@ def link_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         stats = written(stats, "stats")
         fits = (F.col("c") <= rules.node_limit) & ((F.col("s") <= rules.node_shingles) | (F.col("c") <= 2))
         once = written(stats.filter(fits).groupBy("c", "s", "h").agg(F.min("node").alias("node")), "once")  # the same members in several trees are compared once
-        small = _dealt(_among(level, once.select("node")), "node", counts=once)
+        small = _among(level, once.select("node"))
         more = stats.filter(~fits).limit(1).count()
         large = level.join(stats.filter(~fits).select("node"), "node")
         near = small.join(reps.select("rep", "short"), "rep").select("node", "rep", "n", "short").repartition("node").sortWithinPartitions("node").mapInArrow(_by_group(_likely(rules)), "cluster bigint, rep bigint")

@@ -55,7 +55,7 @@ def test_blocks_change_no_class(spark, monkeypatch):
 
     items = list(enumerate(near_copies(120)))
     df = spark.createDataFrame(items, "doc_id int, text string")
-    monkeypatch.setattr(neardup._dealt, "__defaults__", (16, None))
+    monkeypatch.setattr(neardup._dealt, "__defaults__", (16,))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in link_classes(df).collect()}
     assert got == brute_links(items)
 
