@@ -330,7 +330,7 @@ def matched_pairs(docs: DataFrame, value: str = "value", by: str = "genre") -> D
             human = human.iloc[line_assignment(ai.x.to_numpy(), human.x.to_numpy())]
         else:
             ai = ai.iloc[line_assignment(human.x.to_numpy(), ai.x.to_numpy())]
-        return pd.DataFrame({by: [key[0]] * len(ai), "ai_doc": ai.doc_id.to_numpy(), "human_doc": human.doc_id.to_numpy(), "ai_value": ai[value].to_numpy(float), "human_value": human[value].to_numpy(float)})
+        return pd.DataFrame({by: pd.Series([key[0]] * len(ai), dtype=object), "ai_doc": ai.doc_id.to_numpy(), "human_doc": human.doc_id.to_numpy(), "ai_value": ai[value].to_numpy(float), "human_value": human[value].to_numpy(float)})
 
     rows = docs.filter(F.col(value).isNotNull()).select(by, "doc_id", "n_chars", "is_ai", value)
     return rows.groupBy(by).applyInPandas(pair, f"{by} {kind}, ai_doc bigint, human_doc bigint, ai_value double, human_value double")

@@ -214,7 +214,7 @@ def grouped_ridge(answers: DataFrame, outcome: str, metrics: list[str], particip
         middle = x.mean(0)
         weights = np.linalg.solve((x - middle).T @ (x - middle) + np.eye(x.shape[1]), (x - middle).T @ (y - y.mean()))
         error = test.y.to_numpy() - ((table(test) - middle) @ weights + y.mean())
-        return pd.DataFrame({"metric": [key[0]], "error": [float(np.sqrt((error**2).mean()))]})
+        return pd.DataFrame({"metric": pd.Series([key[0]], dtype=object), "error": [float(np.sqrt((error**2).mean()))]})
 
     errors = rows.groupBy("metric", "held").applyInPandas(fit, "metric string, error double")
     return errors.groupBy("metric").agg(F.avg("error").alias("rmse")).select(F.lit(outcome).alias("outcome"), "metric", F.lit(folds).alias("grouped_cv_folds"), "rmse")

@@ -248,3 +248,9 @@ def test_values_fire_as_the_detectors_do(spark):
             said.setdefault(r.metric, set()).add(r.doc_id)
     assert said == found
     assert len(found) >= 6
+
+
+def test_genres_of_one_kind_have_no_pair(spark):
+    rows = [(1, "a", 10, 1.0, True), (2, "a", 12, 2.0, False), (3, "b", 10, 1.0, True), (4, None, 9, 1.0, False), (5, "a", 11, None, True)]
+    got = C.matched_pairs(spark.createDataFrame(rows, "doc_id int, genre string, n_chars int, value double, is_ai boolean")).collect()
+    assert [tuple(r) for r in got] == [("a", 1, 2, 1.0, 2.0)]
