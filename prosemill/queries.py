@@ -263,7 +263,7 @@ y AS (SELECT doc_id, CASE WHEN count(*) >= 3 THEN coalesce(stddev_pop(k) / nulli
 d AS (SELECT doc_id, {JA_LINES} AS text FROM documents WHERE text IS NOT NULL),
 m AS (SELECT doc_id, length(regexp_replace(text, '[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', '', 'g')) AS chars, {counts_sql(M.DOUBLE_NEGATION, 'text')} AS dn, {counts_sql(M.REDUNDANT, 'text')} AS red, len(regexp_extract_all(text, '[\\x{{4E00}}-\\x{{9FFF}}]')) AS kanji, len(regexp_extract_all(text, '[\\x{{30A0}}-\\x{{30FF}}]')) AS kata, {' + '.join(f"(contains(text, '{a}') AND contains(text, '{b}'))::INTEGER" for a, b in M.NOTATION_PAIRS)} AS pairs,
 len(regexp_extract_all(text, '。')) AS fp, len(regexp_extract_all(text, '\\.')) - len(regexp_extract_all(text, '[0-9]\\.')) - len(regexp_extract_all(text, '\\.[0-9]')) + len(regexp_extract_all(text, '[0-9]\\.[0-9]')) AS hp, len(regexp_extract_all(text, '、')) AS fc, len(regexp_extract_all(text, ',')) AS hc, len(regexp_extract_all(text, '[０-９]')) AS fd, len(regexp_extract_all(text, '[0-9]')) AS hd FROM d)
-SELECT m.doc_id, coalesce(n, 0) AS n_sentences, round(mean, 6) AS sentence_mean, round(x.cv, 6) AS sentence_cv, round(far, 6) AS long_share, round(commas, 6) AS comma_density, dn AS double_negation, red AS redundant, round(demo, 6) AS demonstratives_per_1000, round(kanji / nullif(chars, 0), 6) AS kanji_ratio, round(kata / nullif(chars, 0), 6) AS katakana_ratio, round(y.cv, 6) AS paragraph_cv, round(leads, 6) AS conjunction_rate, pairs AS notation_pairs,
+SELECT m.doc_id, coalesce(n, 0) AS n_sentences, round(mean, 6) AS sentence_mean, round(x.cv, 6) AS sentence_cv, round(far, 6) AS long_share, round(commas, 6) AS comma_density, dn AS double_negation, red AS redundant, round(demo, 6) AS demonstratives_per_1000, round(kanji / nullif(chars, 0), 6) AS kanji_ratio, round(kata / nullif(chars, 0), 6) AS katakana_ratio, round(y.cv, 6) AS paragraph_cv, round(leads, 6) AS conjunction_rate, pairs::BIGINT AS notation_pairs,
 fp AS full_period, hp AS half_period, fc AS full_comma, hc AS half_comma, fd AS full_digit, hd AS half_digit, (fp > 0 AND hp > 0) AS period_mixed, (fc > 0 AND hc > 0) AS comma_mixed, (fd > 0 AND hd > 0) AS digit_mixed, ((fp > 0 AND hp > 0) OR (fc > 0 AND hc > 0) OR (fd > 0 AND hd > 0)) AS any_mixed FROM m LEFT JOIN x ON x.doc_id = m.doc_id LEFT JOIN y ON y.doc_id = m.doc_id""",
 )
 def readability_ja(spark, d):
