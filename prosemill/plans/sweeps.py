@@ -114,11 +114,12 @@ def sweep_detectors(values: DataFrame, max_fp: float = 0.05) -> DataFrame:
     fires = F.filter("grid", lambda t: F.when(F.col("strict"), x > sign * t).otherwise(x >= sign * t))
     counted = values.join(F.broadcast(grids), "metric").select("metric", "is_base", F.coalesce(F.when(F.col("value").isNotNull(), F.size(fires)), F.lit(0)).alias("p"))  # a dozen grids
     counts = counted.groupBy("metric", "p").agg(F.count_if("is_base").alias("b"), F.count_if(~F.col("is_base")).alias("a"))
-    totals = counts.groupBy("metric").agg(F.sum("b").alias("nb"), F.sum("a").alias("na"))
-    # a row that fires at p thresholds fires at the p most permissive ones
-    fired = counts.filter("p > 0").select("metric", "b", "a", F.explode(F.sequence(F.lit(1), "p")).alias("k")).groupBy("metric", "k").agg(F.sum("b").alias("fp"), F.sum("a").alias("hit"))
+    # one array of counts for each metric, as a second use of them would run the detectors again
+    own = counts.groupBy("metric").agg(F.sum("b").alias("nb"), F.sum("a").alias("na"), F.collect_list(F.struct("p", "b", "a")).alias("c"))
     place = rows.withColumn("k", F.when(F.col("below"), F.col("size") - F.col("ix")).otherwise(F.col("ix") + 1))
-    curve = place.join(totals, "metric").join(fired, ["metric", "k"], "left")
+    # a row that fires at p thresholds fires at the p most permissive ones
+    fired = lambda x: F.aggregate(F.filter("c", lambda y: y["p"] >= F.col("k")), F.lit(0).cast("bigint"), lambda s, y: s + y[x])
+    curve = place.join(own, "metric").select("metric", "ix", "threshold", "nb", "na", fired("b").alias("fp"), fired("a").alias("hit"))
     rate = lambda c, n: F.coalesce(F.try_divide(F.coalesce(c, F.lit(0)), n), F.lit(0.0))
     rated = curve.select("metric", "ix", "threshold", rate(F.col("fp"), F.col("nb")).alias("fp_rate"), rate(F.col("hit"), F.col("na")).alias("hit_rate"))
     best = F.row_number().over(Window.partitionBy("metric").orderBy(F.when(F.col("fp_rate") < max_fp, 0).otherwise(1), F.col("hit_rate").desc(), "ix"))
