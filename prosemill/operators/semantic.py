@@ -9,7 +9,8 @@ whose memory is blocks of the similarity matrix, never all pairs as rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +29,31 @@ def adjacent_metrics(vectors: DataFrame, doc: str = "doc", ix: str = "ix", vec:
     return pairs.groupBy(doc).agg(F.count("*").alias("n"), (F.max("s") - F.min("s")).alias("flatness_range"), F.min("s").alias("topic_jump_min"), F.var_pop("s").alias("adjacent_var"))
 
 
-def pair_metrics(vectors: DataFrame, doc: str = "doc", ix: str = "ix", vec: str = "vec", block: int = 2048) -> DataFrame:
+def pair_metrics(vectors: DataFrame, doc: str = "doc", ix: str = "ix", vec: str = "vec", block: int = 1024) -> DataFrame:
     """Per document: maximum and 95th percentile of the similarity of sentences that are no neighbours.
 
-    Memory is a block of the similarity matrix: similarities are counted in bins,
-    and only those of the bins that hold the percentile are gathered, in a second pass.
+    Memory is the document's vectors as one array, and square blocks of the similarity
+    matrix: similarities are counted in bins, and only those of the bins that hold the
+    percentile are gathered, in a second pass.
     """
     kind = vectors.schema[doc].dataType.simpleString()
 
-    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        m = np.array([np.array(v, np.float64) for v in rows.sort_values("ix").vec])
-        top = percentile_of_pairs(m, 95, block)
-        return pd.DataFrame([(key[0], *top)], columns=[doc, "repetition_max", "repetition_p95"])
+    def measure(key: tuple, rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows["ix"]).to_numpy()
+        m = pc.list_flatten(rows["vec"]).to_numpy().reshape(len(order), -1)[order]
+        top, high = percentile_of_pairs(m, 95, block)
+        return pa.table({doc: pa.array([key[0].as_py()], rows.schema.field(doc).type), "repetition_max": pa.array([top], pa.float64()), "repetition_p95": pa.array([high], pa.float64())})
 
     rows = vectors.select(doc, F.col(ix).alias("ix"), F.col(vec).alias("vec"))
-    return rows.groupBy(doc).applyInPandas(measure, f"{doc} {kind}, repetition_max double, repetition_p95 double")
+    return rows.groupBy(doc).applyInArrow(measure, f"{doc} {kind}, repetition_max double, repetition_p95 double")
 
 
-def percentile_of_pairs(m: np.ndarray, percent: float, block: int, bins: int = 1 << 16) -> tuple[float | None, float | None]:
-    """Maximum and interpolated percentile of the dot products of rows at least two apart."""
+def percentile_of_pairs(m: np.ndarray, percent: float, block: int, bins: int = 1 << 16, held: int = 1 << 22) -> tuple[float | None, float | None]:
+    """Maximum and interpolated percentile of the dot products of rows at least two apart.
+
+    Where more than ``held`` values share the percentile's bins, as those of copies do,
+    the bins are divided again until fewer are left or they are all one value.
+    """
     n = len(m)
     if n < 3:
         return None, None
@@ -54,23 +61,48 @@ def percentile_of_pairs(m: np.ndarray, percent: float, block: int, bins: int = 1
 
     def blocks():
         for a in range(0, n, block):
-            yield (m[a : a + block] @ m.T)[np.arange(n)[None, :] >= np.arange(a, min(a + block, n))[:, None] + 2]
-
-    bound = float(np.sqrt((m * m).sum(1).max())) ** 2 or 1.0
-    place = lambda v: np.clip(((v / bound + 1) * (bins / 2)).astype(np.int64), 0, bins - 1)
-    counts, top = np.zeros(bins, np.int64), -np.inf
-    for v in blocks():
-        if len(v):
-            counts += np.bincount(place(v), minlength=bins)
-            top = max(top, float(v.max()))
-    upto = np.cumsum(counts)
+            own = m[a : a + block].astype(np.float64)
+            for b in range(a, n, block):
+                v = own @ m[b : b + block].astype(np.float64).T
+                yield v.ravel() if b > a + block else v[np.arange(b, b + v.shape[1])[None, :] >= np.arange(a, a + len(own))[:, None] + 2]
+
+    bound = max(float(np.sqrt((m[a : a + block].astype(np.float64) ** 2).sum(1).max())) for a in range(0, n, block)) ** 2 or 1.0
     at = percent / 100 * (pairs - 1)
     low = int(at)
-    first, last = (int(np.searchsorted(upto, k, "right")) for k in (low, min(low + 1, pairs - 1)))
-    held = np.sort(np.concatenate([v[(p >= first) & (p <= last)] for v in blocks() for p in (place(v),)]))
-    before = int(upto[first - 1]) if first else 0
-    a, b = held[low - before], held[min(low + 1, pairs - 1) - before]
-    return top, float(a + (b - a) * (at - low))
+    ranks = (low, min(low + 1, pairs - 1))
+    left, right, before, top = -bound, bound, 0, -np.inf
+    # rounding takes a product beyond the bound, so the first pass counts what lies outside in its end bins
+    first_pass = True
+    while True:
+        place = lambda v: np.clip(((v - left) / (right - left) * bins).astype(np.int64), 0, bins - 1)  # noqa: B023, E731
+        inside = lambda v: v if first_pass else v[(v >= left) & (v <= right)]  # noqa: B023, E731
+        counts = np.zeros(bins, np.int64)
+        for v in blocks():
+            v = inside(v)
+            if len(v):
+                p = place(v)
+                counts += np.bincount(p, minlength=bins)
+                if first_pass:
+                    top = max(top, float(v.max()))
+        upto = before + np.cumsum(counts)
+        a, b = (int(np.searchsorted(upto, k, "right")) for k in ranks)
+        skipped = int(upto[a - 1]) if a else before
+        if int(upto[b]) - skipped <= held:
+            kept = np.sort(np.concatenate([v[(p >= a) & (p <= b)] for v in map(inside, blocks()) for p in (place(v),)]))
+            x, y = kept[ranks[0] - skipped], kept[ranks[1] - skipped]
+            break
+        # the least and largest value of those bins bound the next division
+        least_, most_ = np.inf, -np.inf
+        for v in map(inside, blocks()):
+            p = place(v)
+            v = v[(p >= a) & (p <= b)]
+            if len(v):
+                least_, most_ = min(least_, float(v.min())), max(most_, float(v.max()))
+        if most_ - least_ <= 1e-12 * bound or (least_, most_) == (left, right):
+            x, y = least_, most_
+            break
+        left, right, before, first_pass = least_, most_, skipped, False
+    return top, float(x + (y - x) * (at - low))
 
 
 def semantic_findings(metrics: DataFrame, profile: Profile = DEFAULT, doc: str = "doc") -> DataFrame:
