@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +93,10 @@ def mask_markdown(text: Column) -> Column:
     return F.coalesce(markdown_masker()(F.when(_has(text, *MARKS) | text.rlike(STRUCTURE), text)), text)
 
 
+#: Characters of texts that are masked before they are handed back.
+MASKED_PIECE = 1 << 20
+
+
 def markdown_masker():
     """An Arrow function that blanks what is no prose in Markdown, keeping line numbers and offsets."""
 
@@ -133,12 +137,20 @@ def markdown_masker():
 
         return "\n".join(lines())
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else mask(t))
+    def masked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                out, size = [], 0
+                while at < len(batch) and size < MASKED_PIECE:
+                    text = batch[at].as_py()
+                    out.append(None if text is None else mask(text))
+                    size += len(text or "")
+                    at += 1
+                yield pa.array(out, pa.string())
 
     # projections that read the result inside lambdas must not take the call in
-    return masked.asNondeterministic()
+    return F.arrow_udf(masked, "string").asNondeterministic()
 
 
 def lines_of(raw: str, masked: str) -> str:

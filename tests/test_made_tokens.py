@@ -36,3 +36,14 @@ def test_detectors_run_once_in_a_sweep(spark):
 def test_made_texts_are_made_once(spark):
     plan = queries.ja_prepared(spark, "/root/testdata/sf0.001").select("text")._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" in plan and not any("replace(" in x for x in plan.splitlines() if "Filter" in x)
+
+
+def test_masking_hands_back_pieces(spark):
+    import pyarrow as pa
+
+    from prosemill.functions import text as T
+
+    rows = ["`a` b" + "x" * T.MASKED_PIECE, None, "# h", "plain"] * 2
+    found = list(T.markdown_masker().func(iter([pa.array(rows, pa.string()), pa.array([], pa.string())])))
+    assert len(found) == 3
+    assert [x for p in found for x in p.to_pylist()] == ["    b" + "x" * T.MASKED_PIECE, None, "", "plain"] * 2
