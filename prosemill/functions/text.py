@@ -38,6 +38,16 @@ def shown(sql: str) -> str:
     return f"(ascii(ltrim({sql})) not in (0, {', '.join(str(int(c, 16)) for c in WHITE.split('\\u') if c)}) or {ustrip(sql)} <> '')"
 
 
+def inked(sql: str) -> str:
+    """SQL: whether the first character of a text is surely no white space."""
+    return f"(ascii({sql}) between 33 and 126 or ascii({sql}) between 161 and 5759 or ascii({sql}) > 12288)"
+
+
+def stripped(array: str) -> str:
+    """SQL: texts of an array without Unicode white space at their ends; those with none but spaces there, as most are, are told by two characters."""
+    return f"transform(transform({array}, x -> trim(x)), x -> if({inked('x')} and {inked('substring(x, -1)')}, x, {ustrip('x')}))"
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL: ``body`` with ``name`` bound to ``value``, computed once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -156,8 +166,10 @@ def markdown_masker():
 def lines_of(raw: str, masked: str) -> str:
     """SQL: numbered lines with both texts; an empty last line is dropped."""
     cut = lambda c: let(f"split({c}, '\\n')", "p", "if(element_at(p, -1) = '', slice(p, 1, size(p) - 1), p)")
-    pair = f"arrays_zip({cut(raw)} as r, {cut(masked)} as m)"
-    pair = let(f"struct({cut(raw)} as r, {cut(masked)} as m)", "q", "transform(q.r, (x, i) -> struct(i + 1 as no, x as raw, coalesce(get(q.m, i), '') as masked))")
+    # a text that is not masked is split once
+    same = f"transform({cut(raw)}, (x, i) -> struct(i + 1 as no, x as raw, x as masked))"
+    other = let(f"struct({cut(raw)} as r, {cut(masked)} as m)", "q", "transform(q.r, (x, i) -> struct(i + 1 as no, x as raw, coalesce(get(q.m, i), '') as masked))")
+    pair = f"if({raw} = {masked}, {same}, {other})"
     return f"cast({pair} as array<{LINE}>)"
 
 
@@ -165,11 +177,12 @@ def sentences_of(lines: str, delimiters: str = JA_DELIMITERS) -> str:
     """SQL: (line, masked, raw) of every piece between delimiters that is not blank; the raw piece has the masked offsets."""
     kind = "struct<line:int,masked:string,raw:string>"
     # where nothing is masked both texts of a piece are one; elsewhere a fold carries the place
-    plain = f"transform(p, x -> cast({let(ustrip('x'), 'y', 'struct(l.no as line, y as masked, y as raw)')} as {kind}))"
+    piece = "named_struct('line', l.no, 'masked', x, 'raw', x)"
+    plain = f"transform(filter({stripped('p')}, x -> x <> ''), x -> {piece})"
     raw = "if(length(l.raw) >= a.at + length(x), substring(l.raw, a.at + 1, length(x)), x)"
     fold = f"aggregate(p, struct(0 as at, cast(array() as array<{kind}>) as out), (a, x) -> struct(a.at + length(x) + 1 as at, array_append(a.out, cast(struct(l.no as line, {ustrip('x')} as masked, {ustrip(raw)} as raw) as {kind})) as out)).out"
-    own = let(f"split(l.masked, {quoted(delimiters)})", "p", f"if(l.raw = l.masked, {plain}, {fold})")
-    return f"filter(flatten(transform({lines}, l -> {own})), s -> s.masked <> '')"
+    own = let(f"split(l.masked, {quoted(delimiters)})", "p", f"if(l.raw = l.masked, {plain}, filter({fold}, s -> s.masked <> ''))")
+    return f"flatten(transform({lines}, l -> {own}))"
 
 
 def paragraphs_of(lines: str) -> str:

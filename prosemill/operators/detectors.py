@@ -51,16 +51,47 @@ def related_text(lines: str) -> str:
     return f"array_join(transform({related(lines)}, n -> concat('L', n)), ', ')"
 
 
+def literal(text: str) -> str:
+    """A pattern that matches a text as it stands."""
+    return re.sub(r"[\\\[\]{}()*+?.^$|]", r"\\\g<0>", text)
+
+
+def starts(pattern: str, width: int = 3) -> set[str]:
+    """Strings with one of which every match of a pattern starts, up to about ``width`` characters; the empty one where that is not seen."""
+    if "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return {""}
+    found, at, plain = {""}, 0, r"[^\\\[\]{}()*+?.^$|]"
+    while min(map(len, found)) < width and (m := re.compile(rf"\(((?:{plain}|\|)+)\)|({plain})").match(pattern, at)):
+        at = m.end()
+        if pattern[at : at + 1] in ("?", "*", "+", "{"):
+            break
+        found = {a + b for a in found for b in (m[1].split("|") if m[1] else m[2])}
+    return found
+
+
+def sped(*patterns: str, width: int = 3) -> str:
+    """A pattern that matches what any of the patterns does at the same places, told at most places by one character class."""
+    first = set().union(*[starts(p, width) for p in patterns])
+    classes = ["[" + "".join(sorted({re.escape(x[k]) for x in first})) + "]" for k in range(min(width, *map(len, first)))]
+    # groups are captured for nothing, where no class or reference depends on their brackets
+    bare = [p if re.search(r"[\\\[]", p) else re.sub(r"\((?!\?)", "(?:", p) for p in patterns]
+    return (f"(?={''.join(classes)})" if classes else "") + "(?:" + "|".join(f"(?:{p})" for p in bare) + ")"
+
+
 def forbidden_phrases(pack: Pack, _: Profile) -> str:
+    if not pack.phrases:
+        return NONE
     hit = finding("l.no", "forbidden_phrase", around("l.raw", "l.masked", "(instr(l.masked, p) - 1)", "length(p)"), f"if(array_contains({words(pack.weak)}, p), 'info', 'warn')", "concat('stock phrase: ', p)")
-    return f"flatten(transform(lines, l -> transform(filter({words(pack.phrases)}, p -> contains(l.masked, p)), p -> {hit})))"
+    # a line is read once for all phrases
+    some = f"filter(lines, l -> l.masked rlike {quoted(sped(*map(literal, pack.phrases)))})"
+    return f"flatten(transform({some}, l -> transform(filter({words(pack.phrases)}, p -> contains(l.masked, p)), p -> {hit})))"
 
 
 def _matches(patterns, body: str, lines: str = "lines") -> str:
-    each = [f"transform({spans('l.masked', p)}, h -> {body.replace('$pattern', quoted(p))})" for p in patterns]
+    each = [f"transform({spans('l.masked', sped(p))}, h -> {body.replace('$pattern', quoted(p))})" for p in patterns]
     # a line is read once for all patterns; what may be absent in front of a match finds no other lines
-    any_ = "|".join(f"(?:{re.sub(r'^[.][{]0,[0-9]+[}]', '', p)})" for p in patterns)
-    return f"flatten(transform(filter({lines}, l -> l.masked rlike {quoted(any_)}), l -> concat({', '.join(each)})))" if each else NONE
+    any_ = [re.sub(r"^[.][{]0,[0-9]+[}]", "", p) for p in patterns]
+    return f"flatten(transform(filter({lines}, l -> l.masked rlike {quoted(sped(*any_))}), l -> concat({', '.join(each)})))" if each else NONE
 
 
 def calques(pack: Pack, _: Profile) -> str:
@@ -93,7 +124,7 @@ def paragraph_leads(pack: Pack, p: Profile) -> str:
 
 
 def paragraph_counts(pack: Pack) -> str:
-    return f"transform(paragraphs, g -> size(filter(split(array_join(transform(g, l -> l.masked), '\\n'), {quoted(pack.delimiters)}), x -> {ustrip('x')} <> '')))"
+    return f"transform(paragraphs, g -> size(filter(split(array_join(transform(g, l -> l.masked), '\\n'), {quoted(pack.delimiters)}), x -> {shown('x')})))"
 
 
 def uniform_paragraphs(pack: Pack, p: Profile) -> str:
