@@ -125,17 +125,20 @@ def valid_baseline(raw: DataFrame, json_col: str = "json") -> DataFrame:
 def baseline_diff(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Multiset difference: every finding with ``status`` new, persisting or resolved.
 
-    Equal keys are paired one to one in order of ``ix``, by a numbered full outer join.
+    Equal keys are paired one to one in order of ``ix``.
     """
+    own = ("doc_id", "ix", "category", "excerpt")
+    return diff_of_sides(findings.select(*own, F.lit(0).alias("side")).unionAll(baseline.select(*own, F.lit(1).alias("side"))))
 
-    def numbered(df: DataFrame) -> DataFrame:
-        keyed = df.select("doc_id", "ix", "category", "excerpt", identity_key(F.col("category"), F.col("excerpt")).alias("key"))
-        return keyed.withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "category", "key").orderBy("ix")))
 
-    now, old = numbered(findings).alias("a"), numbered(baseline).alias("b")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c == "doc_id" else F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "category", "key", "rn")]
-    status = F.when(F.col("b.rn").isNull(), "new").when(F.col("a.rn").isNull(), "resolved").otherwise("persisting")
-    return now.join(old, on, "full_outer").select(F.coalesce("a.doc_id", "b.doc_id").alias("doc_id"), F.coalesce("a.category", "b.category").alias("category"), F.coalesce("a.excerpt", "b.excerpt").alias("excerpt"), status.alias("status"))
+def diff_of_sides(sides: DataFrame) -> DataFrame:
+    """``baseline_diff`` of findings whose ``side`` is 0 (now) or 1 (the baseline), for two runs that one pass gives; without a category nothing is paired."""
+    keyed = sides.select("doc_id", "ix", "category", "excerpt", "side", identity_key(F.col("category"), F.col("excerpt")).alias("key"))
+    lone = F.when(F.col("category").isNull(), F.col("side"))
+    numbered = keyed.withColumn("lone", lone).withColumn("rn", F.row_number().over(Window.partitionBy("doc_id", "category", "key", "side").orderBy("ix")))
+    pairs = numbered.groupBy("doc_id", "category", "key", "lone", "rn").agg(F.coalesce(F.min_by("excerpt", "side"), F.max_by("excerpt", "side")).alias("excerpt"), F.min("side").alias("first"), F.max("side").alias("last"))
+    status = F.when(F.col("first") == 1, "resolved").when(F.col("last") == 0, "new").otherwise("persisting")
+    return pairs.select("doc_id", "category", "excerpt", status.alias("status"))
 
 
-__all__ = ["baseline_diff", "clean_text", "count_by_category", "find_line", "findings_json", "fires", "identity_key", "naturalness", "prepare", "rows_where", "run_full_lint", "run_lint", "ustrip", "valid_baseline"]
+__all__ = ["baseline_diff", "clean_text", "count_by_category", "diff_of_sides", "find_line", "findings_json", "fires", "identity_key", "naturalness", "prepare", "rows_where", "run_full_lint", "run_lint", "ustrip", "valid_baseline"]
