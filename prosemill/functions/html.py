@@ -63,7 +63,8 @@ def title_of(html: Column) -> Column:
 
 
 def _first(html: Column, *patterns: str) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns])
+    """What the first pattern that is found encloses, be it nothing; null where none is found."""
+    return F.coalesce(*[F.get(F.regexp_extract_all(html, F.lit(p), F.lit(1)), F.lit(0)) for p in patterns])
 
 
 #: Body patterns of two known site layouts, and of any page.
